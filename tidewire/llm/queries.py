@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, url_filters, warc
+from . import bpe, sharding, url_filters, warc
 from .common import new_folder, table
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.roundtrip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as read from the committed shards, with what the manifest says of each shard."""
     store = sharding.ShardStore(spark, new_folder(spark, "shards"), target_bytes=64 << 20, rows_per_shard=20_000)
@@ -40,7 +46,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sharding, op6_url_filters, op10_warc)}
+    return {f.__name__: f for f in (op2_bpe, op5_sharding, op6_url_filters, op10_warc)}
 
 
 SQL_OP10 = """
