@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, url_filters, warc
+from . import bpe, sharding, syncmers, url_filters, warc
 from .common import new_folder, table
 
 
@@ -40,13 +40,17 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_roundtrip(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op5_sharding, op6_url_filters, op10_warc)}
+    return {f.__name__: f for f in (op2_bpe, op5_sharding, op6_url_filters, op8_syncmers, op10_warc)}
 
 
 SQL_OP10 = """
