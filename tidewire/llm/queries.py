@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, syncmers, url_filters, warc
+from . import bpe, language_id, sharding, syncmers, url_filters, warc
 from .common import new_folder, table
 
 
@@ -40,6 +40,16 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def held_out(id_col: str = "doc_id"):
+    return F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8")) % 4 == 2
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out()))
+    return language_id.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_edits(table(spark, sf_dir, "documents"))
 
@@ -50,7 +60,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op5_sharding, op6_url_filters, op8_syncmers, op10_warc)}
+    return {f.__name__: f for f in (op2_bpe, op5_sharding, op6_url_filters, op7_language_id, op8_syncmers, op10_warc)}
 
 
 SQL_OP10 = """
