@@ -40,8 +40,8 @@ CENTROIDS = 4
 SAMPLE = 300
 #: A text is rejected under this share of the least cosine that ``KEPT`` of the sample reach.
 MARGIN, KEPT = 0.5, 0.99
-#: Texts of fewer letters have less to be near by: their limit is in proportion.
-FULL_LETTERS = 100
+#: Texts of fewer n-grams (three a letter) have less to be near by: their limit is in proportion.
+FULL_SIZE = 300
 #: Texts are cut into stretches of so many characters for the counting.
 STRETCH = 1 << 18
 
@@ -74,12 +74,14 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and _LETTER.search(text) is not None
 
 
-def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(texts), DIMS), np.float32)
+def vectors(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A unit vector for each text, and how many n-grams the text has."""
+    out, sizes = np.zeros((len(texts), DIMS), np.float32), np.zeros(len(texts))
     for i, text in enumerate(texts):
-        out[i] = np.log1p(counts(text)) * idf
+        found = counts(text)
+        out[i], sizes[i] = np.log1p(found) * idf, found.sum()
     norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norms > 0, norms, 1)
+    return out / np.where(norms > 0, norms, 1), sizes
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
@@ -114,11 +116,11 @@ class Model:
         known = [i for i, t in enumerate(texts) if self.languages and has_letter(t)]
         names, score, rejected = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         if known:
-            cosine = vectors([texts[i] for i in known], self.idf) @ self.centroids.T
+            x, sizes = vectors([texts[i] for i in known], self.idf)
+            cosine = x @ self.centroids.T
             best = cosine.argmax(axis=1)
             score[known] = np.clip(cosine[np.arange(len(known)), best], 0, 1)
-            letters = np.array([min(sum(map(str.isalpha, texts[i][: 8 * FULL_LETTERS])), FULL_LETTERS) for i in known])
-            rejected[known] = score[known] < self.least[best] * letters / FULL_LETTERS
+            rejected[known] = score[known] < self.least[best] * np.minimum(sizes / FULL_SIZE, 1)
             for i, b in zip(known, best, strict=True):
                 names[i] = self.languages[b]
         return names, score, rejected
@@ -154,7 +156,7 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
-        x = vectors([t for t in group["text"] if has_letter(t)], idf)
+        x = vectors([t for t in group["text"] if has_letter(t)], idf)[0]
         x = x[(x != 0).any(axis=1)]
         if not len(x):
             return pd.DataFrame({"lang": [], "centroid": [], "least": []})
