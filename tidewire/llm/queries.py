@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, minhash, sharding, syncmers, url_filters, warc
+from . import bpe, decontaminate, language_id, minhash, sharding, syncmers, url_filters, warc
 from .common import new_folder, table
 
 
@@ -21,6 +21,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as read from the committed shards, with what the manifest says of each shard."""
     store = sharding.ShardStore(spark, new_folder(spark, "shards"), target_bytes=64 << 20, rows_per_shard=20_000)
@@ -64,7 +68,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_minhash, op5_sharding, op6_url_filters, op7_language_id, op8_syncmers, op10_warc)}
+    return {f.__name__: f for f in (op2_bpe, op3_minhash, op4_decontamination, op5_sharding, op6_url_filters, op7_language_id, op8_syncmers, op10_warc)}
 
 
 SQL_OP10 = """
