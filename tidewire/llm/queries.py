@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, minhash, sharding, syncmers, url_filters, warc
+from . import bpe, decontaminate, language_id, minhash, sharding, syncmers, token_shards, url_filters, warc
 from .common import new_folder, table
 
 
@@ -62,13 +62,17 @@ def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.shard_roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_roundtrip(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_minhash, op4_decontamination, op5_sharding, op6_url_filters, op7_language_id, op8_syncmers, op10_warc)}
+    return {f.__name__: f for f in (op2_bpe, op3_minhash, op4_decontamination, op5_sharding, op6_url_filters, op7_language_id, op8_syncmers, op9_token_shards, op10_warc)}
 
 
 SQL_OP10 = """
