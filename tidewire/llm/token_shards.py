@@ -39,6 +39,8 @@ from .common import get, new_folder, put, written
 
 MAGIC = 0x0001_5852_544D_5657
 RANK_EVERY = 512
+#: Tokens of a plane that are parted together.
+PART = 1 << 15
 #: Tokens held before a shard is written.
 SHARD_TOKENS = 4_000_000
 #: A worker keeps the ids of so many stretches of text, then starts anew.
@@ -64,10 +66,13 @@ class WaveletMatrix:
             zeros.append(n - ones)
             counts.append(_counts(packed))
             bits.append(packed)
-            after = np.empty_like(now)
-            np.compress(one, now, out=after[n - ones :])
-            np.logical_not(one, out=one)
-            np.compress(one, now, out=after[: n - ones])
+            after, low, high = np.empty_like(now), 0, n - ones
+            for at in range(0, n, PART):  # parts that stay in the processor's cache
+                part, own = now[at : at + PART], one[at : at + PART]
+                set_at, clear_at = np.flatnonzero(own), np.flatnonzero(~own)
+                part.take(set_at, out=after[high : high + len(set_at)], mode="clip")
+                part.take(clear_at, out=after[low : low + len(clear_at)], mode="clip")
+                low, high = low + len(clear_at), high + len(set_at)
             now = after
         return cls(n, zeros, counts, bits)
 
@@ -77,11 +82,10 @@ class WaveletMatrix:
         now = np.zeros(self.n, np.uint16 if planes <= 16 else np.uint32)
         for p in range(planes - 1, -1, -1):
             one = np.unpackbits(self.bits[p], count=self.n)
-            # Where each place of this plane went: after those like it before.
-            ones = np.cumsum(one, dtype=np.uint32)
-            place = np.where(one, ones + np.uint32(self.zeros[p] - 1 & 0xFFFFFFFF), np.arange(self.n, dtype=np.uint32) - ones)
-            now = now[place]
-            now |= one.astype(now.dtype) << (planes - 1 - p)
+            before = np.empty_like(now)
+            before[np.flatnonzero(one == 0)] = now[: self.zeros[p]]
+            before[np.flatnonzero(one)] = now[self.zeros[p] :] | now.dtype.type(1 << (planes - 1 - p))
+            now = before
         return now.astype(np.uint32)
 
     def _bit(self, p: int, i: int) -> int:
