@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, minhash, sharding, syncmers, token_shards, url_filters, warc
+from . import bpe, decontaminate, language_id, minhash, secret_scan, sharding, syncmers, token_shards, url_filters, warc
 from .common import new_folder, table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.roundtrip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -72,7 +76,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_minhash, op4_decontamination, op5_sharding, op6_url_filters, op7_language_id, op8_syncmers, op9_token_shards, op10_warc)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op3_minhash, op4_decontamination, op5_sharding, op6_url_filters, op7_language_id, op8_syncmers, op9_token_shards, op10_warc)}
 
 
 SQL_OP10 = """
