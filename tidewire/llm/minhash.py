@@ -16,8 +16,8 @@ its largest group against all, in blocks, by signature first. Pairs inside
 a group are never formed, and no pair across groups is left out.
 
 The bands find a pair at the threshold 0.85 with a chance of 1 - 8e-7 (24
-bands of 5), at 0.8 with 1 - 7e-5. A pair whose signatures agree on a share
-under ``ESTIMATE`` of places, five standard deviations below 0.85, is not verified.
+bands of 5), at 0.8 with 1 - 7e-5. A pair whose signatures agree on a share of
+places five standard deviations below the threshold is not verified.
 
 Defined cases: a document without words or text (null included) has an
 empty set, is linked with nothing and stays. With one to four words, the
@@ -41,8 +41,8 @@ from .syncmers import mix
 
 BANDS, ROWS = 24, 5
 PLACES = BANDS * ROWS
-#: Least share of equal places, allowing for chance, at which a pair is verified.
-ESTIMATE = 0.69
+#: A pair is verified if its estimate is no more than so many deviations under the threshold.
+DEVIATIONS = 5
 #: Documents of a bucket in a block of the second pass.
 BLOCK = 512
 #: Shingles of documents whose signatures are computed together.
@@ -223,6 +223,8 @@ def apart(members: DataFrame, groups: DataFrame, shapes: DataFrame, percent: int
     as_any = rows.select("key", mine("all_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("j"), F.lit(False).alias("other"), "doc_id", "component", "n_shingles", "sketch")
     as_other = rows.where("component <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("i"), mine("other_blocks").alias("j"), F.lit(True).alias("other"), "doc_id", "component", "n_shingles", "sketch")
 
+    least = percent / 100 - DEVIATIONS * np.sqrt(percent * (100 - percent) / PLACES) / 100
+
     def compare(ids, comps, sizes, shorts, other) -> tuple[np.ndarray, np.ndarray]:
         a, b = np.flatnonzero(other), np.flatnonzero(~other)
         found_a, found_b = [], []
@@ -230,7 +232,7 @@ def apart(members: DataFrame, groups: DataFrame, shapes: DataFrame, percent: int
             ok = (comps[b] != comps[x]) & (100 * np.minimum(sizes[b], sizes[x]) >= percent * np.maximum(sizes[b], sizes[x]))
             at = b[ok]
             if len(at):
-                at = at[estimate((shorts[at] == shorts[x]).mean(axis=1)) >= ESTIMATE]
+                at = at[estimate((shorts[at] == shorts[x]).mean(axis=1)) >= least]
                 found_a.append(np.full(len(at), ids[x]))
                 found_b.append(ids[at])
         if not found_a:
