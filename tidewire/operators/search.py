@@ -17,6 +17,7 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.labels import document_id, explanation, similarity
 from ..functions.rows import with_index
@@ -93,7 +94,7 @@ def embed_with(texts: DataFrame, load: Callable[[], Callable[[list[str]], Iterab
                 vectors = [np.asarray(v, np.float32).tolist() for v in encode([t or "" for t in part.column(text_col).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32()))], [*part.schema.names, "embedding"])
 
-    schema = texts.schema.add("embedding", "array<float>")
+    schema = T.StructType([*texts.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
     return texts.mapInArrow(run, schema)
 
 

@@ -54,7 +54,8 @@ def _small(lexicon: DataFrame) -> DataFrame:
 
 
 def compound(total: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(total / F.sqrt(total * total + ALPHA), 4)))
+    score = F.round(total / F.sqrt(total * total + ALPHA), 4)
+    return F.when(total.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)))
 
 
 def _among(column: Column, values: list[str]) -> Column:

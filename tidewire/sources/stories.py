@@ -23,9 +23,9 @@ def read_ranked_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Landed item records, one JSON object a line. Broken lines and bare nulls are left out."""
+    """Landed item records, one JSON object a line. Broken lines, bare nulls and items without an id are left out."""
     raw = spark.read.schema(f"{RAW_ITEM}, _corrupt_record STRING").option("mode", "PERMISSIVE").json(path)
-    return raw.where("_corrupt_record is null").drop("_corrupt_record")
+    return raw.where("_corrupt_record is null and id is not null").drop("_corrupt_record")
 
 
 def first_ranked(ranked: DataFrame, limit: int) -> DataFrame:
