@@ -12,8 +12,9 @@ sets are one class, represented by the smallest id. In a first pass each
 document is compared with one partner, the smallest id of its fullest
 bucket, which joins nearly all of a group of near copies. In a second pass
 only what is left apart is compared: in each bucket the documents outside
-its largest group against all, in blocks, by signature first. Pairs inside
-a group are never formed, and no pair across groups is left out.
+its largest group against all, in blocks, by signature first and then on
+full sets by matrix products. Pairs inside a group are never formed, no
+pair is a row, and no pair across groups is left out.
 
 The bands find a pair at the threshold 0.85 with a chance of 1 - 8e-7 (24
 bands of 5), at 0.8 with 1 - 7e-5. A pair whose signatures agree on a share of
@@ -87,20 +88,20 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of each signature."""
-    parts = signature.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2])
-    for i in range(ROWS):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i])
-    return h
-
-
 def sketch(signature: np.ndarray) -> np.ndarray:
-    """Eight bits of each place, for the estimate."""
+    """Eight bits of each place: what bands and estimates are made from."""
     return (mix(signature.astype(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
 
 
+def band_keys(short: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each sketch."""
+    parts = short.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    h = np.zeros(parts.shape[:2], np.uint64)
+    for i in range(ROWS):
+        h = h << np.uint64(8) | parts[:, :, i]
+    return mix(h << np.uint64(8) | np.arange(BANDS, dtype=np.uint64))
+
+
 def estimate(equal: np.ndarray) -> np.ndarray:
     """Similarity from the share of equal bytes: one in 256 is equal by chance."""
     return (equal - 1 / 256) / (1 - 1 / 256)
@@ -123,7 +124,8 @@ def features(docs: DataFrame) -> DataFrame:
                     n += 1
                 part = sets[at:n]
                 signed = signatures(part)
-                keys, short = band_keys(signed).view(np.int64), sketch(signed)
+                short = sketch(signed)
+                keys = band_keys(short).view(np.int64)
                 a = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in part]
                 b = [int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)), initial=np.uint64(0)).view(np.int64)) for s in part]
                 empty = [len(s) == 0 for s in part]
@@ -203,14 +205,49 @@ def union_find(links: DataFrame) -> DataFrame:
     return connected_components(links.mapInArrow(run, "src long, dst long"), "near-groups")
 
 
-def apart(members: DataFrame, groups: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` that share a bucket, belong to different groups and are alike by sketch.
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each unit (key, i, j), from batches sorted by it. Small units come together."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        last = rows.slice(rows.num_rows - 1)
+        same = np.ones(rows.num_rows, bool)
+        for c in ("key", "i", "j"):
+            same &= rows.column(c).to_numpy() == last.column(c)[0].as_py()
+        n = rows.num_rows - int(same.sum())
+        if n:
+            yield rows.slice(0, n).combine_chunks()
+        held = rows.slice(n)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where the units of a table begin, and its end."""
+    key = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
+    return np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, rows.num_rows]
 
-    ``members(key, doc_id)``, ``groups(node, component)`` for documents that
-    have been joined, ``shapes(doc_id, n_shingles, sketch)``. In a bucket the
-    documents outside its largest group are compared with all, block by block.
+
+def _by_unit(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+UNIT = "key long, i long, j long, other boolean, doc_id long, component long"
+
+
+def apart(members: DataFrame, groups: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """What is left to compare: documents by unit, ``(key, i, j, other, doc_id, component)``.
+
+    ``members(key, band, doc_id)``, ``groups(node, component)`` for documents
+    that have been joined, ``shapes(doc_id, n_shingles, sketch)``. In a bucket
+    the documents outside its largest group (``other``) are compared with
+    all, in units of two blocks. A document stays in a unit if it has a
+    partner there of another group, alike by sketch and size, whom it meets
+    in no earlier band. Rows are documents, never pairs.
     """
-    placed = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     open_keys = (
         sizes.groupBy("key")
@@ -220,55 +257,99 @@ def apart(members: DataFrame, groups: DataFrame, shapes: DataFrame, percent: int
     )
     rows = placed.join(open_keys, "key").join(shapes, "doc_id")
     mine = lambda blocks: F.pmod(F.xxhash64("doc_id"), F.col(blocks))
-    as_any = rows.select("key", mine("all_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("j"), F.lit(False).alias("other"), "doc_id", "component", "n_shingles", "sketch")
-    as_other = rows.where("component <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("i"), mine("other_blocks").alias("j"), F.lit(True).alias("other"), "doc_id", "component", "n_shingles", "sketch")
-
+    carried = ("doc_id", "component", "band", "n_shingles", "sketch")
+    as_any = rows.select("key", mine("all_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("j"), F.lit(False).alias("other"), *carried)
+    as_other = rows.where("component <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("i"), mine("other_blocks").alias("j"), F.lit(True).alias("other"), *carried)
     least = percent / 100 - DEVIATIONS * np.sqrt(percent * (100 - percent) / PLACES) / 100
 
-    def compare(ids, comps, sizes, shorts, other) -> tuple[np.ndarray, np.ndarray]:
-        a, b = np.flatnonzero(other), np.flatnonzero(~other)
-        found_a, found_b = [], []
-        for x in a:
-            ok = (comps[b] != comps[x]) & (100 * np.minimum(sizes[b], sizes[x]) >= percent * np.maximum(sizes[b], sizes[x]))
-            at = b[ok]
+    def partnered(comps, bands, sizes, shorts, other) -> np.ndarray:
+        keep = np.zeros(len(comps), bool)
+        any_at = np.flatnonzero(~other)
+        for x in np.flatnonzero(other):
+            at = any_at[(comps[any_at] != comps[x]) & (100 * np.minimum(sizes[any_at], sizes[x]) >= percent * np.maximum(sizes[any_at], sizes[x]))]
             if len(at):
-                at = at[estimate((shorts[at] == shorts[x]).mean(axis=1)) >= least]
-                found_a.append(np.full(len(at), ids[x]))
-                found_b.append(ids[at])
-        if not found_a:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(found_a), np.concatenate(found_b)
+                equal = shorts[at] == shorts[x]
+                first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                at = at[(first == bands[x]) & (estimate(equal.mean(axis=1)) >= least)]
+                keep[at] = True
+                keep[x] |= len(at) > 0
+        return keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def units(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
-            cuts = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, rows.num_rows]
-            ids, comps, sizes, other = (rows.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "other"))
+        for rows in _units(batches):
+            comps, bands, sizes, other = (rows.column(c).to_numpy() for c in ("component", "band", "n_shingles", "other"))
             shorts = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, PLACES)
-            out_a, out_b = [], []
+            keep, cuts = np.zeros(rows.num_rows, bool), _starts(rows)
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                a, b = compare(ids[s:e], comps[s:e], sizes[s:e], shorts[s:e], other[s:e])
-                out_a.append(np.minimum(a, b))
-                out_b.append(np.maximum(a, b))
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                keep[s:e] = partnered(comps[s:e], bands[s:e], sizes[s:e], shorts[s:e], other[s:e])
+            yield from rows.select(["key", "i", "j", "other", "doc_id", "component"]).filter(pa.array(keep)).to_batches()
+
+    return _by_unit(as_any.union(as_other)).mapInArrow(run, UNIT)
+
+
+#: Shingles that a unit's documents are compared on at a time.
+COLUMNS = 4096
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists, as matrix products."""
+    sets = left + right
+    values, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    number = np.cumsum(often > 1) - 1  # a shingle of one set alone is in no intersection
+    used = often[column] > 1
+    row, column = row[used], number[column[used]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    total = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, total, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(sets), min(COLUMNS, total - at)), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        out += part[: len(left)] @ part[len(left) :].T
+    return out
 
-        for batch in batches:
-            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            key = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
-            last = int(np.flatnonzero((key != key[:, -1:]).any(axis=0))[-1]) + 1 if (key != key[:, -1:]).any() else 0
-            if last:
-                yield from units(rows.slice(0, last).combine_chunks())
-            held = rows.slice(last).combine_chunks()
-        if held is not None and held.num_rows:
-            yield from units(held)
 
-    dealt = as_any.union(as_other)
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+def links_apart(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between groups among the documents of each unit, on full
+    sets; in a unit only as many as join its groups."""
+
+    def forest(a: np.ndarray, b: np.ndarray, comps: np.ndarray) -> list[int]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = parent[x]
+            return x
+
+        keep = []
+        for n, (x, y) in enumerate(zip(comps[a].tolist(), comps[b].tolist(), strict=True)):
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                keep.append(n)
+        return keep
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _units(batches):
+            ids, comps, other = (rows.column(c).to_numpy() for c in ("doc_id", "component", "other"))
+            members = [np.frombuffer(m.as_buffer(), np.uint64) for m in rows.column("members").combine_chunks()]
+            cuts = _starts(rows)
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                left, right = s + np.flatnonzero(other[s:e]), s + np.flatnonzero(~other[s:e])
+                if not len(left) or not len(right):
+                    continue
+                common = common_counts([members[i] for i in left], [members[i] for i in right])
+                size = lambda at: np.array([len(members[i]) for i in at], np.float64)
+                union = size(left)[:, None] + size(right)[None, :] - common
+                a, b = np.nonzero((100.0 * common >= percent * union) & (comps[left][:, None] != comps[right][None, :]))
+                a, b = left[a], right[b]
+                if len(kept := forest(a, b, comps)):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a[kept]]), pa.array(ids[b[kept]])], ["a", "b"])
+
+    return _by_unit(units.join(sets, "doc_id").select("key", "i", "j", "other", "doc_id", "component", "members")).mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,11 +368,12 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     member = written(shaped.join(classes, ["n_shingles", "set_a", "set_b"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "copies"), "near-classes")
 
     reps = found.join(member.where("rep = doc_id and n_shingles > 0").select("doc_id", "n_shingles"), ["doc_id", "n_shingles"], "left_semi").dropDuplicates(["doc_id"])
-    banded = reps.select("doc_id", F.explode("bands").alias("key"))
+    banded = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).where("n > 1")
-    bucketed = written(banded.join(buckets, "key").select("key", "doc_id", "centre"), "near-buckets")
+    bucketed = written(banded.join(buckets, "key").select("key", "band", "doc_id", "centre"), "near-buckets")
     shapes = written(reps.join(bucketed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch"), "near-shapes")
-    texts = rows.join(shapes.select("doc_id"), "doc_id", "left_semi")
+    # Merged, not broadcast: these ids grow with the documents.
+    texts = rows.join(shapes.select("doc_id").hint("merge"), "doc_id", "left_semi")
     sets = written(full_sets(texts).dropDuplicates(["doc_id"]), "near-sets")
 
     # First pass: each document with the centre that it meets in most buckets.
@@ -301,8 +383,8 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     groups = written(union_find(links), "near-joined")
 
     # Second pass: what the first has left apart.
-    pairs = written(apart(bucketed.select("key", "doc_id"), groups, shapes, percent), "near-pairs")
-    more = written(verify(pairs, sets, percent), "near-links")
+    units = written(apart(bucketed.select("key", "band", "doc_id"), groups, shapes, percent), "near-units")
+    more = written(links_apart(units, sets, percent), "near-links")
     joined = union_find(links.union(more)).withColumnRenamed("node", "rep")
 
     grouped = member.join(joined, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.explode(F.expr("array_repeat(0, cast(copies as int))")).alias("copy"))
