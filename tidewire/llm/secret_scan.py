@@ -47,6 +47,9 @@ from .common import written
 
 #: Words in the dictionary; the model's size, not a limit on the corpus counted.
 DICTIONARY = 5_000
+#: A dictionary word occurs so often at least and has 2 to so many letters, so
+#: that no key is a word by itself.
+WORD_COUNT, WORD_LENGTH = 5, 12
 #: Labelled findings that the forest is fitted on, at most.
 TRAINING_ROWS = 4_000
 TREES, DEPTH, SEED = 24, 6, 7
@@ -67,6 +70,10 @@ FEATURES = (
     "test_path secret_path in_path credential assigned quoted harmless key_block"
 ).split()
 
+#: What the forest sees. Shares of letters and digits alone are left to the
+#: seed labels: they'd stand for words, and a key can be of letters only.
+MODEL_FEATURES = [f for f in FEATURES if f not in ("digits", "hex_only", "letters_only")]
+
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)
 _VALUE = re.compile(r"[=:]\s{0,3}[\"']?([^\s\"',;<>=:#&*%|]{6,})")
 _RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
@@ -185,7 +192,7 @@ def describe(text: str, span: tuple[int, int], path: str, lexicon: Lexicon) -> l
 def build_lexicon(docs: DataFrame, text_col: str = "text") -> Lexicon:
     """The most frequent words of all documents, with how often they occur."""
     word = F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("word")
-    top = docs.select(word).where("length(word) between 2 and 24").groupBy("word").agg(F.count("*").alias("n"))
+    top = docs.select(word).where(F.length("word").between(2, WORD_LENGTH)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= WORD_COUNT)
     return Lexicon({r.word: r.n for r in top.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()})
 
 
@@ -221,11 +228,16 @@ def feature(name: str) -> Column:
     return F.col("features")[FEATURES.index(name)]
 
 
+def _inputs() -> Column:
+    return array_to_vector(F.array(*[feature(f) for f in MODEL_FEATURES]))
+
+
 def seed_labels(found: DataFrame) -> DataFrame:
     """``found`` with a column ``label``: 1 secret, 0 none, null not known."""
     mixed = (feature("digits") > 0) & (feature("letters_only") == 0) & (feature("digits_only") == 0)
     random = (feature("entropy") >= 2.5) & (feature("coverage") < 0.5)
-    secret = (feature("key_block") == 1) | (((feature("credential") == 1) | (feature("provider") == 1)) & mixed & random & (feature("harmless") == 0))
+    named = ((feature("credential") == 1) & mixed) | (feature("provider") == 1)
+    secret = (feature("key_block") == 1) | (named & random & (feature("harmless") == 0))
     none = (feature("credential") == 0) & (feature("provider") == 0) & ((feature("digits_only") == 1) | (feature("letters_only") == 1) | (feature("coverage") >= 0.6))
     return found.withColumn("label", F.when(secret, 1.0).when(none, 0.0))
 
@@ -240,9 +252,11 @@ def fit(labelled: DataFrame) -> RandomForestClassificationModel | float:
     share = {label: min(1.0, TRAINING_ROWS / 2 / n) for label, n in kinds.items()}
     ticket = F.pmod(F.xxhash64("value_sha256", "start", "row_key"), F.lit(1_000_000)) / 1_000_000
     limit = F.when(F.col("label") == 1, share[1.0]).otherwise(share[0.0])
-    rows = known.where(ticket < limit).select(array_to_vector("features").alias("x"), "label")
+    # Both labels weigh the same, however rare secrets are.
+    weight = F.when(F.col("label") == 1, 1 / (kinds[1.0] * share[1.0])).otherwise(1 / (kinds[0.0] * share[0.0]))
+    rows = known.where(ticket < limit).select(_inputs().alias("x"), "label", (weight * TRAINING_ROWS).alias("weight"))
     rows = written(rows, "secret-training")
-    forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt")
+    forest = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird")
     return forest.fit(rows)
 
 
@@ -252,7 +266,7 @@ def judge(found: DataFrame, model: RandomForestClassificationModel | float) -> D
         scored = found.withColumn("probability", F.lit(model))
     else:
         named = model.setFeaturesCol("x").setPredictionCol("").setRawPredictionCol("").setProbabilityCol("p")
-        scored = named.transform(found.withColumn("x", array_to_vector("features"))).withColumn("probability", vector_to_array("p")[1]).drop("x", "p")
+        scored = named.transform(found.withColumn("x", _inputs())).withColumn("probability", vector_to_array("p")[1]).drop("x", "p")
     return scored.withColumn("is_secret", F.col("probability") >= CUTOFF).drop("features")
 
 
@@ -280,11 +294,11 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "do
     end = lambda i: F.when(i == n, F.length(text)).otherwise(F.get(s, i)["start"])
     parts = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(text, begin(i) + 1, end(i) - begin(i)))
     clean = F.when(s.isNotNull(), F.array_join(parts, MASK)).otherwise(text)
-    joined = docs.join(spans, row_key(text, path) == F.col("_key"), "left")
+    joined = docs.join(spans, row_key(text, path) == F.col("_key"), "left").withColumn("_clean", clean)
     out = [F.col(c) for c in docs.columns]
     for i, c in enumerate(docs.columns):
         if c == text_col:
-            out[i] = clean.alias(c)
+            out[i] = F.col("_clean").alias(c)
         elif c == length_col:
-            out[i] = F.when(s.isNotNull(), F.length(clean)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
+            out[i] = F.when(s.isNotNull(), F.length("_clean")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
     return joined.select(*out)
