@@ -92,5 +92,61 @@ FROM f
 """
 
 
+SQL_OP3 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (SELECT doc_id AS node, doc_id AS low FROM documents UNION SELECT e.b, r.low FROM reach r JOIN both_ways e ON e.a = r.node
+), comp AS (SELECT node, min(low) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN comp ON comp.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+def _sql_op6() -> str:
+    host = lambda u: f"translate(coalesce(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = lambda u: f"coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+
+    def canonical(u: str) -> str:
+        kept = f"list_sort(list_filter(string_split(regexp_extract({u}, '(?s)^[^?#]*[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref)=')))"
+        tail = f"CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END"
+        return f"CASE WHEN contains({u}, '://') THEN 'https://' || regexp_replace({host(u)}, '^(www|m)[.]', '') || regexp_replace({path(u)}, '([.]html|/)$', '') || {tail} END"
+
+    quote = "[\"'']?"
+    links = (
+        rf"(?is)<link\b[^>]*?\brel\s*=\s*{quote}canonical{quote}[^>]*?\bhref\s*=\s*{quote}([^\"''\s>]+)",
+        rf"(?is)<link\b[^>]*?\bhref\s*=\s*{quote}([^\"''\s>]+){quote}[^>]*?\brel\s*=\s*{quote}canonical\b",
+        rf"(?is)<meta\b[^>]*?http-equiv\s*=\s*{quote}refresh{quote}[^>]*?url\s*=\s*{quote}([^\"''\s>]+)",
+    )
+    targets = " UNION ALL ".join(["SELECT url AS src, url AS target FROM pages", *[f"SELECT url, regexp_extract(html, '{p}', 1) FROM pages" for p in links]])
+    tests = sorted(url_filters.RULES, key=lambda r: (-len(r[1]), r[1], r[0]))
+
+    def fit(u: str, n: int) -> str:
+        out = []
+        for rule in tests:
+            at = rule[1].index("/")
+            h = rule[1][:at]
+            out.append(f"WHEN ({host(u)} = '{h}' OR ends_with({host(u)}, '.{h}')) AND starts_with({path(u)}, '{rule[1][at:]}') THEN '{rule[n]}'")
+        return f"CASE {' '.join(out)} END"
+
+    return f"""
+WITH RECURSIVE edge AS (SELECT DISTINCT src, dst FROM (SELECT src, {canonical('target')} AS dst FROM ({targets}) WHERE contains(src, '://')) WHERE src <> dst
+), both_ways AS (SELECT src AS a, dst AS b FROM edge UNION SELECT dst, src FROM edge
+), reach AS (SELECT a AS node, a AS low FROM both_ways UNION SELECT e.b, r.low FROM reach r JOIN both_ways e ON e.a = r.node
+), comp AS (SELECT node, min(low) AS alias_group FROM reach GROUP BY node
+), kind AS (SELECT alias_group, bool_or(coalesce(d = 'allow', false)) AS any_allow, bool_or(coalesce(d = 'block', false)) AS any_block FROM (SELECT alias_group, {fit('node', 0)} AS d FROM comp) GROUP BY alias_group)
+SELECT page_id, {host('url')} AS host, {path('url')} AS path, {fit('url', 1)} AS rule,
+       coalesce({fit('url', 0)}, CASE WHEN any_allow THEN 'allow' WHEN any_block THEN 'block' END, 'allow') AS verdict, alias_group
+FROM pages LEFT JOIN comp ON comp.node = url LEFT JOIN kind USING (alias_group)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": SQL_OP10}
+    return {"op3_minhash": SQL_OP3, "op6_url_filters": _sql_op6(), "op10_warc": SQL_OP10}
