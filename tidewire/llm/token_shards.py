@@ -22,19 +22,22 @@ are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .bpe import stretches
 from .common import get, new_folder, put, written
 
 MAGIC = 0x0001_5852_544D_5657
@@ -43,8 +46,10 @@ RANK_EVERY = 512
 PART = 1 << 15
 #: Tokens held before a shard is written.
 SHARD_TOKENS = 4_000_000
+#: Characters of text that are encoded together.
+GROUP = 4 << 20
 #: A worker keeps the ids of so many stretches of text, then starts anew.
-CACHE = 1_000_000
+CACHE = 1_200_000
 
 
 class WaveletMatrix:
@@ -178,37 +183,65 @@ def from_bytes(raw: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
     return [None if null else int(i) for i, null in zip(ids, nulls, strict=True)], ends, WaveletMatrix(n, zeros, counts, bits)
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
-
-
-_SPECIAL = re.compile(r"<\|")
-
+#: Stretches that the library encodes in one call.
+CALL = 20_000
+#: White space other than the space and the line feed, plain text having none of it.
+ODD_SPACES = ("\t", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", *map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_CUT = re.compile(r"(?<=\S)(?=[ \n])")
+
+
+def marked(text: str) -> str:
+    """``text`` with a NUL before each space or line feed that follows a
+    character that is not white space. No piece of the tokenizer crosses such a place."""
+    if "  " in text or "\n " in text or "\n\n" in text or " \n" in text or any(c in text for c in (ODD_SPACES[:8] if text.isascii() else ODD_SPACES)):
+        return "\0".join(_CUT.split(text))
+    return text.replace("\n", "\0\n").replace(" ", "\0 ")
+
+
+class Encoder:
+    """A tokenizer of the library that encodes each distinct stretch of text once."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
+        self.tokenizer = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cache: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        for i in range(0, len(new), CALL):
+            part = new[i : i + CALL]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.cache.update(zip(part, [array(self.kind.char, e.ids).tobytes() for e in found], strict=True))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts, special tokens not added."""
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        # A text with a NUL or an added token is given to the library whole.
+        whole = {i for i, t in enumerate(texts) if "\0" in t or any(a in t for a in self.added)}
+        lists = pc.split_pattern(pa.array(["" if i in whole else marked(t) for i, t in enumerate(texts)], pa.large_string()), "\0")
+        stretches = lists.flatten().dictionary_encode()
+        distinct = stretches.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([s for s in distinct if s and s not in self.cache])
+        known = [self.cache[s] if s else b"" for s in distinct]
+        flat = np.frombuffer(b"".join(known), self.kind)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
+        start, which = np.cumsum(size) - size, stretches.indices.to_numpy()
+        sizes = size[which]
+        ends = np.r_[0, np.cumsum(sizes)]
+        ids = flat[np.arange(ends[-1]) + np.repeat(start[which] - ends[:-1], sizes)]
+        bounds = ends[lists.offsets.to_numpy()].tolist()
+        out = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.kind)
+        return out
 
-def encode_texts(texts: list[str], tokenizer_file: str) -> list[np.ndarray]:
-    """Ids of whole texts, special tokens not added.
 
-    The library encodes each distinct stretch of text once; stretches end
-    where its own splitting always ends a piece. Texts that might hold an
-    added token are given to it whole.
-    """
-    tokenizer, cache = _tokenizer(tokenizer_file)
-    if len(cache) > CACHE:
-        cache.clear()
-    cut = [None if _SPECIAL.search(t) else stretches(t) for t in texts]
-    new = list(set().union(*[c for c in cut if c]).difference(cache))
-    for i in range(0, len(new), 10_000):
-        part = new[i : i + 10_000]
-        encoded = tokenizer.encode_batch_fast(part, add_special_tokens=False)
-        cache.update(zip(part, [np.array(e.ids, "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4").tobytes() for e in encoded], strict=True))
-    kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-    return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, kind) if c is None else np.frombuffer(b"".join(map(cache.__getitem__, c)), kind) for t, c in zip(texts, cut, strict=True)]
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder for a tokenizer file."""
+    return Encoder(path)
 
 
 SHARDS = "path string, task int, number int, docs long, tokens long"
@@ -242,7 +275,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int
 
         def add(group_ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
             nonlocal held
-            for doc_id, found in zip(group_ids, encode_texts(texts, tokenizer_file), strict=True):
+            for doc_id, found in zip(group_ids, encoder(tokenizer_file).encode(texts), strict=True):
                 ids.append(doc_id)
                 parts.append(np.append(found, found.dtype.type(end_id)))
                 held += len(parts[-1])
@@ -255,7 +288,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int
                 group_ids.append(doc_id.as_py())
                 texts.append(text.as_py())
                 size += len(texts[-1])
-                if size >= 1 << 20:
+                if size >= GROUP:
                     yield from add(group_ids, texts)
                     group_ids, texts, size = [], [], 0
         yield from add(group_ids, texts)
