@@ -73,13 +73,13 @@ def oracle_sql() -> dict[str, str]:
 ), lab AS (SELECT st.id, coalesce(CAST(num.topic_id AS INTEGER), -1) AS topic_id FROM stories st LEFT JOIN comp ON comp.node = st.id LEFT JOIN num USING (c)
 {TOPICS[TOPICS.index("), term AS"):]} """
     return {
-        "s1_ranked_ids": f"{s}SELECT * FROM ({ranked}) WHERE rank < 500",
-        "s2_first_ranked": f"{s}SELECT * FROM ({ranked}) WHERE rank < 100",
+        "s1_ranked_ids": f"{s}SELECT id, CAST(rank AS INTEGER) AS rank FROM ({ranked}) WHERE rank < 500",
+        "s2_first_ranked": f"{s}SELECT id, CAST(rank AS INTEGER) AS rank FROM ({ranked}) WHERE rank < 100",
         "s3_story_details": f"{s}SELECT id, title, score, descendants, date_trunc('second', time) AS time, url FROM stories JOIN ({ranked}) USING (id) WHERE rank < 30",
         "s4_s5_snapshot": f"{s}SELECT * FROM stories",
         "s6_export_csv": f"{s}SELECT id, score, descendants FROM stories",
         "s7_export_json": f"{s}SELECT id, title, score, strftime(time, '%Y-%m-%dT%H:%M:%S') AS time FROM stories",
-        "s8_index_documents": f"{s}{index_of('stories')} SELECT doc_id AS id, title AS document, len(embedding) AS dims, score, descendants, url, idx AS index FROM doc",
+        "s8_index_documents": f"{s}{index_of('stories')} SELECT doc_id AS id, title AS document, CAST(len(embedding) AS INTEGER) AS dims, score, descendants, url, CAST(idx AS INTEGER) AS index FROM doc",
         "s8_duplicate_ids": f"{s}SELECT md5(title) AS id, count(*) AS n FROM stories GROUP BY 1 HAVING count(*) > 1",
         "s9_default_metadata": f"{s}{index_of('stories')} SELECT doc_id AS id, substring(title, 1, 100) AS text FROM doc",
         "p1_extract": f"{s}SELECT id, title, coalesce(score, 0) AS score, coalesce(descendants, 0) AS descendants, date_trunc('second', time) AS time, url FROM stories WHERE title IS NOT NULL",
@@ -119,12 +119,12 @@ def oracle_sql() -> dict[str, str]:
         "x1_sentiment": f"{t}SELECT id, sentiment_score, sentiment_label FROM scored",
         "x2_topics": f"{components}SELECT lab.id, lab.topic_id, coalesce(topic_keyword, CASE WHEN lab.topic_id = -1 THEN 'Outlier/No Topic' ELSE 'Topic_' || lab.topic_id END) AS topic_keyword FROM lab LEFT JOIN keyword USING (topic_id)",
         "j5_near_pairs": f"SELECT a, b, round(similarity, 6) AS similarity FROM (SELECT a.vec_id AS a, b.vec_id AS b, 1 - {COSINE.replace('(q AS', '(a.embedding AS').replace('(embedding AS', '(b.embedding AS')} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE similarity >= 0.4",
-        "x6_index": f"{e}SELECT topic_keyword, count(*) AS n, max(idx) AS last_index FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) - 1 AS idx FROM enriched) GROUP BY topic_keyword",
-        "t4_nearest": nearest.format(distance=COSINE) + "SELECT query_id, id, round(distance, 6) AS distance, position FROM top WHERE position <= 10",
-        "x7_semantic_search": "WITH " + hit.replace("<where>", "").replace("<keep>", "AND 1 - distance >= 0.33") + """SELECT query_id, rank, id, round_even(1 - distance, 3) AS similarity_score, round_even(distance, 3) AS distance,
+        "x6_index": f"{e}SELECT topic_keyword, count(*) AS n, CAST(max(idx) AS INTEGER) AS last_index FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) - 1 AS idx FROM enriched) GROUP BY topic_keyword",
+        "t4_nearest": nearest.format(distance=COSINE) + "SELECT query_id, id, round(distance, 6) AS distance, CAST(position AS INTEGER) AS position FROM top WHERE position <= 10",
+        "x7_semantic_search": "WITH " + hit.replace("<where>", "").replace("<keep>", "AND 1 - distance >= 0.33") + """SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round_even(1 - distance, 3) AS similarity_score, round_even(distance, 3) AS distance,
             'Similarity: ' || printf('%.1f', round_even(round_even(1 - distance, 3) * 100, 1)) || '%' AS explanation FROM kept""",
-        "x8_engine_search": "WITH " + hit.replace("<where>", "WHERE score >= 20").replace("<keep>", "") + "SELECT query_id, rank, id, round_even(1 - distance, 3) AS similarity_score FROM kept",
-        "x9_inner_product": nearest.format(distance="round(1 - list_dot_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9)") + "SELECT query_id, id, position FROM top WHERE position <= 5",
+        "x8_engine_search": "WITH " + hit.replace("<where>", "WHERE score >= 20").replace("<keep>", "") + "SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round_even(1 - distance, 3) AS similarity_score FROM kept",
+        "x9_inner_product": nearest.format(distance="round(1 - list_dot_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9)") + "SELECT query_id, id, CAST(position AS INTEGER) AS position FROM top WHERE position <= 5",
         "g3_g6_catalogue": f"""WITH {MANIFESTS} SELECT "limit", analysis_type, stories_count, now - timestamp < 604800 AS valid, round((now - timestamp) / 3600, 6) AS age_hours FROM m, last""",
         "g4_index_validity": f"WITH {MANIFESTS} SELECT day, analysis_type, now - timestamp <= 3600 AS valid FROM m, last",
         "g5_snapshot_keys": f"""WITH {MANIFESTS} SELECT day, analysis_type, md5("limit" || '_' || analysis_type) AS cache_key FROM m""",
