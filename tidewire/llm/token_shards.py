@@ -252,8 +252,9 @@ def write_shards(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int
     tokens of all shards before each: ``(path, docs, tokens, start)``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Ranges of ids only: the driver samples the keys, so texts are none.
+    by_id = F.col("doc_id").asc_nulls_first()
+    ordered = rows.repartitionByRange(n, by_id).sortWithinPartitions(by_id, "text")
     run_id = uuid.uuid4().hex
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
