@@ -7,7 +7,7 @@ token characters and private key blocks. Features of a candidate:
   digit, other), shares of digits and capitals, entropy, and how usual its
   letter pairs are in the corpus;
 - dictionary coverage: the share of its characters inside words of a
-  dictionary, the ``DICTIONARY`` most frequent words of all documents;
+  dictionary, those that make up ``WORD_SHARE`` or more of all documents' words;
 - path: whether the document's path speaks of tests and samples, or of
   configuration and credentials, and whether the candidate is part of a URL or path;
 - neighbouring words: a credential word before it, an assignment, quotes,
@@ -45,8 +45,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Words in the dictionary; the model's size, not a limit on the corpus counted.
-DICTIONARY = 5_000
+#: Least share of a dictionary word in all frequent words: at most 50,000 words reach it.
+WORD_SHARE = 1 / 50_000
 #: A dictionary word occurs so often at least and has 2 to so many letters, so
 #: that no key is a word by itself.
 WORD_COUNT, WORD_LENGTH = 5, 12
@@ -190,10 +190,12 @@ def describe(text: str, span: tuple[int, int], path: str, lexicon: Lexicon) -> l
 
 
 def build_lexicon(docs: DataFrame, text_col: str = "text") -> Lexicon:
-    """The most frequent words of all documents, with how often they occur."""
+    """The frequent words of all documents, with how often they occur."""
     word = F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("word")
-    top = docs.select(word).where(F.length("word").between(2, WORD_LENGTH)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= WORD_COUNT)
-    return Lexicon({r.word: r.n for r in top.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()})
+    counts = docs.select(word).where(F.length("word").between(2, WORD_LENGTH)).groupBy("word").agg(F.count("*").alias("n"))
+    kept = written(counts.where(F.col("n") >= WORD_COUNT), "word-counts")
+    least = (kept.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) * WORD_SHARE
+    return Lexicon({r.word: r.n for r in kept.where(F.col("n") >= least).collect()})
 
 
 def row_key(text: Column, path: Column) -> Column:
