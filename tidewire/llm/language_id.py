@@ -151,8 +151,14 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         frequency[bucket] = count
     idf = (np.log((1 + n) / (1 + frequency)) + 1).astype(np.float32)
 
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= SAMPLE).select("doc_id", F.col("lang").alias("chosen_lang"))
+    # A ticket thins each language to about twice its sample first, so that no
+    # language is sorted in one task.
+    totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = F.coalesce(*[F.when(F.col("lang") == lang, min(1.0, 2 * SAMPLE / n)) for lang, n in totals.items()], F.lit(0.0))
+    ticket = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) / (1 << 40)
+    by_hash = Window.partitionBy("lang").orderBy(ticket, "doc_id")
+    thinned = rows.select("doc_id", "lang").where(ticket < share)
+    chosen = thinned.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= SAMPLE).select("doc_id", F.col("lang").alias("chosen_lang"))
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
