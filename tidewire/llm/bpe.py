@@ -38,7 +38,7 @@ LONG = 512
 #: Matrices hold so many cells at most.
 CELLS = 1 << 20
 #: A worker keeps the ids of so many stretches of text, then starts anew.
-CACHE = 600_000
+CACHE = 300_000
 NONE = np.int32(np.iinfo(np.int32).max)
 
 _BREAK = re.compile(r"\s[ \n]")

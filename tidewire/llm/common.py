@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +52,19 @@ def _written_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Batches of ``n`` rows for what is run inside, where rows are wide: both
+    the JVM and the Python worker hold a whole batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Components of the graph of ``edges(src, dst)``: rows ``(node, component)``.
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, remove, written
+from .common import arrow_rows, connected_components, written
 from .shingles import shingle_sets, text_batches
 from .syncmers import mix
 
@@ -44,6 +44,8 @@ BANDS, ROWS = 24, 5
 PLACES = BANDS * ROWS
 #: A pair is verified if its estimate is no more than so many deviations under the threshold.
 DEVIATIONS = 5
+#: Rows in a batch between Spark and Python; a row holds a text or two full sets.
+BATCH = 1000
 #: Documents of a bucket in a block of the second pass.
 BLOCK = 512
 #: Shingles of documents whose signatures are computed together.
@@ -361,7 +363,8 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    found = written(features(rows), "near-features")
+    with arrow_rows(spark, BATCH):
+        found = written(features(rows), "near-features")
     # Rows with one id are one document; the set that sorts first stands for it.
     shaped = found.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "set_a", "set_b")).alias("s"), F.count("*").alias("copies")).select("doc_id", "s.*", "copies")
     classes = shaped.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
@@ -374,17 +377,20 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     shapes = written(reps.join(bucketed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch"), "near-shapes")
     # Merged, not broadcast: these ids grow with the documents.
     texts = rows.join(shapes.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    sets = written(full_sets(texts).dropDuplicates(["doc_id"]), "near-sets")
+    with arrow_rows(spark, BATCH):
+        sets = written(full_sets(texts).dropDuplicates(["doc_id"]), "near-sets")
 
     # First pass: each document with the centre that it meets in most buckets.
     partner = bucketed.where("doc_id <> centre").groupBy("doc_id", "centre").agg(F.count("*").alias("n"))
     partner = partner.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("top")).select((-F.col("top.c")).alias("a"), F.col("doc_id").alias("b"))
-    links = written(verify(partner, sets, percent), "near-links")
+    with arrow_rows(spark, BATCH):
+        links = written(verify(partner, sets, percent), "near-links")
     groups = written(union_find(links), "near-joined")
 
     # Second pass: what the first has left apart.
-    units = written(apart(bucketed.select("key", "band", "doc_id"), groups, shapes, percent), "near-units")
-    more = written(links_apart(units, sets, percent), "near-links")
+    with arrow_rows(spark, BATCH):
+        units = written(apart(bucketed.select("key", "band", "doc_id"), groups, shapes, percent), "near-units")
+        more = written(links_apart(units, sets, percent), "near-links")
     joined = union_find(links.union(more)).withColumnRenamed("node", "rep")
 
     grouped = member.join(joined, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.explode(F.expr("array_repeat(0, cast(copies as int))")).alias("copy"))
