@@ -70,3 +70,17 @@ def test_one_and_none(spark, empty):
     row = s.compare_with_edits(spark.createDataFrame([(1, "abcdefg" * 9)], "doc_id long, text string")).first()
     assert row.near_next == 1.0 and row.n_chars == 63
     assert s.anchors(empty).count() == 0
+
+
+def test_texts_without_a_syncmer_have_an_anchor(spark):
+    r = random.Random(5)
+    texts = [bytes(r.choice(b"abcdefgh ") for _ in range(n)) for n in range(24, 39) for _ in range(20)]
+    bare = [t for t in texts if not len(s.anchors_of(t)[0])]
+    assert len(bare) > 100
+    found = s.sketches([*bare, b""])
+    assert [len(f) for f in found] == [1] * len(bare) + [0]
+    assert len({s.to_text(f) for f in found}) == len(set(bare)) + 1
+    assert s.likeness(found[0], found[1]) == 0.0 and s.likeness(found[0], found[-1]) == 0.0 and s.likeness(found[0], found[0]) == 1.0
+    docs = spark.createDataFrame([(1, bare[0].decode()), (2, bare[1].decode()), (3, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.near_next) for r in s.compare_with_edits(docs).collect()) == [(1, 0.0), (2, 0.0), (3, 0.0)]
+    assert sorted((r.doc_id, r.position) for r in s.anchors(docs).collect()) == [(1, 0), (2, 0)]

@@ -8,8 +8,9 @@ be missed. ``anchors`` returns them with their positions, for matching by
 offset; a fingerprint is the ``SKETCH`` smallest distinct anchor hashes.
 
 Defined cases: a null text is an empty one. A text of under ``K`` bytes is
-one anchor, its own hash; the empty text has no anchor and an empty
-fingerprint. The likeness of two empty fingerprints is 1, of an empty one
+one anchor, its own hash, and so is a longer one without a closed syncmer
+(windows of up to 38 bytes can all lack one): the whole text stands for it.
+Only the empty text has no anchor and an empty fingerprint. The likeness of two empty fingerprints is 1, of an empty one
 and any other 0. Rows with equal ids are ordered by their text; a null id
 comes first. A single document is its own next. Only the id and text
 columns are read, so other columns can't clash.
@@ -67,12 +68,17 @@ def _select(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(h)
 
 
+def _whole(raw: bytes) -> np.ndarray:
+    """The anchor of a text that has no closed syncmer: its own hash."""
+    return np.frombuffer(hashlib.blake2b(raw, digest_size=8).digest(), "<u8").astype(np.uint64)
+
+
 def anchors_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Byte positions and hashes of the anchors of a whole text."""
+    """Byte positions and hashes of the closed syncmers of a whole text; of one under K bytes, its own hash."""
     if not raw:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(raw) < K:
-        return np.zeros(1, np.int64), np.frombuffer(hashlib.blake2b(raw, digest_size=8).digest(), "<u8").astype(np.uint64)
+        return np.zeros(1, np.int64), _whole(raw)
     buffer, at, hashes = np.frombuffer(raw, np.uint8), [], []
     for start in range(0, len(raw) - K + 1, STRETCH):
         found = _select(buffer[start : start + STRETCH + K - 1])
@@ -81,6 +87,12 @@ def anchors_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(hashes)
 
 
+def defined_anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``anchors_of``, and for a non-empty text without any, the whole text at its start."""
+    at, hashes = anchors_of(raw)
+    return (at, hashes) if len(at) or not raw else (np.zeros(1, np.int64), _whole(raw))
+
+
 def sketches(texts: list[bytes]) -> list[np.ndarray]:
     """The bottom sketch of each text. Texts are hashed together, one buffer a stretch."""
     out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
@@ -96,7 +108,7 @@ def sketches(texts: list[bytes]) -> list[np.ndarray]:
             owner, hashes = owner[inside], hashes[inside]
             cuts = np.searchsorted(owner, np.arange(len(together) + 1))
             for i, a, b in zip(together, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                out[i] = np.unique(hashes[a:b])[:SKETCH]
+                out[i] = np.unique(hashes[a:b])[:SKETCH] if a < b else _whole(texts[i])
         together, size = [], 0
 
     for i, raw in enumerate(texts):
@@ -106,7 +118,7 @@ def sketches(texts: list[bytes]) -> list[np.ndarray]:
             if size >= STRETCH:
                 flush()
         else:
-            out[i] = np.unique(anchors_of(raw)[1])[:SKETCH]
+            out[i] = np.unique(defined_anchors(raw)[1])[:SKETCH]
     flush()
     return out
 
@@ -145,7 +157,7 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                at, hashes = anchors_of((text.as_py() or "").encode())
+                at, hashes = defined_anchors((text.as_py() or "").encode())
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(at), pa.int64()), pa.array(at), pa.array(hashes.view(np.int64))], ["doc_id", "position", "anchor"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ANCHORS)
