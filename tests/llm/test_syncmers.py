@@ -84,3 +84,21 @@ def test_texts_without_a_syncmer_have_an_anchor(spark):
     docs = spark.createDataFrame([(1, bare[0].decode()), (2, bare[1].decode()), (3, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.near_next) for r in s.compare_with_edits(docs).collect()) == [(1, 0.0), (2, 0.0), (3, 0.0)]
     assert sorted((r.doc_id, r.position) for r in s.anchors(docs).collect()) == [(1, 0), (2, 0)]
+
+
+def test_all_anchors_of_long_texts_count(spark):
+    r = random.Random(6)
+    long = "".join(r.choice("abcdefgh ") for _ in range(60_000))
+    top = s.anchor_sets([long.encode()])[0][s.SKETCH - 1]
+    at, hashes = s.anchors_of(long.encode())
+    low = at[hashes <= top]
+    gap = int(np.argmax(np.diff(low)))  # a stretch without any anchor of the sketch
+    a, b = int(low[gap]) + s.K, int(low[gap + 1])
+    middle = (a + b) // 2
+    other = next(o for o in (long[:middle] + c * 30 + long[middle + 30 :] for c in "xyzuvw") if (s.sketches([long.encode()])[0] == s.sketches([o.encode()])[0]).all())
+    docs = spark.createDataFrame([(1, long), (2, other)], "doc_id long, text string")
+    one, two = sorted(s.compare_with_edits(docs).collect())
+    x, y = (set(s.anchors_of(t.encode())[1].tolist()) for t in (long, other))
+    assert x != y and one.fingerprint != two.fingerprint
+    assert one.near_next == two.near_next == pytest.approx(2 * len(x & y) / (len(x) + len(y))) and one.near_next < 1
+    assert (s.from_text(one.fingerprint) == s.from_text(two.fingerprint)).all()

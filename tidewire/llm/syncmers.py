@@ -1,11 +1,15 @@
-"""Document fingerprints: closed syncmers, compared as bottom sketches.
+"""Document fingerprints: closed syncmers, compared by all that two texts have.
 
 A window of ``K`` bytes is an anchor if the smallest of its inner
 substrings of ``S`` bytes, by a hash, lies at its start or its end. Whether
 a window is chosen depends on its own bytes only, so equal passages give
 equal anchors whatever surrounds them, and two anchors in one window can't
-be missed. ``anchors`` returns them with their positions, for matching by
-offset; a fingerprint is the ``SKETCH`` smallest distinct anchor hashes.
+be missed. A fingerprint is the ``SKETCH`` smallest distinct anchor hashes
+and, where a text has more, a digest of all of them, so that texts with
+different anchors have different ones. Likenesses are of all anchors.
+``anchors`` returns them with their positions, for matching by offset;
+fingerprints and likenesses are of sets and use no position, so moved or
+repeated passages count as kept.
 
 Defined cases: a null text is an empty one. A text of under ``K`` bytes is
 one anchor, its own hash, and so is a longer one without a closed syncmer
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 #: Window and inner substring, in bytes.
 K, S = 24, 8
-#: Anchor hashes kept in a fingerprint.
+#: Anchor hashes that a fingerprint lists; its digest covers the others.
 SKETCH = 128
 #: Texts are hashed in stretches of about so many bytes.
 STRETCH = 1 << 18
@@ -93,8 +97,8 @@ def defined_anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (at, hashes) if len(at) or not raw else (np.zeros(1, np.int64), _whole(raw))
 
 
-def sketches(texts: list[bytes]) -> list[np.ndarray]:
-    """The bottom sketch of each text. Texts are hashed together, one buffer a stretch."""
+def anchor_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """All distinct anchor hashes of each text, ascending. Texts are hashed together, one buffer a stretch."""
     out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
     together, size = [], 0
 
@@ -108,7 +112,7 @@ def sketches(texts: list[bytes]) -> list[np.ndarray]:
             owner, hashes = owner[inside], hashes[inside]
             cuts = np.searchsorted(owner, np.arange(len(together) + 1))
             for i, a, b in zip(together, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                out[i] = np.unique(hashes[a:b])[:SKETCH] if a < b else _whole(texts[i])
+                out[i] = np.unique(hashes[a:b]) if a < b else _whole(texts[i])
         together, size = [], 0
 
     for i, raw in enumerate(texts):
@@ -118,34 +122,35 @@ def sketches(texts: list[bytes]) -> list[np.ndarray]:
             if size >= STRETCH:
                 flush()
         else:
-            out[i] = np.unique(defined_anchors(raw)[1])[:SKETCH]
+            out[i] = np.unique(defined_anchors(raw)[1])
     flush()
     return out
 
 
-def to_text(sketch: np.ndarray) -> str:
-    return sketch.astype(">u8").tobytes().hex()
+def sketches(texts: list[bytes]) -> list[np.ndarray]:
+    """The bottom sketch of each text."""
+    return [found[:SKETCH] for found in anchor_sets(texts)]
+
+
+def to_text(found: np.ndarray) -> str:
+    """The fingerprint of distinct ascending anchors: the first ``SKETCH``, then a digest of all if there are more."""
+    said = found[:SKETCH].astype(">u8").tobytes().hex()
+    return said if len(found) <= SKETCH else said + hashlib.blake2b(found.astype(">u8").tobytes(), digest_size=16).hexdigest()
 
 
 def from_text(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), ">u8").astype(np.uint64)
+    """The bottom sketch in a fingerprint."""
+    return np.frombuffer(bytes.fromhex(fingerprint), ">u8").astype(np.uint64)[:SKETCH]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of common anchors, twice the common ones over the sum of both
-    counts, estimated from two bottom sketches; exact for texts of fewer than
-    ``SKETCH`` anchors. A text half of which is kept is at about a half."""
+    counts, of two sets of distinct anchors. A text half of which is kept is
+    at about a half."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     both = np.sort(np.concatenate([a, b]))
-    again = both[1:] == both[:-1]
-    # distinct values so far at each place; shared ones count among the first SKETCH of the union
-    distinct = np.cumsum(np.r_[True, ~again])
-    cut = int(np.searchsorted(distinct, SKETCH, side="right"))
-    if len(a) < SKETCH and len(b) < SKETCH:
-        cut = len(both)
-    jaccard = again[: max(cut - 1, 0)].sum() / distinct[cut - 1]
-    return float(2 * jaccard / (1 + jaccard))
+    return float(2 * np.count_nonzero(both[1:] == both[:-1]) / len(both))
 
 
 ANCHORS = "doc_id long, position long, anchor long"
@@ -222,7 +227,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             raw = [t.encode() for t in edited]
             all_texts = [text.encode() for _, text, _ in group]
             last = group[-1][2].encode()
-            found = sketches([*all_texts, last, *raw])
+            found = anchor_sets([*all_texts, last, *raw])
             own, after, other = found[: len(group)], found[1 : len(group) + 1], found[len(group) + 1 :]
             out = [
                 pa.array([i for i, _, _ in group], pa.int64()),
@@ -237,7 +242,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         group, size, last = [], 0, None
         for doc_id, text, after in pairs():
-            # A group is a run of neighbours, so the next one's sketch is made once.
+            # A group is a run of neighbours, so the next one's anchors are found once.
             if group and (size >= STRETCH or last is not text):
                 yield finish(group)
                 group, size = [], 0
