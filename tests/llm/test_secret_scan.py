@@ -81,3 +81,24 @@ def test_coverage_and_pairs():
     assert lexicon.coverage("waterHouse") == 1.0 and lexicon.coverage("water12345") == 0.5 and lexicon.coverage("") == 0.0
     assert lexicon.pair_score("water") > lexicon.pair_score("qzxkv")
     assert secret_scan.Lexicon({}).coverage("abc") == 0.0
+
+
+def test_training_sample_with_a_hot_group_of_copies(spark, monkeypatch):
+    rows, planted = corpus(4, 200)
+    secret = next(i for i in planted if "AKIA" not in rows[i][1])
+    copies = [(1000 + i, *rows[secret][1:]) for i in range(3000)]
+    df = spark.createDataFrame(rows + copies, DOC).repartition(4)
+    drawn = []
+    monkeypatch.setattr(secret_scan, "TRAINING_ROWS", 40)
+    keep = secret_scan.written
+    monkeypatch.setattr(secret_scan, "written", lambda d, name: (drawn.append((name, keep(d, name))), drawn[-1][1])[1])
+    model = secret_scan.fit(secret_scan.seed_labels(secret_scan.scan(df, secret_scan.build_lexicon(df))))
+    sample = next(d for name, d in drawn if name == "secret-training")
+    assert {r.label: r["count"] for r in sample.groupBy("label").count().collect()} == {0.0: 20, 1.0: 20}
+    assert not isinstance(model, float)
+    monkeypatch.setattr(secret_scan, "TRAINING_ROWS", 4_000)  # all: the group is one row, and no longer outweighs the others
+    drawn.clear()
+    found = secret_scan.find_secrets(df).where("doc_id < 1000 and is_secret").select("doc_id").distinct().collect()
+    assert {r.doc_id for r in found} == set(planted)
+    sample = next(d for name, d in drawn if name == "secret-training")
+    assert sample.where("label = 1").count() == len(planted) and sample.agg(F.max("weight")).first()[0] < 12

@@ -14,7 +14,9 @@ token characters and private key blocks. Features of a candidate:
   and words such as ``checksum`` or ``example`` nearby.
 
 The forest is fitted on labelled findings, at most ``TRAINING_ROWS`` of
-them by a hash. Where no labels are given, ``seed_labels`` derives them: a
+them by a hash, half for each label. Equal findings of copies are one with
+a weight of 1 + ln(copies), so that a large group of copies neither fills
+the sample nor outweighs all others. Where no labels are given, ``seed_labels`` derives them: a
 credential word or a provider's prefix with a random-looking body is a
 secret, a body of words or of digits only is none, the rest has no label.
 
@@ -34,6 +36,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -247,17 +250,27 @@ def seed_labels(found: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame) -> RandomForestClassificationModel | float:
     """A forest from findings with a ``label``; the only label, if there is one kind (1 without any)."""
     known = labelled.where("label is not null")
-    kinds = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    # Copies have equal texts and paths, and so equal features.
+    distinct = written(known.groupBy("row_key", "start", "value_sha256", "label").agg(F.first("features").alias("features"), F.count("*").alias("copies")), "secret-distinct")
+    kinds = {r.label: r["count"] for r in distinct.groupBy("label").count().collect()}
     if len(kinds) < 2:
         return next(iter(kinds), 1.0)
-    # Half of the rows for each label, as far as there are so many, by a hash of the value.
-    share = {label: min(1.0, TRAINING_ROWS / 2 / n) for label, n in kinds.items()}
-    ticket = F.pmod(F.xxhash64("value_sha256", "start", "row_key"), F.lit(1_000_000)) / 1_000_000
-    limit = F.when(F.col("label") == 1, share[1.0]).otherwise(share[0.0])
+    # Half of the rows for each label, as far as there are so many, by a hash of the value. First about
+    # a quarter too many are taken by share, so that ordering moves few rows and always has enough.
+    half = TRAINING_ROWS // 2
+    hashed = F.xxhash64("value_sha256", "start", "row_key")
+    limit = F.lit(None).cast("double")
+    for label, n in kinds.items():
+        limit = F.when(F.col("label") == label, min(1.0, 1.25 * half / n)).otherwise(limit)
+    near = distinct.where(hashed / 2.0**64 + 0.5 <= limit).withColumn("ticket", hashed)
+    drawn = [near.where(F.col("label") == label).orderBy("ticket", "value_sha256", "start", "row_key").limit(half) for label in sorted(kinds)]
+    rows = written(reduce(DataFrame.union, drawn).select("features", "label", (1 + F.log("copies")).alias("weight")), "secret-training")
+    sums = {r.label: r["sum(weight)"] for r in rows.groupBy("label").sum("weight").collect()}
+    if len(sums) < 2:
+        return next(iter(sums), 1.0)
     # Both labels weigh the same, however rare secrets are.
-    weight = F.when(F.col("label") == 1, 1 / (kinds[1.0] * share[1.0])).otherwise(1 / (kinds[0.0] * share[0.0]))
-    rows = known.where(ticket < limit).select(_inputs().alias("x"), "label", (weight * TRAINING_ROWS).alias("weight"))
-    rows = written(rows, "secret-training")
+    total = F.when(F.col("label") == 1, sums[1.0]).otherwise(sums[0.0])
+    rows = rows.select(_inputs().alias("x"), "label", (F.col("weight") / total * TRAINING_ROWS).alias("weight"))
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird")
     return forest.fit(rows)
 
