@@ -325,7 +325,8 @@ def x1_sentiment(spark, d):
 
 @query
 def x1_sentiment_rules(spark, d):
-    s = view(spark, d)
+    """Sentiment of whole texts by the rules."""
+    s = stories.whole_stories(spark, d)
     return sentiment.score(s, sentiment.derived_lexicon(s)).select("id", "sentiment_score", "sentiment_label")
 
 
@@ -337,8 +338,9 @@ def x2_topics(spark, d):
 
 @query
 def x2_topics_kmeans(spark, d):
+    """Topics by k-means, with keywords from whole texts."""
     v = vectors(spark, d).select("id", "embedding")
-    return topics.discover(view(spark, d), v, method="kmeans", k=10).select("id", "topic_id", "topic_keyword")
+    return topics.discover(stories.whole_stories(spark, d), v, method="kmeans", k=10).select("id", "topic_id", "topic_keyword")
 
 
 @query
@@ -348,8 +350,9 @@ def j5_near_pairs(spark, d):
 
 @query
 def x5_embeddings(spark, d):
-    titled = view(spark, d).select("id", F.col("title").alias("document"))
-    return search.embed(titled).select("id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
+    """Embeddings of whole texts."""
+    whole = stories.whole_stories(spark, d).select("id", F.col("title").alias("document"))
+    return search.embed(whole).select("id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
 
 
 @query

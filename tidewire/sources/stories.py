@@ -80,6 +80,11 @@ def stories_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a story ``(id, title)`` with its whole text, whether it has an event or not."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
+
+
 def land(stories: DataFrame, folder: str, ranks: int | None = None) -> tuple[str, str]:
     """Write stories as landed JSON: the ranked ids and the item records.
 
