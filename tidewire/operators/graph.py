@@ -5,33 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.workspace import written
+from ..sources.workspace import new_folder, remove
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``(node, component)`` for the nodes of ``edges(a, b)``; the component is its smallest node.
 
     Each round links every node's larger neighbours to its smallest one and
-    then its smaller neighbours likewise; rounds are written tables and end
-    when nothing changes.
+    then its smaller neighbours likewise: two aggregations with map-side
+    combine and two joins, and no neighbourhood is ever collected. Every
+    round is a written table, so a lost executor repeats one round at most;
+    tables of earlier rounds are removed. Loops and edges with a null end
+    are ignored, a node without any other edge has no row, and empty edges
+    give an empty result.
     """
+    spark = edges.sparkSession
+    base = new_folder(spark, name)
 
-    def mark(df: DataFrame):
+    def at(df: DataFrame, number: int) -> DataFrame:
+        df.write.parquet(f"{base}/{number}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{number}")
+
+    def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    last = mark(now)
-    for _ in range(most_rounds if last[0] else 0):
+    now = at(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), 0)
+    last, done = mark(now), 0
+    while last[0]:
         both = now.union(now.select("v", "u"))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = written(small.union(root).distinct(), "edges")
-        if (found := mark(now)) == last:
+        done += 1
+        now = at(small.union(root).distinct(), done)
+        found = mark(now)
+        remove(spark, f"{base}/{done - 1}")
+        if found == last:
             break
         last = found
-    else:
-        if last[0]:
-            raise RuntimeError(f"no end after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
