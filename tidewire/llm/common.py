@@ -1,57 +1,24 @@
-"""What the operators share: the cluster's folder, written tables, components."""
+"""What the operators share: tables, components, files in the cluster's folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_fallback: list[str] = []
+from ..operators.graph import components
+from ..sources.workspace import new_folder, remove, scratch, shared_dir, written
+
+__all__ = ["arrow_rows", "connected_components", "get", "new_folder", "put", "remove", "scratch", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A folder of our own is made only where that is unset, as in local tests.
-    """
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    if not _fallback:
-        _fallback.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-    return _fallback[0]
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def _written_at(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
     """Batches of ``n`` rows for what is run inside, where rows are wide: both
@@ -66,44 +33,8 @@ def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """Components of the graph of ``edges(src, dst)``: rows ``(node, component)``.
-
-    ``component`` is the smallest node reachable. Alternating large and small
-    stars: each round is two aggregations with map-side combine and two
-    joins, and no neighbourhood is ever collected. Every round is a written
-    table, so a lost executor repeats one round at most. Loops and edges with
-    a null end are ignored; a node without any other edge has no row. Empty
-    edges give an empty result.
-    """
-    spark = edges.sparkSession
-    base = new_folder(spark, name)
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    e = (
-        edges.where("src <> dst")
-        .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .distinct()
-    )
-    e = _written_at(e, f"{base}/0")
-    last, done = state(e), 0
-    while last[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        done += 1
-        e = _written_at(small.union(lowest).distinct(), f"{base}/{done}")
-        now = state(e)
-        if done > 1:
-            remove(spark, f"{base}/{done - 2}")
-        if now == last:
-            break
-        last = now
-    centres = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(centres)
+    """Components of the graph of ``edges(src, dst)``: ``(node, component)``, the smallest node reachable."""
+    return components(edges.select(edges["src"].alias("a"), edges["dst"].alias("b")), name)
 
 
 def put(path: str, data: bytes) -> None:
