@@ -1,27 +1,34 @@
-"""Document fingerprints: closed syncmers, compared by all that two texts have.
+"""Document fingerprints: closed syncmers, matched by hash and position.
 
 A window of ``K`` bytes is an anchor if the smallest of its inner
 substrings of ``S`` bytes, by a hash, lies at its start or its end. Whether
 a window is chosen depends on its own bytes only, so equal passages give
-equal anchors whatever surrounds them, and two anchors in one window can't
-be missed. A fingerprint is the ``SKETCH`` smallest distinct anchor hashes
-and, where a text has more, a digest of all of them, so that texts with
-different anchors have different ones. Likenesses are of all anchors.
-``anchors`` returns them with their positions, for matching by offset;
-fingerprints and likenesses are of sets and use no position, so moved or
-repeated passages count as kept.
-
-Defined cases: a null text is an empty one. A text of under ``K`` bytes is
-one anchor, its own hash, and so is a longer one without a closed syncmer
-(windows of up to 38 bytes can all lack one): the whole text stands for it.
-Only the empty text has no anchor and an empty fingerprint. The likeness of two empty fingerprints is 1, of an empty one
-and any other 0. Rows with equal ids are ordered by their text; a null id
-comes first. A single document is its own next. Only the id and text
+equal anchors whatever surrounds them, and of ``K - S + 1`` windows in a row
+one is an anchor. Texts are framed by ``MARGIN`` bytes that no UTF-8 text
+has, so every text but the empty one, however short, has that many windows
+and at least one anchor.
+
+A fingerprint holds all anchors of a whole text in the order of their
+positions: 32 bits of each hash and the step from the anchor before, which
+is at most ``K - S + 1`` bytes, as base64. ``anchors`` returns them as rows.
+Likenesses are computed from two fingerprints. The k-th occurrence of a
+hash in one is matched with its k-th in the other; a match counts if the
+match before or after it has the same offset, that is, if a passage of two
+anchors or more agrees in content and in spacing. Moved passages count, as
+their anchors move together; lone equal hashes don't, unless one of the
+texts has a single anchor. The likeness is twice the matches that count over
+the number of anchors of both.
+
+Defined cases: a null text is an empty one, without an anchor and with an
+empty fingerprint. The likeness of two empty fingerprints is 1, of an empty
+one and any other 0. Rows with equal ids are ordered by their text; a null
+id comes first. A single document is its own next. Only the id and text
 columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -32,8 +39,10 @@ from pyspark.sql import functions as F
 
 #: Window and inner substring, in bytes.
 K, S = 24, 8
-#: Anchor hashes that a fingerprint lists; its digest covers the others.
-SKETCH = 128
+#: Frames: bytes that no UTF-8 text has. With S = 8 no two inner substrings of one are equal.
+MARGIN = 20
+_BEFORE = bytes([0xF5, 0xF6, 0xF7, 0xF8, 0xF9] * 2 + [0xFA, 0xFB, 0xFC, 0xFD, 0xFE] * 2)
+_AFTER = bytes([0xFE, 0xFC, 0xFA, 0xF8, 0xF6] * 2 + [0xFF, 0xFD, 0xFB, 0xF9, 0xF7] * 2)
 #: Texts are hashed in stretches of about so many bytes.
 STRETCH = 1 << 18
 
@@ -72,85 +81,101 @@ def _select(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(h)
 
 
-def _whole(raw: bytes) -> np.ndarray:
-    """The anchor of a text that has no closed syncmer: its own hash."""
-    return np.frombuffer(hashlib.blake2b(raw, digest_size=8).digest(), "<u8").astype(np.uint64)
-
-
 def anchors_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Byte positions and hashes of the closed syncmers of a whole text; of one under K bytes, its own hash."""
+    """Byte positions and hashes of the anchors of a whole text. Those of windows
+    that begin in the frame before it are negative."""
     if not raw:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if len(raw) < K:
-        return np.zeros(1, np.int64), _whole(raw)
-    buffer, at, hashes = np.frombuffer(raw, np.uint8), [], []
-    for start in range(0, len(raw) - K + 1, STRETCH):
+    buffer, at, hashes = np.frombuffer(_BEFORE + raw + _AFTER, np.uint8), [], []
+    for start in range(0, len(buffer) - K + 1, STRETCH):
         found = _select(buffer[start : start + STRETCH + K - 1])
-        at.append(found[0] + start)
+        at.append(found[0] + (start - MARGIN))
         hashes.append(found[1])
     return np.concatenate(at), np.concatenate(hashes)
 
 
-def defined_anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """``anchors_of``, and for a non-empty text without any, the whole text at its start."""
-    at, hashes = anchors_of(raw)
-    return (at, hashes) if len(at) or not raw else (np.zeros(1, np.int64), _whole(raw))
+class Prints:
+    """Anchors of a text in the order of their positions, with short hashes."""
 
+    def __init__(self, at: np.ndarray, short: np.ndarray):
+        self.at, self.short = at, short
+        # A key for each anchor: its hash and how often that came before.
+        order = np.argsort(short, kind="stable")
+        ordered = short[order]
+        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(short) else np.zeros(0, np.int64)
+        times = np.arange(len(short)) - np.repeat(first, np.diff(np.r_[first, len(short)]))
+        self.keys = (ordered.astype(np.uint64) << np.uint64(32)) | times.astype(np.uint64)
+        self.key_at = at[order]
 
-def anchor_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """All distinct anchor hashes of each text, ascending. Texts are hashed together, one buffer a stretch."""
-    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
+
+def prints_of(texts: list[bytes]) -> list[Prints]:
+    """The anchors of each text. Texts are hashed together, one buffer a stretch."""
+    none = Prints(np.zeros(0, np.int64), np.zeros(0, np.uint32))
+    out: list[Prints] = [none] * len(texts)
     together, size = [], 0
 
+    def short(hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(32)).astype(np.uint32)
+
     def flush() -> None:
         nonlocal together, size
         if together:
-            ends = np.cumsum([len(texts[i]) for i in together])
-            at, hashes = _select(np.frombuffer(b"".join([texts[i] for i in together]), np.uint8))
+            ends = np.cumsum([len(texts[i]) + 2 * MARGIN for i in together])
+            at, hashes = _select(np.frombuffer(b"".join([_BEFORE + texts[i] + _AFTER for i in together]), np.uint8))
             owner = np.searchsorted(ends, at, side="right")
             inside = at + K <= ends[owner]  # windows that cross from one text to the next don't count
-            owner, hashes = owner[inside], hashes[inside]
+            at, owner, hashes = at[inside], owner[inside], short(hashes[inside])
+            at = at - np.r_[0, ends[:-1]][owner] - MARGIN
             cuts = np.searchsorted(owner, np.arange(len(together) + 1))
             for i, a, b in zip(together, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                out[i] = np.unique(hashes[a:b]) if a < b else _whole(texts[i])
+                out[i] = Prints(at[a:b], hashes[a:b])
         together, size = [], 0
 
     for i, raw in enumerate(texts):
-        if K <= len(raw) < STRETCH:
+        if len(raw) >= STRETCH:
+            at, hashes = anchors_of(raw)
+            out[i] = Prints(at, short(hashes))
+        elif raw:
             together.append(i)
             size += len(raw)
             if size >= STRETCH:
                 flush()
-        else:
-            out[i] = np.unique(defined_anchors(raw)[1])
     flush()
     return out
 
 
-def sketches(texts: list[bytes]) -> list[np.ndarray]:
-    """The bottom sketch of each text."""
-    return [found[:SKETCH] for found in anchor_sets(texts)]
+_ENTRY = np.dtype([("hash", ">u4"), ("step", "u1")])
 
 
-def to_text(found: np.ndarray) -> str:
-    """The fingerprint of distinct ascending anchors: the first ``SKETCH``, then a digest of all if there are more."""
-    said = found[:SKETCH].astype(">u8").tobytes().hex()
-    return said if len(found) <= SKETCH else said + hashlib.blake2b(found.astype(">u8").tobytes(), digest_size=16).hexdigest()
+def to_text(p: Prints) -> str:
+    """The fingerprint: five bytes for each anchor, its hash and the step to it."""
+    entries = np.empty(len(p.at), _ENTRY)
+    entries["hash"], entries["step"] = p.short, np.diff(p.at, prepend=-MARGIN)
+    return base64.b64encode(entries.tobytes()).decode()
 
 
-def from_text(fingerprint: str) -> np.ndarray:
-    """The bottom sketch in a fingerprint."""
-    return np.frombuffer(bytes.fromhex(fingerprint), ">u8").astype(np.uint64)[:SKETCH]
+def from_text(fingerprint: str) -> Prints:
+    """The anchors that a fingerprint holds."""
+    entries = np.frombuffer(base64.b64decode(fingerprint), _ENTRY)
+    return Prints(np.cumsum(entries["step"], dtype=np.int64) - MARGIN, entries["hash"].astype(np.uint32))
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of common anchors, twice the common ones over the sum of both
-    counts, of two sets of distinct anchors. A text half of which is kept is
-    at about a half."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.sort(np.concatenate([a, b]))
-    return float(2 * np.count_nonzero(both[1:] == both[:-1]) / len(both))
+def likeness(a: Prints, b: Prints) -> float:
+    """The likeness of two fingerprints. A text half of which is kept is at about a half."""
+    if not len(a.at) or not len(b.at):
+        return float(len(a.at) == len(b.at))
+    both = np.concatenate([a.keys, b.keys])
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    same = np.flatnonzero(both[1:] == both[:-1])
+    at = a.key_at[order[same]]
+    offset = (b.key_at[order[same + 1] - len(a.at)] - at)[np.argsort(at)]
+    if min(len(a.at), len(b.at)) == 1:
+        count = len(offset)
+    else:
+        agrees = offset[1:] == offset[:-1]
+        count = int(np.count_nonzero(np.r_[agrees, False] | np.r_[False, agrees]))
+    return 2 * count / (len(a.at) + len(b.at))
 
 
 ANCHORS = "doc_id long, position long, anchor long"
@@ -162,7 +187,7 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                at, hashes = defined_anchors((text.as_py() or "").encode())
+                at, hashes = anchors_of((text.as_py() or "").encode())
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(at), pa.int64()), pa.array(at), pa.array(hashes.view(np.int64))], ["doc_id", "position", "anchor"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ANCHORS)
@@ -227,7 +252,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             raw = [t.encode() for t in edited]
             all_texts = [text.encode() for _, text, _ in group]
             last = group[-1][2].encode()
-            found = anchor_sets([*all_texts, last, *raw])
+            found = prints_of([*all_texts, last, *raw])
             own, after, other = found[: len(group)], found[1 : len(group) + 1], found[len(group) + 1 :]
             out = [
                 pa.array([i for i, _, _ in group], pa.int64()),
