@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.functions import spark_partition_id
 from tokenizers import Tokenizer
 
 from tidewire.llm import sharding, token_shards, warc
@@ -37,6 +38,37 @@ def test_warc_round_trip(spark, monkeypatch):
     assert sorted(map(repr, want)) == sorted(repr((r.page_id, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to, r.url, None if r.payload is None else bytes(r.payload))) for r in found)
 
 
+def test_warc_odd_rows(spark, monkeypatch):
+    """Clashing columns, URLs with percent signs, spaces and controls, payloads beyond a file, pages without an id."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 5_000)
+    big, body = "<p>" + "x" * 20_000, "copy " * 40
+    urls = ["http://a/%20x?q=a%26b", "http://a/ x\t?y", "http://a/\r\nWARC-Type: x", "http://é/日本", "", "http://a/%", '"quoted\\"', "\x00\x1f\x7f", None, "http://a/b[1]{2}|^`<>"]
+    rows = [(i, u, big if i == 3 else body if i % 2 else f"p{i}", "d", i, "resp", 5, 6) for i, u in enumerate(urls)]
+    rows += [(None, "u1", body, "d", 1, "r", 5, 6), (None, "u2", big + "only", "d", 1, "r", 5, 6), (None, "u3", big + "only", "d", 1, "r", 5, 6)]
+    df = spark.createDataFrame(rows, PAGES.replace("first_id", "refers_to") + ", record_type string, part int, n int").repartition(2)
+    found = warc.archive_roundtrip(df).collect()
+    assert sorted((repr(r.page_id), repr(r.url)) for r in found) == sorted((repr(r[0]), repr(r[1])) for r in rows)
+    said = {(r.page_id, r.url): (r.record_type, r.refers_to) for r in found}
+    assert said[1, urls[1]] == ("response", None) and said[5, urls[5]] == ("revisit", 1) and said[3, urls[3]] == ("response", None)
+    assert said[None, "u1"] == ("revisit", 1) and said[None, "u2"] == said[None, "u3"] == ("response", None)
+
+
+def test_warc_reading_tasks(spark, monkeypatch):
+    """As many tasks read as there are files or partitions, and the join of copies carries no html."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 10_000)
+    df = spark.createDataFrame([(i, f"http://h/{i}", f"{i} " * 300) for i in range(100)], "page_id long, url string, html string").repartition(2)
+    files = warc.write_archives(df, new_folder(spark, "warc"))
+    assert files.count() >= 8
+    records = warc.read_archives(files)
+    assert {r.task for r in records.select(spark_partition_id().alias("task")).distinct().collect()} == set(range(4))
+
+
+def test_warc_dictionary_of_few_records():
+    for records in ([b"one record of a few words"], [bytes(range(256)) * 900] * 3, [b"long " * 60_000 + bytes([i]) for i in range(20)]):
+        raw = warc.encode_file(records)
+        assert int.from_bytes(raw[4:8], "little") > 0 and list(warc.decode_file(raw)) == records
+
+
 def test_warc_dictionary_leads_the_file():
     records = [warc.record(i, "http://x", f"page number {i} of the same site, with common words".encode() * 3, "d", None) for i in range(400)]
     raw = warc.encode_file(records)
