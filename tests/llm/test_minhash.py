@@ -63,9 +63,40 @@ def test_groups_equal_brute_force(spark, monkeypatch, percent, block):
 
 def test_odd_documents(odd, odd_rows):
     found = minhash.near_groups(odd).collect()
-    assert len(found) == len(odd_rows) - 1  # the null id is left out
+    assert len(found) == len(odd_rows)
     want = brute([(r[0], r[1]) for r in odd_rows if r[0] is not None], 85)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found if r.doc_id is not None} == want
+    assert [(r.n_shingles, r.component_id, r.kept) for r in found if r.doc_id is None] == [(1, None, True)]
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """The fewest shingles stand for an id, in any order of the rows; ties go by the set's digest."""
+    r = random.Random(12)
+    text = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    short, long = text(60), text(90)
+    near_short, near_long = [*short[:-1], "x"], [*long[:-1], "y"]
+    tie_a, tie_b = text(40), text(40)
+    rows = [(1, long), (1, short), (2, near_short), (3, near_long), (4, tie_a), (4, tie_b), (5, [*tie_a[:-1], "z"]), (6, [*tie_b[:-1], "z"]), (6, text(3)[:1] * 2)]
+    sets = shingles.shingle_sets([" ".join(t).encode() for t in (tie_a, tie_b)])
+    digest = list(zip(*minhash.digests(sets), strict=True))
+    chosen = {4: tie_a if digest[0] < digest[1] else tie_b, 6: rows[-1][1], 1: short}
+    want = brute([(i, " ".join(chosen.get(i, t))) for i, t in dict(rows).items()], 85)
+    assert want[2][1] == 1 and want[3][1] == 3
+    for order in (rows, rows[::-1], sorted(rows, key=lambda x: x[1])):
+        df = spark.createDataFrame([(i, " ".join(t)) for i, t in order], "doc_id long, text string").repartition(3)
+        found = minhash.near_groups(df).collect()
+        assert len(found) == len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
+
+
+def test_hot_groups_in_parts(spark, monkeypatch):
+    """A group of copies and one of near copies, each far larger than a part."""
+    monkeypatch.setattr(minhash, "FAN", 8)
+    monkeypatch.setattr(minhash, "PARTS", 5)
+    r = random.Random(13)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(base)) for i in range(100, 160)] + [(i, " ".join([*base[:-1], f"end{i}"])) for i in range(200, 300)] + [(i, " ".join(f"o{r.randrange(999)}" for _ in range(30))) for i in range(40)]
+    found = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows, 85)
 
 
 def test_dedup_keeps_columns_and_null_ids(odd):

@@ -12,19 +12,25 @@ sets are one class, represented by the smallest id. In a first pass each
 document is compared with one partner, the smallest id of its fullest
 bucket, which joins nearly all of a group of near copies. In a second pass
 only what is left apart is compared: in each bucket the documents outside
-its largest group against all, in blocks, by signature first and then on
-full sets by matrix products. Pairs inside a group are never formed, no
-pair is a row, and no pair across groups is left out.
+its largest group against all, in blocks, on full sets by matrix products.
+Pairs inside a group are never formed, no pair is a row, and every pair
+across groups that shares a bucket is verified.
+
+What a document needs to know of its class, bucket or centre is told to it
+in ``PARTS`` parts of the group, so that no group is in one task, and a
+centre's full set is sent once for each ``FAN`` of its members.
 
 The bands find a pair at the threshold 0.85 with a chance of 1 - 8e-7 (24
-bands of 5), at 0.8 with 1 - 7e-5. A pair whose signatures agree on a share of
-places five standard deviations below the threshold is not verified.
+bands of 5), at 0.8 with 1 - 7e-5; these are the only links that can be lost.
 
 Defined cases: a document without words or text (null included) has an
 empty set, is linked with nothing and stays. With one to four words, the
-whole sequence is its one shingle. Rows with equal ids are one document, of
-the smallest text; a null id is left out. Ties go to the smallest id. Only
-the id and text columns are read, so other columns can't clash.
+whole sequence is its one shingle. Rows with equal ids are one document:
+that with the fewest shingles, of several the one whose set has the smallest
+digest, whatever the order of the rows. A row with a null id is a document
+of its own that is linked with nothing; it stays, and its component is null.
+Ties go to the smallest id. Only the id and text columns are read, so other
+columns can't clash.
 """
 
 from __future__ import annotations
@@ -33,17 +39,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, connected_components, written
+from .common import arrow_rows, connected_components, scratch, written
 from .shingles import shingle_sets, text_batches
 from .syncmers import mix
 
 BANDS, ROWS = 24, 5
 PLACES = BANDS * ROWS
-#: A pair is verified if its estimate is no more than so many deviations under the threshold.
-DEVIATIONS = 5
+#: Parts in which the rows of a group are told what the group has in common.
+PARTS = 256
+#: Members that are compared with one copy of their centre's set.
+FAN = 256
 #: Rows in a batch between Spark and Python; a row holds a text or two full sets.
 BATCH = 1000
 #: Documents of a bucket in a block of the second pass.
@@ -104,12 +112,14 @@ def band_keys(short: np.ndarray) -> np.ndarray:
     return mix(h << np.uint64(8) | np.arange(BANDS, dtype=np.uint64))
 
 
-def estimate(equal: np.ndarray) -> np.ndarray:
-    """Similarity from the share of equal bytes: one in 256 is equal by chance."""
-    return (equal - 1 / 256) / (1 - 1 / 256)
+FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, sketch binary, bands array<long>"
 
 
-FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, sketch binary, bands array<long>"
+def digests(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Two 64-bit digests of each set."""
+    a = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+    b = [int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)), initial=np.uint64(0)).view(np.int64)) for s in sets]
+    return a, b
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -128,8 +138,7 @@ def features(docs: DataFrame) -> DataFrame:
                 signed = signatures(part)
                 short = sketch(signed)
                 keys = band_keys(short).view(np.int64)
-                a = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in part]
-                b = [int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)), initial=np.uint64(0)).view(np.int64)) for s in part]
+                a, b = digests(part)
                 empty = [len(s) == 0 for s in part]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -148,34 +157,64 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """``(doc_id, members)``: the sorted shingle hashes of ``docs(doc_id, text)``."""
+    """``(doc_id, set_a, set_b, members)``: the sorted shingle hashes of ``docs(doc_id, text)``, with their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["doc_id", "members"])
+            sets = shingle_sets(texts)
+            a, b = digests(sets)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set_a", "set_b", "members"])
+
+    return docs.mapInArrow(run, "doc_id long, set_a long, set_b long, members binary")
 
-    return docs.mapInArrow(run, "doc_id long, members binary")
+
+def with_group(rows: DataFrame, keys: list[str], by: str, partial: list[Column], final: list[Column], kept: str = "true", how: str = "inner") -> DataFrame:
+    """``rows`` with aggregates of their group by ``keys``, of the groups for which ``kept`` holds.
+
+    The rows of a group are parted by a hash of the column ``by``; the group's
+    numbers are told to its parts, at most ``PARTS`` rows, and those to their rows.
+    """
+    parted = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(PARTS)))
+    local = parted.groupBy(*keys, "_part").agg(*partial)
+    groups = local.groupBy(*keys).agg(*final).where(kept)
+    told = local.select(*keys, "_part").join(groups, keys)
+    return parted.join(told, [*keys, "_part"], how).drop("_part")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs(a, b)`` with 100 * intersection >= percent * union, on full sets."""
+    """The ``pairs(a, b)`` with 100 * intersection >= percent * union, on full sets.
+
+    The members b of a centre a are dealt out in parts of about ``FAN``; each
+    part gets the centre's set once, ahead of the members' own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, x = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("members_a"), batch.column("members_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            out_a, out_b = [], []
+            for a, b, members in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("members"), strict=True):
+                y = np.frombuffer(members.as_buffer(), np.uint64)
+                if b is None:
+                    centre, x = a, y.copy()
+                    continue
+                if a != centre:
+                    raise ValueError(f"the set of {a} isn't ahead of its members")
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
                     continue
                 both = np.sort(np.concatenate([x, y]))
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    out_a.append(a)
+                    out_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("members_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("members_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "members_a", "members_b").mapInArrow(run, "a long, b long")
+    counted = with_group(pairs, ["a"], "b", [F.count("*").alias("n")], [F.sum("n").alias("n")])
+    dealt = counted.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / FAN)).alias("part"))
+    held = sets.select("doc_id", "members")
+    heads = dealt.select("a", "part").distinct().join(held.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "members")
+    others = dealt.join(held.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "members")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return heads.union(others).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
 def union_find(links: DataFrame) -> DataFrame:
@@ -246,8 +285,8 @@ def apart(members: DataFrame, groups: DataFrame, shapes: DataFrame, percent: int
     that have been joined, ``shapes(doc_id, n_shingles, sketch)``. In a bucket
     the documents outside its largest group (``other``) are compared with
     all, in units of two blocks. A document stays in a unit if it has a
-    partner there of another group, alike by sketch and size, whom it meets
-    in no earlier band. Rows are documents, never pairs.
+    partner there of another group and of a size that allows a link, whom it
+    meets in no earlier band. Rows are documents, never pairs.
     """
     placed = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -262,7 +301,6 @@ def apart(members: DataFrame, groups: DataFrame, shapes: DataFrame, percent: int
     carried = ("doc_id", "component", "band", "n_shingles", "sketch")
     as_any = rows.select("key", mine("all_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("j"), F.lit(False).alias("other"), *carried)
     as_other = rows.where("component <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("i"), mine("other_blocks").alias("j"), F.lit(True).alias("other"), *carried)
-    least = percent / 100 - DEVIATIONS * np.sqrt(percent * (100 - percent) / PLACES) / 100
 
     def partnered(comps, bands, sizes, shorts, other) -> np.ndarray:
         keep = np.zeros(len(comps), bool)
@@ -272,7 +310,7 @@ def apart(members: DataFrame, groups: DataFrame, shapes: DataFrame, percent: int
             if len(at):
                 equal = shorts[at] == shorts[x]
                 first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-                at = at[(first == bands[x]) & (estimate(equal.mean(axis=1)) >= least)]
+                at = at[first == bands[x]]
                 keep[at] = True
                 keep[x] |= len(at) > 0
         return keep
@@ -362,39 +400,45 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     ``percent`` should be 80 or more, for which the bands are chosen.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    with arrow_rows(spark, BATCH):
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with scratch(spark), arrow_rows(spark, BATCH):
         found = written(features(rows), "near-features")
-    # Rows with one id are one document; the set that sorts first stands for it.
-    shaped = found.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "set_a", "set_b")).alias("s"), F.count("*").alias("copies")).select("doc_id", "s.*", "copies")
-    classes = shaped.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    member = written(shaped.join(classes, ["n_shingles", "set_a", "set_b"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "copies"), "near-classes")
-
-    reps = found.join(member.where("rep = doc_id and n_shingles > 0").select("doc_id", "n_shingles"), ["doc_id", "n_shingles"], "left_semi").dropDuplicates(["doc_id"])
-    banded = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).where("n > 1")
-    bucketed = written(banded.join(buckets, "key").select("key", "band", "doc_id", "centre"), "near-buckets")
-    shapes = written(reps.join(bucketed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch"), "near-shapes")
-    # Merged, not broadcast: these ids grow with the documents.
-    texts = rows.join(shapes.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    with arrow_rows(spark, BATCH):
-        sets = written(full_sets(texts).dropDuplicates(["doc_id"]), "near-sets")
-
-    # First pass: each document with the centre that it meets in most buckets.
-    partner = bucketed.where("doc_id <> centre").groupBy("doc_id", "centre").agg(F.count("*").alias("n"))
-    partner = partner.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("top")).select((-F.col("top.c")).alias("a"), F.col("doc_id").alias("b"))
-    with arrow_rows(spark, BATCH):
-        links = written(verify(partner, sets, percent), "near-links")
-    groups = written(union_find(links), "near-joined")
-
-    # Second pass: what the first has left apart.
-    with arrow_rows(spark, BATCH):
-        units = written(apart(bucketed.select("key", "band", "doc_id"), groups, shapes, percent), "near-units")
-        more = written(links_apart(units, sets, percent), "near-links")
-    joined = union_find(links.union(more)).withColumnRenamed("node", "rep")
+        # Rows with one id are one document; the set that sorts first stands for it.
+        least = F.min(F.struct("n_shingles", "set_a", "set_b", "sketch", "bands")).alias("s")
+        shaped = found.where("doc_id is not null").groupBy("doc_id").agg(least, F.count("*").alias("copies")).select("doc_id", "s.*", "copies")
+        equal = ["n_shingles", "set_a", "set_b"]
+        low = [F.min("doc_id").alias("rep"), F.count("*").alias("n")]
+        classed = with_group(shaped, equal, "doc_id", low, [F.min("rep").alias("rep"), F.sum("n").alias("n")], "n > 1 and n_shingles > 0", "left")
+        classed = written(classed.withColumn("rep", F.coalesce("rep", "doc_id")).drop("n"), "near-classes")
+        member = written(classed.select("doc_id", "n_shingles", "rep", "copies"), "near-members", keep=True)
+        nameless = written(found.where("doc_id is null").select("doc_id", "n_shingles"), "near-nameless", keep=True)
+
+        reps = classed.where("rep = doc_id and n_shingles > 0")
+        banded = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
+        low = [F.min("doc_id").alias("centre"), F.count("*").alias("n")]
+        bucketed = with_group(banded, ["key"], "doc_id", low, [F.min("centre").alias("centre"), F.sum("n").alias("n")], "n > 1")
+        bucketed = written(bucketed.select("key", "band", "doc_id", "centre"), "near-buckets")
+        shapes = written(reps.join(bucketed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "set_a", "set_b", "sketch"), "near-shapes")
+        # Merged, not broadcast: these ids grow with the documents.
+        texts = rows.join(shapes.select("doc_id").hint("merge"), "doc_id", "left_semi")
+        named = ["doc_id", "set_a", "set_b"]
+        sets = written(full_sets(texts).dropDuplicates(named).join(shapes.select(*named).hint("merge"), named, "left_semi"), "near-sets")
+
+        # First pass: each document with the centre that it meets in most buckets.
+        partner = bucketed.where("doc_id <> centre").groupBy("doc_id", "centre").agg(F.count("*").alias("n"))
+        partner = partner.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("top")).select((-F.col("top.c")).alias("a"), F.col("doc_id").alias("b"))
+        links = written(verify(written(partner, "near-pairs"), sets, percent), "near-links")
+        groups = written(union_find(links), "near-joined")
+
+        # Second pass: what the first has left apart.
+        units = written(apart(bucketed.select("key", "band", "doc_id"), groups, shapes.drop("set_a", "set_b"), percent), "near-units")
+        more = written(links_apart(units, sets.select("doc_id", "members"), percent), "near-links")
+        joined = union_find(links.union(more)).withColumnRenamed("node", "rep")
 
     grouped = member.join(joined, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.explode(F.expr("array_repeat(0, cast(copies as int))")).alias("copy"))
-    return grouped.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    kept = (F.col("doc_id") == F.col("component_id")).alias("kept")
+    alone = nameless.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return grouped.select("doc_id", "n_shingles", "component_id", kept).union(alone)
 
 
 def dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
