@@ -1,7 +1,11 @@
 """Secrets found and masked, false positives removed."""
 
+import contextlib
 import random
+import re
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewire.llm import secret_scan
@@ -36,11 +40,72 @@ def test_planted_secrets_and_words(spark):
     value = lambda r: texts[r.doc_id][r.start : r.start + r.length]
     assert {(r.doc_id, value(r)) for r in found if r.is_secret} == set(planted.items())
     assert sum(not r.is_secret for r in found) > 100
-    held = spark.createDataFrame(corpus(99)[0], DOC)  # a forest fitted on one corpus judges another
-    lexicon = secret_scan.build_lexicon(df)
-    model = secret_scan.fit(secret_scan.seed_labels(secret_scan.scan(df, lexicon)))
-    judged = secret_scan.judge(secret_scan.scan(held, lexicon), model).where("is_secret")
-    assert {r.doc_id for r in judged.collect()} == set(corpus(99)[1])
+    again = secret_scan.find_secrets(spark.createDataFrame(corpus(99)[0], DOC)).where("is_secret")
+    assert {r.doc_id for r in again.collect()} == set(corpus(99)[1])
+
+
+@pytest.fixture(scope="module")
+def words(spark, small):
+    return secret_scan.count_words(spark.read.parquet(f"{small}/documents.parquet"))
+
+
+def test_held_out_findings(spark, words):
+    """Findings planted with another seed; what the method names has to matter."""
+    model = secret_scan.fit(secret_scan.planted_findings(spark, words))
+    importance = dict(zip(secret_scan.FEATURES, model.featureImportances.toArray(), strict=True))
+    for name in "length transitions coverage pair_score test_path secret_path in_path harmless credential provider entropy".split():
+        assert importance[name] > 0, (name, importance)
+    held = secret_scan.judge(secret_scan.planted_findings(spark, words, 3000, seed=99), model)
+    n = {(r.label, r.is_secret): r["count"] for r in held.groupBy("label", "is_secret").count().collect()}
+    assert sum(n.values()) > 2500
+    right, missed, false = n[1.0, True], n.get((1.0, False), 0), n.get((0.0, True), 0)
+    assert right / (right + false) > 0.95 and right / (right + missed) > 0.95, n
+
+
+def test_neighbours_and_path_decide(spark, words):
+    """One value, told apart by what stands beside it and where it was found."""
+    value = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [
+        (1, f'the token = "{value}" of the day', "config/prod.yml", True),
+        (2, f"see commit {value} of the day", "src1", False),
+        (3, f'the token = "{value}" of the day', "tests/test_login.py", False),
+        (4, f'an example token = "{value}" of the day', "docs/usage.md", False),
+        (5, f"some sha256 {value} of the day", "notes/a.txt", False),
+    ]
+    df = spark.createDataFrame([(i, t, p, len(t), 1) for i, t, p, _ in rows], DOC)
+    model = secret_scan.fit(secret_scan.planted_findings(spark, words))
+    judged = secret_scan.judge(secret_scan.findings(df, words), model).collect()
+    assert {r.doc_id: r.is_secret for r in judged} == {i: s for i, _, _, s in rows}
+
+
+def test_findings_labelled_by_the_user(spark):
+    """Where long numbers are the secrets, the forest learns that."""
+    rows, planted = corpus(5, 200)
+    df = spark.createDataFrame(rows, DOC)
+    texts = {r[0]: r[1] for r in rows}
+    number = lambda r: texts[r.doc_id][r.start : r.start + r.length].isdigit()
+    found = secret_scan.findings(df, secret_scan.count_words(df))
+    labels = spark.createDataFrame([(r.doc_id, r.start, float(number(r))) for r in found.collect() if r.doc_id < 100], "doc_id long, start int, label double")
+    judged = secret_scan.find_secrets(df, found.join(labels, ["doc_id", "start"], "left")).collect()
+    assert all(r.is_secret == number(r) for r in judged) and sum(r.is_secret for r in judged) > 30
+
+
+def test_candidates_equal_brute_force(spark, small):
+    """Every candidate of every text, and its coverage letter by letter."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    counted = Counter(w for t in texts.values() for w in re.findall(r"[^\W\d_]+", re.sub(secret_scan.ASSIGNED, " ", t.lower())) if 3 <= len(w) <= 15)
+    known = {w for w, n in counted.items() if n >= secret_scan.WORD_COUNT}
+    words = secret_scan.count_words(docs)
+    assert {r.word for r in words.collect()} == known
+    at, want = secret_scan.FEATURES.index("coverage"), {}
+    for i, t in texts.items():
+        for a, b in secret_scan.candidates(t):
+            low, inside = t[a:b].lower(), set()
+            for m in re.finditer(r"[^\W\d_]{3,}", low):
+                inside |= {k for x in range(m.start(), m.end()) for y in range(x + 3, min(m.end(), x + 15) + 1) if low[x:y] in known for k in range(x, y)}
+            want[i, a, b - a] = pytest.approx(len(inside) / (b - a))
+    assert {(r.doc_id, r.start, r.length): r.features[at] for r in secret_scan.findings(docs, words).collect()} == want and len(want) > 20
 
 
 def test_redaction(spark):
@@ -63,7 +128,7 @@ def test_spans_do_not_overlap():
 
 def test_labels_of_one_kind(spark):
     df = spark.createDataFrame([(1, "nothing but abcdefghijklmnopqrst", None, 5, 1)], DOC)
-    found = secret_scan.scan(df, secret_scan.Lexicon({}))
+    found = secret_scan.findings(df, secret_scan.count_words(df))
     assert secret_scan.fit(found.withColumn("label", F.lit(0.0))) == 0.0
     assert secret_scan.fit(found.withColumn("label", F.lit(None).cast("double"))) == 1.0
     assert [r.is_secret for r in secret_scan.judge(found, 1.0).collect()] == [True]
@@ -76,11 +141,18 @@ def test_odd_documents(odd, empty):
     assert secret_scan.find_secrets(empty).count() == 0 and secret_scan.redact(empty).count() == 0
 
 
-def test_coverage_and_pairs():
-    lexicon = secret_scan.Lexicon({"water": 10, "house": 5, "use": 2})
-    assert lexicon.coverage("waterHouse") == 1.0 and lexicon.coverage("water12345") == 0.5 and lexicon.coverage("") == 0.0
-    assert lexicon.pair_score("water") > lexicon.pair_score("qzxkv")
-    assert secret_scan.Lexicon({}).coverage("abc") == 0.0
+def test_pairs(spark):
+    words = spark.createDataFrame([("water", 10), ("house", 5), ("été", 9)], "word string, n long")
+    pairs = secret_scan.letter_pairs(words)
+    assert pairs.mean("water") > pairs.mean("qzxkv") and set(pairs.score) == {"wa", "at", "te", "er", "ho", "ou", "us", "se"}
+    assert secret_scan.Pairs({}).mean("") == 0.0
+    runs = spark.createDataFrame([("waterhouse",), ("xwatery",), ("wat",), ("housewaterx",)], "run string")
+    assert {r.run: r.covered for r in secret_scan.covered_runs(runs, words).collect()} == {"waterhouse": 10, "xwatery": 5, "housewaterx": 10}
+
+
+def test_copied_passwords_are_no_words(spark):
+    df = spark.createDataFrame([(i, "password=qzxkvbnmwrt and common words", "s", 5, 1) for i in range(50)], DOC)
+    assert {r.word for r in secret_scan.count_words(df).collect()} == {"password", "and", "common", "words"}
 
 
 def test_training_sample_with_a_hot_group_of_copies(spark, monkeypatch):
@@ -91,14 +163,18 @@ def test_training_sample_with_a_hot_group_of_copies(spark, monkeypatch):
     drawn = []
     monkeypatch.setattr(secret_scan, "TRAINING_ROWS", 40)
     keep = secret_scan.written
-    monkeypatch.setattr(secret_scan, "written", lambda d, name: (drawn.append((name, keep(d, name))), drawn[-1][1])[1])
-    model = secret_scan.fit(secret_scan.seed_labels(secret_scan.scan(df, secret_scan.build_lexicon(df))))
+    monkeypatch.setattr(secret_scan, "written", lambda d, name, **kw: (drawn.append((name, keep(d, name, **kw))), drawn[-1][1])[1])
+    monkeypatch.setattr(secret_scan, "scratch", lambda spark: contextlib.nullcontext())
+    found = secret_scan.findings(df, secret_scan.count_words(df))
+    by_rule = F.when((secret_scan.feature("credential") == 1) | (secret_scan.feature("provider") == 1), 1.0).otherwise(0.0)
+    labelled = found.withColumn("label", by_rule)
+    model = secret_scan.fit(labelled)
     sample = next(d for name, d in drawn if name == "secret-training")
     assert {r.label: r["count"] for r in sample.groupBy("label").count().collect()} == {0.0: 20, 1.0: 20}
     assert not isinstance(model, float)
     monkeypatch.setattr(secret_scan, "TRAINING_ROWS", 4_000)  # all: the group is one row, and no longer outweighs the others
     drawn.clear()
-    found = secret_scan.find_secrets(df).where("doc_id < 1000 and is_secret").select("doc_id").distinct().collect()
+    found = secret_scan.find_secrets(df, labelled).where("doc_id < 1000 and is_secret").select("doc_id").distinct().collect()
     assert {r.doc_id for r in found} == set(planted)
     sample = next(d for name, d in drawn if name == "secret-training")
     assert sample.where("label = 1").count() == len(planted) and sample.agg(F.max("weight")).first()[0] < 12
