@@ -38,18 +38,22 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def written_at(df: DataFrame, name: str, keep: bool = False, by: str | None = None) -> str:
+    """Where ``df`` has been written as Parquet, in folders by the column ``by`` if that is given."""
+    path = new_folder(df.sparkSession, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
+    return path
+
+
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet and read again, so that its lineage ends here.
 
     Inside ``scratch`` the table is removed when that ends; with ``keep``,
     when the block around it ends.
     """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    if len(_scratch) > keep:
-        _scratch[-1 - keep].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written_at(df, name, keep))
 
 
 @contextmanager
