@@ -64,7 +64,8 @@ def test_matches_equal_brute_force(spark, planted, monkeypatch):
         assert clean == {i for i, _ in docs} - {i for i, _ in want}
 
 
-def test_index_finds_all_within_radius():
+@pytest.mark.parametrize("near", [None, 5])
+def test_index_finds_all_within_radius(monkeypatch, near):
     rng = np.random.default_rng(2)
     prints = rng.integers(0, 256, (40, 16), dtype=np.uint8)
     windows = np.unpackbits(prints[rng.integers(0, 40, 300)], axis=1)
@@ -72,8 +73,48 @@ def test_index_finds_all_within_radius():
         row[rng.choice(128, rng.integers(0, 60), replace=False)] ^= 1
     windows = np.packbits(windows, axis=1)
     distance = np.unpackbits(windows[:, None] ^ prints[None], axis=2).sum(axis=2)
-    w, i = decontaminate.HammingIndex(prints).within(windows)
-    assert set(zip(w.tolist(), i.tolist(), strict=True)) == set(zip(*map(list, np.nonzero(distance <= decontaminate.RADIUS)), strict=True))
+    monkeypatch.setattr(decontaminate, "PAIRS", 9000)
+    if near:  # more values than the probes would have: values are probed, not compared
+        prints = np.concatenate([prints, rng.integers(0, 256, (3000, 16), dtype=np.uint8)])
+        distance = np.unpackbits(windows[:, None] ^ prints[None], axis=2).sum(axis=2)
+    found = [p for w, i in decontaminate.HammingIndex(prints).within(windows) for p in zip(w.tolist(), i.tolist(), strict=True)]
+    want = set(zip(*map(list, np.nonzero(distance <= decontaminate.RADIUS)), strict=True))
+    assert set(found) == want and len(found) == len(want)
+
+
+def test_index_leaves_out_most_pairs():
+    rng = np.random.default_rng(4)
+    prints, windows = rng.integers(0, 256, (400, 16), dtype=np.uint8), rng.integers(0, 256, (200, 16), dtype=np.uint8)
+    assert len(decontaminate.HammingIndex(prints).candidates(windows)[0]) < 0.3 * 400 * 200
+
+
+def test_radius_loses_hardly_any_similar_window():
+    """Windows of a similarity from 0.8 to 0.87, where fingerprints differ most."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    inside = n = 0
+    while n < 1500:
+        item = [word() for _ in range(r.randint(15, 60))]
+        window = list(item)
+        for _ in range(r.randint(1, 4)):
+            window[r.choice([0, -1, r.randrange(len(window))])] = word()
+        window = ([word() for _ in range(r.choice([0, 0, 1, 2, 3]))] + window)[: len(item)]
+        a, b = (decontaminate.grams(w, 5) for w in decontaminate.words_of([" ".join(t).encode() for t in (item, window)]))
+        if 0.8 <= decontaminate.weighted_similarity(a, b) < 0.87:
+            n += 1
+            inside += sum(len(w) for w, _ in decontaminate.HammingIndex(decontaminate.fingerprint(a)).within(decontaminate.fingerprint(b)))
+    assert inside / n >= 0.99
+
+
+def test_long_documents_full_of_passages(monkeypatch):
+    """Stretches give the same matches as a whole text."""
+    monkeypatch.setattr(decontaminate, "STRETCH", 64)
+    r = random.Random(10)
+    items = [(j, " ".join(f"w{r.randrange(50)}" for _ in range(n))) for j, n in enumerate([6, 12, 12, 30, 80])]
+    text = " ".join(" ".join(r.choice(items)[1].split()[r.choice([0, 0, 1]) :]) for _ in range(60))
+    index = decontaminate.Benchmark(items, 0.8)
+    words = decontaminate.words_of([text.encode()])[0]
+    assert {(1, m[0]): m[1] for m in index.matches(words)} == pytest.approx(brute([(1, text)], items))
 
 
 def test_odd_documents(spark, odd, empty):

@@ -10,9 +10,9 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.graph import components
-from ..sources.workspace import new_folder, remove, scratch, shared_dir, written
+from ..sources.workspace import new_folder, remove, scratch, shared_dir, written, written_at
 
-__all__ = ["arrow_rows", "connected_components", "get", "new_folder", "put", "remove", "scratch", "shared_dir", "table", "written"]
+__all__ = ["arrow_rows", "connected_components", "get", "new_folder", "put", "remove", "scratch", "shared_dir", "table", "written", "written_at"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
