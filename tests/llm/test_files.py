@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql.functions import spark_partition_id
 from tokenizers import Tokenizer
 
-from tidewire.llm import sharding, token_shards, warc
+from tidewire.llm import queries, sharding, token_shards, warc
 from tidewire.llm.common import new_folder
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -158,6 +158,67 @@ def test_commit_conflict(spark):
     assert s.versions() == [1] and s.read().count() == 1
 
 
+def test_lost_writer_leaves_no_version(spark, monkeypatch):
+    """A writer that ends before its rename; an empty version file of another tool."""
+    s = store(spark)
+    rows = spark.createDataFrame([(i,) for i in range(5)], "doc_id long")
+    s.append(rows)
+
+    def lost(*_):
+        raise OSError("gone")
+
+    monkeypatch.setattr(s, "_rename", lost)
+    with pytest.raises(OSError):
+        s.append(rows)
+    monkeypatch.undo()
+    assert s.versions() == [1] and s.read().count() == 5
+    s.append(rows)
+    s.compact_fully()
+    assert s.read().count() == 10
+    fs, p = s._fs(f"{s.path}/_versions/00000099")
+    fs.create(p, False).close()
+    assert 99 not in s.versions() and s.read().count() == 10
+
+
+def test_two_writers(spark):
+    """One writer's arrival is written while the other compacts; it stays and can be committed."""
+    a = store(spark)
+    b = sharding.ShardStore(spark, a.path, **{"target_bytes": 40_000, "rows_per_shard": 20, "codec": "uncompressed"})
+    rows = lambda low: spark.createDataFrame([(low + i,) for i in range(50)], "doc_id long").repartition(2)
+    for i in range(3):
+        a.append(rows(100 * i))
+    folder = f"{b.path}/arrival-99999999-other"
+    rows(1000).write.parquet(folder)
+    old = {f"{a.path}/{n}" for n in a._folders(1)}
+    a.compact_fully()
+    a.append(rows(2000))
+    a.compact_fully()
+    fs, p = b._fs(folder)
+    assert fs.exists(p) and not any(fs.exists(b._fs(f)[1]) for f in old)
+    base = b.versions()[-1]
+    b.commit(b.manifest().unionByName(b._listed(folder, 0)), base)
+    with pytest.raises(sharding.Conflict):
+        a.commit(a.manifest(base), base)
+    assert b.read().count() == 250 and len(a.versions()) <= 3
+
+
+def test_runs_have_tasks_of_their_own(spark):
+    s = store(spark, target_bytes=12_000, rows_per_shard=10)
+    s.append(spark.createDataFrame([(i, f"{i:>200}") for i in range(400)], "doc_id long, text string").repartition(3))
+    runs = s.plan(s.manifest()).select("run").distinct().count()
+    s.compact()
+    parts = s.manifest().where("level = 1").selectExpr("regexp_extract(path, 'part-([0-9]+)-', 1) as task").distinct().count()
+    assert parts == runs > 4
+
+
+def test_registered_shards_are_merged(spark, small):
+    found = queries.op5_sharding(spark, small)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert sorted(found.selectExpr("doc_id", "text_sha256").collect()) == sorted(docs.selectExpr("doc_id", "sha2(encode(coalesce(text, ''), 'utf-8'), 256)").collect())
+    rows = found.groupBy("shard", "shard_rows", "shard_level").count().collect()
+    assert all(r["count"] == r.shard_rows for r in rows) and max(r.shard_level for r in rows) >= 1
+
+
 def test_shards_of_odd_rows(spark, odd, empty):
     s = store(spark)
     s.append(odd)

@@ -3,18 +3,23 @@
 A store is a folder of Parquet shards with versioned manifests. ``append``
 writes an arrival as shards of a bounded number of rows. ``compact`` puts
 shards into tiers by the logarithm of their size, joins runs of shards of a
-tier up to the target size and writes each run as one file. Both commit a
-new manifest: its rows are written first, under a name of their own, and
-then a version file that names them is created exclusively, so readers see
-the old or the new version and of two writers one fails. Shards are never
-changed; those of the version before the last are removed after a commit.
-
-DataFrame functions only: the driver sees one file name per version and
-never a row of data or the list of shards.
+tier up to the target size and writes each run as one file, a run in each
+task. Both commit a new manifest: its rows are written first, under a name of
+their own, then a file that names them, and that file is renamed to the
+version's number, which fails if there is one. So readers see the old or the
+new version, of two writers one fails, and a writer that is lost before the
+rename leaves nothing but unnamed files. Shards are never changed. After
+a commit, folders that older manifests name and the last two don't are
+removed with those manifests; what no manifest has ever named is left alone,
+as it may be another writer's arrival.
+
+DataFrame functions only: the driver sees one file name per version and the
+names of the folders of arrivals and merges, never a row of data or the list
+of shards.
 
 Defined cases: rows are kept as they are, nulls, repeats and columns of any
-name included (a column may not be named like ``SHARD`` or ``RUN`` below;
-that raises). An empty arrival commits a version without new shards.
+name included (a column may not be named like ``SHARD``, ``RUN`` or ``TASK``
+below; that raises). An empty arrival commits a version without new shards.
 """
 
 from __future__ import annotations
@@ -25,7 +30,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SHARD, RUN = "_shard_path", "_shard_run"
+from ..functions.rows import with_index
+
+SHARD, RUN, TASK = "_shard_path", "_shard_run", "_shard_task"
 MANIFEST = "path string, seq long, bytes long, rows long, level int"
 #: Shards are numbered by writing task, with so many numbers for each.
 PER_TASK = 100_000
@@ -56,7 +63,7 @@ class ShardStore:
         fs, p = self._fs(f"{self.path}/_versions")
         if not fs.exists(p):
             return []
-        return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit())
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit() and f.getLen())
 
     def _manifest_at(self, version: int) -> str:
         return self.spark.read.text(f"{self.path}/_versions/{version:08d}").first()[0]
@@ -72,17 +79,29 @@ class ShardStore:
         """Make ``rows`` the manifest of version ``base + 1``, or raise ``Conflict``."""
         at = f"{self.path}/_manifests/{uuid.uuid4().hex}"
         rows.select("path", "seq", "bytes", "rows", "level").write.parquet(at)
-        fs, p = self._fs(f"{self.path}/_versions/{base + 1:08d}")
-        try:
-            out = fs.create(p, False)
-        except Exception as e:
-            if fs.exists(p):
-                raise Conflict(f"version {base + 1} exists") from e
-            raise
+        name = f"{base + 1:08d}"
+        fs, part = self._fs(f"{self.path}/_versions/_{name}-{uuid.uuid4().hex}")
+        out = fs.create(part, False)
         out.write(bytearray(at.encode()))
         out.close()
+        self._rename(part, name)
         return base + 1
 
+    def _rename(self, part, name: str) -> None:
+        """Give a version file its name, unless another has it."""
+        fs, to = self._fs(f"{self.path}/_versions/{name}")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        files = hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        none[0] = hadoop.Options.Rename.NONE
+        try:
+            files.rename(part, to, none)
+        except Exception as e:
+            if not fs.exists(to):
+                raise
+            fs.delete(part, False)
+            raise Conflict(f"version {int(name)} exists") from e
+
     def _listed(self, folder: str, level: int) -> DataFrame:
         """Manifest rows of the shards in a folder, by their footers and names."""
         fs, p = self._fs(folder)
@@ -101,7 +120,7 @@ class ShardStore:
 
     def append(self, rows: DataFrame) -> int:
         """Write an arrival as small shards and commit it; the new version."""
-        if taken := {SHARD, RUN} & set(rows.columns):
+        if taken := {SHARD, RUN, TASK} & set(rows.columns):
             raise ValueError(f"columns named {sorted(taken)} are reserved")
         base = (self.versions() or [0])[-1]
         folder = f"{self.path}/arrival-{base + 1:08d}-{uuid.uuid4().hex}"
@@ -142,9 +161,13 @@ class ShardStore:
         # The plan is a column of the scan's own file path, so a join (broadcast
         # by Spark while it is small) tells each row its run.
         rows = self._rows(manifest.join(runs, "path", "left_semi")).withColumn(SHARD, F.col("_metadata.file_path"))
-        dealt = rows.join(runs.select(F.col("path").alias(SHARD), F.col("run").alias(RUN)), SHARD).drop(SHARD)
+        # Runs get numbers without gaps, so that each is dealt to a task of its own.
+        numbered = with_index(runs.select("run").distinct(), F.col("run"), name="task")
+        n = numbered.count()
+        told = runs.join(numbered, "run").select(F.col("path").alias(SHARD), F.col("run").alias(RUN), F.col("task").cast("int").alias(TASK))
+        dealt = rows.join(told, SHARD).drop(SHARD).repartitionById(n, F.col(TASK)).drop(TASK)
         folder = f"{self.path}/merged-{base + 1:08d}-{uuid.uuid4().hex}"
-        dealt.repartition(F.col(RUN)).write.option("compression", self.codec).partitionBy(RUN).parquet(folder)
+        dealt.write.option("compression", self.codec).partitionBy(RUN).parquet(folder)
         level = manifest.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0] + 1
         after = manifest.join(runs, "path", "left_anti").unionByName(self._listed(folder, level))
         version = self.commit(after, base)
@@ -172,13 +195,21 @@ class ShardStore:
         kept = rows.join(manifest.select(F.col("path").alias(SHARD)), SHARD, "left_semi")
         return kept if with_shard else kept.drop(SHARD)
 
+    def _folders(self, version: int) -> set[str]:
+        return {r[0] for r in self.manifest(version).select(F.regexp_extract("path", r"/((?:arrival|merged)-[^/]+)/", 1)).distinct().collect()}
+
     def _expire(self, base: int) -> None:
-        """Remove merged folders that neither the last two versions' manifests name."""
-        kept = set()
-        for v in (base, base + 1):
-            kept |= {r[0] for r in self.manifest(v).select(F.regexp_extract("path", r"/((?:arrival|merged)-[^/]+)/", 1)).distinct().collect()}
-        fs, p = self._fs(self.path)
-        for f in fs.listStatus(p):
-            name = f.getPath().getName()
-            if name.startswith(("arrival-", "merged-")) and name not in kept:
-                fs.delete(f.getPath(), True)
+        """Remove folders that a manifest older than ``base`` names and the last two
+        versions don't, then those manifests."""
+        kept = self._folders(base) | self._folders(base + 1)
+        for v in [v for v in self.versions() if v < base]:
+            manifest = self._manifest_at(v)
+            for name in self._folders(v) - kept:
+                self._delete(f"{self.path}/{name}")
+            # The version goes first: without its manifest it couldn't be read.
+            self._delete(f"{self.path}/_versions/{v:08d}")
+            self._delete(manifest)
+
+    def _delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
