@@ -94,6 +94,8 @@ def test_wavelet_matrix(values):
         token, before = int(v[i]), int((v[:i] == v[i]).sum())
         assert matrix.access(i) == token and matrix.count(token) == (v == token).sum()
         assert matrix.rank(token, i) == before and matrix.select(token, before) == i
+        with pytest.raises(IndexError):
+            matrix.select(token, matrix.count(token))
     assert matrix.count(70_001) == 0 and matrix.count(1 << 20) == 0
     with pytest.raises(IndexError):
         matrix.access(len(v))
@@ -111,6 +113,22 @@ def test_token_shards(odd, odd_rows, empty, monkeypatch):
     assert token_shards.shard_roundtrip(empty, FILE).count() == 0
 
 
+def test_shards_are_compressed(spark):
+    """All of a table in one shard: bytes for each token, and what select and rank say of it."""
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect())
+    encoded = [np.append(ids, ids.dtype.type(0)) for ids in token_shards.encoder(FILE).encode([t for _, t in rows])]
+    tokens = np.concatenate(encoded)
+    raw = token_shards.to_bytes([i for i, _ in rows], np.cumsum([len(e) for e in encoded]), token_shards.WaveletMatrix.build(tokens))
+    assert len(raw) < 1.5 * len(tokens)
+    matrix = token_shards.from_bytes(raw)[2]
+    assert (matrix.tokens() == tokens).all()
+    for token in {0, int(tokens[5]), int(tokens[-2]), int(tokens.max())}:
+        places = np.flatnonzero(tokens == token)
+        assert matrix.count(token) == len(places)
+        for k in {0, len(places) // 2, len(places) - 1}:
+            assert matrix.select(token, k) == places[k] and matrix.rank(token, int(places[k])) == k and matrix.access(int(places[k])) == token
+
+
 def test_added_tokens_in_a_text():
     texts = ["a <|endoftext|> b", "<|", "plain  text\n\n x", "", "nul \0 here", " led", "tail \n", "a\u2003 b\u00a0\n c", "it's 'st"]
     tokenizer = Tokenizer.from_file(FILE)

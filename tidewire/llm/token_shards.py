@@ -1,18 +1,23 @@
-"""Token-ID output: a wavelet matrix per shard.
+"""Token-ID output: a compressed wavelet matrix per shard.
 
 Documents are written in ascending id order. A shard holds the ids of a run
-of documents as a wavelet matrix: one bit-plane for each bit of the ids, in
-which the ids are stably parted by that bit, with counts of set bits every
-``RANK_EVERY`` bits. From one file, ``access`` gives the token at a place,
-``count`` how often a token occurs, ``select`` where it occurs for the n-th
-time and ``tokens`` all of them. Planes cover the largest id only, so a
-vocabulary of 50 thousand takes 16 bits a token and 6 % for the counts.
+of documents as a wavelet matrix: its ids are numbered by how often they
+occur, and there is one bit-plane for each bit of those numbers, in which
+they are stably parted by that bit. Frequent ids have small numbers, so high
+planes are mostly zeros, and a shard of natural text needs fewer planes than
+its vocabulary would. Each plane is compressed on its own. From one file,
+``access`` gives the token at a place, ``count`` how often a token occurs,
+``select`` where it occurs for the n-th time and ``tokens`` all of them.
+Ranks are counts of set bits before every ``RANK_EVERY`` bits, made when a
+plane is read; ``select`` goes back up through the planes by the place of the
+n-th set or clear bit of each.
 
 File format: a header of eight little-endian unsigned 64-bit numbers
-(``MAGIC``, documents, tokens, planes, and four zeros), the document ids as
-signed 64-bit numbers with a byte each that is 1 for a null id, the end of
-each document in tokens, and for each plane, highest bit first, the number of
-zeros, the counts (unsigned 32-bit) and the bits (first bit highest).
+(``MAGIC``, documents, tokens, planes, distinct ids, and three zeros), the
+document ids as signed 64-bit numbers with a byte each that is 1 for a null
+id, the end of each document in tokens, the distinct ids (unsigned 32-bit) by
+their numbers, and for each plane, highest bit first, the number of zeros, the
+bytes of its Zstandard frame and that frame of its bits (first bit highest).
 
 Defined cases: a null text is encoded as the empty text, so its document is
 the end id alone. Rows with equal ids are ordered by their text; null ids
@@ -34,16 +39,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import get, new_folder, put, written
 
-MAGIC = 0x0001_5852_544D_5657
+MAGIC = 0x0002_5852_544D_5657
 RANK_EVERY = 512
 #: Tokens of a plane that are parted together.
 PART = 1 << 15
+#: Compression of a plane.
+LEVEL = 1
 #: Tokens held before a shard is written.
 SHARD_TOKENS = 4_000_000
 #: Characters of text that are encoded together.
@@ -53,23 +61,29 @@ CACHE = 1_200_000
 
 
 class WaveletMatrix:
-    """Bit-planes over a sequence of unsigned integers."""
+    """Bit-planes over a sequence of unsigned integers, numbered by how often they occur."""
 
-    def __init__(self, n: int, zeros: list[int], counts: list[np.ndarray], bits: list[np.ndarray]):
-        self.n, self.zeros, self.counts, self.bits = n, zeros, counts, bits
+    def __init__(self, n: int, ids: np.ndarray, zeros: list[int], bits: list[np.ndarray]):
+        self.n, self.ids, self.zeros, self.bits = n, ids, zeros, bits
+        self.number = {v: i for i, v in enumerate(ids.tolist())}
+        self._ranks: dict[int, np.ndarray] = {}
 
     @classmethod
     def build(cls, values: np.ndarray) -> WaveletMatrix:
         n = len(values)
-        planes = max(1, int(values.max(initial=0)).bit_length())
-        now = values.astype(np.uint16 if planes <= 16 else np.uint32)
-        zeros, counts, bits = [], [], []
+        often = np.bincount(values) if n else np.zeros(0, np.int64)
+        ids = np.flatnonzero(often)
+        ids = ids[np.argsort(-often[ids], kind="stable")]
+        planes = max(1, int(len(ids) - 1).bit_length())
+        number = np.zeros(len(often), np.uint16 if planes <= 16 else np.uint32)
+        number[ids] = np.arange(len(ids))
+        now = number[values]
+        zeros, bits = [], []
         for level in range(planes - 1, -1, -1):
             one = (now >> level & 1).astype(bool)
             packed = np.packbits(one)
             ones = int(np.count_nonzero(one))
             zeros.append(n - ones)
-            counts.append(_counts(packed))
             bits.append(packed)
             after, low, high = np.empty_like(now), 0, n - ones
             for at in range(0, n, PART):  # parts that stay in the processor's cache
@@ -79,7 +93,7 @@ class WaveletMatrix:
                 part.take(clear_at, out=after[low : low + len(clear_at)], mode="clip")
                 low, high = low + len(clear_at), high + len(set_at)
             now = after
-        return cls(n, zeros, counts, bits)
+        return cls(n, ids.astype(np.uint32), zeros, bits)
 
     def tokens(self) -> np.ndarray:
         """The whole sequence, from the lowest plane up."""
@@ -91,17 +105,25 @@ class WaveletMatrix:
             before[np.flatnonzero(one == 0)] = now[: self.zeros[p]]
             before[np.flatnonzero(one)] = now[self.zeros[p] :] | now.dtype.type(1 << (planes - 1 - p))
             now = before
-        return now.astype(np.uint32)
+        return self.ids[now] if self.n else np.zeros(0, np.uint32)
 
     def _bit(self, p: int, i: int) -> int:
         return int(self.bits[p][i >> 3]) >> (7 - (i & 7)) & 1
 
+    def _counts(self, p: int) -> np.ndarray:
+        """Set bits of a plane before each block of ``RANK_EVERY`` bits."""
+        if p not in self._ranks:
+            each = np.bitwise_count(self.bits[p]).astype(np.int64)
+            blocks = np.add.reduceat(each, np.arange(0, len(each), RANK_EVERY // 8)) if len(each) else each
+            self._ranks[p] = np.r_[0, np.cumsum(blocks)]
+        return self._ranks[p]
+
     def _ones(self, p: int, i: int) -> int:
         """Set bits of a plane before a place."""
         block = i // RANK_EVERY
         first = block * RANK_EVERY // 8
         part = np.unpackbits(self.bits[p][first : (i + 7) >> 3])
-        return int(self.counts[p][block]) + int(part[: i - block * RANK_EVERY].sum())
+        return int(self._counts(p)[block]) + int(part[: i - block * RANK_EVERY].sum())
 
     def access(self, i: int) -> int:
         """The token at a place."""
@@ -112,19 +134,24 @@ class WaveletMatrix:
             bit, ones = self._bit(p, i), self._ones(p, i)
             value = value << 1 | bit
             i = self.zeros[p] + ones if bit else i - ones
-        return value
+        return int(self.ids[value])
 
-    def rank(self, token: int, i: int) -> int:
-        """How often a token occurs before a place."""
-        if token >> len(self.bits):
-            return 0
-        low, high = 0, i
+    def _range(self, token: int, i: int) -> tuple[int, int]:
+        """Where the occurrences of a token before a place lie below the last plane."""
+        low, high, number = 0, i, self.number.get(token)
+        if number is None:
+            return 0, 0
         for p in range(len(self.bits)):
             a, b = self._ones(p, low), self._ones(p, high)
-            if token >> (len(self.bits) - 1 - p) & 1:
+            if number >> (len(self.bits) - 1 - p) & 1:
                 low, high = self.zeros[p] + a, self.zeros[p] + b
             else:
                 low, high = low - a, high - b
+        return low, high
+
+    def rank(self, token: int, i: int) -> int:
+        """How often a token occurs before a place."""
+        low, high = self._range(token, i)
         return high - low
 
     def count(self, token: int) -> int:
@@ -132,38 +159,42 @@ class WaveletMatrix:
 
     def select(self, token: int, k: int) -> int:
         """The place where a token occurs for the k-th time, from 0."""
-        low, high = 0, self.n
-        while low < high:  # the first place with k + 1 occurrences before it
-            middle = (low + high) // 2
-            if self.rank(token, middle + 1) > k:
-                high = middle
-            else:
-                low = middle + 1
-        if low == self.n:
+        low, high = self._range(token, self.n)
+        if not 0 <= k < high - low:
             raise IndexError(k)
-        return low
-
-
-def _counts(packed: np.ndarray) -> np.ndarray:
-    """Set bits before each block of ``RANK_EVERY`` bits."""
-    step = RANK_EVERY // 8
-    each = np.bitwise_count(packed).astype(np.uint32)
-    blocks = np.add.reduceat(each, np.arange(0, len(each), step), dtype=np.uint32) if len(each) else np.zeros(0, np.uint32)
-    return np.r_[np.zeros(1, np.uint32), np.cumsum(blocks, dtype=np.uint32)]
+        at, number = low + k, self.number[token]
+        for p in range(len(self.bits) - 1, -1, -1):
+            if number >> (len(self.bits) - 1 - p) & 1:
+                at = self._place(p, at - self.zeros[p], 1)
+            else:
+                at = self._place(p, at, 0)
+        return at
+
+    def _place(self, p: int, k: int, bit: int) -> int:
+        """Where a plane has its k-th set or clear bit."""
+        before = self._counts(p)
+        if not bit:
+            before = np.arange(len(before)) * RANK_EVERY - before
+        block = int(np.searchsorted(before, k, side="right")) - 1
+        first = block * RANK_EVERY // 8
+        part = np.unpackbits(self.bits[p][first : first + RANK_EVERY // 8])
+        return block * RANK_EVERY + int(np.flatnonzero(part == bit)[k - int(before[block])])
 
 
 def to_bytes(doc_ids: list[int | None], ends: np.ndarray, matrix: WaveletMatrix) -> bytes:
     ids = np.array([i or 0 for i in doc_ids], "<i8")
     nulls = np.array([i is None for i in doc_ids], np.uint8)
-    out = [struct.pack("<8Q", MAGIC, len(ids), matrix.n, len(matrix.bits), 0, 0, 0, 0), ids.tobytes(), nulls.tobytes(), ends.astype("<u8").tobytes()]
-    for zeros, counts, bits in zip(matrix.zeros, matrix.counts, matrix.bits, strict=True):
-        out += [struct.pack("<Q", zeros), counts.astype("<u4").tobytes(), bits.tobytes()]
+    out = [struct.pack("<8Q", MAGIC, len(ids), matrix.n, len(matrix.bits), len(matrix.ids), 0, 0, 0), ids.tobytes(), nulls.tobytes(), ends.astype("<u8").tobytes(), matrix.ids.astype("<u4").tobytes()]
+    packer = zstandard.ZstdCompressor(level=LEVEL)
+    for zeros, bits in zip(matrix.zeros, matrix.bits, strict=True):
+        frame = packer.compress(bits.tobytes())
+        out += [struct.pack("<2Q", zeros, len(frame)), frame]
     return b"".join(out)
 
 
 def from_bytes(raw: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """Document ids, their ends in tokens, and the matrix, without a copy of the planes."""
-    magic, docs, n, planes = struct.unpack_from("<4Q", raw)
+    """Document ids, their ends in tokens, and the matrix."""
+    magic, docs, n, planes, distinct = struct.unpack_from("<5Q", raw)
     if magic != MAGIC:
         raise ValueError("not a token shard")
     at = 64
@@ -174,17 +205,17 @@ def from_bytes(raw: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
         at += out.nbytes
         return out
 
-    ids, nulls, ends = take("<i8", docs), take("u1", docs), take("<u8", docs)
-    zeros, counts, bits = [], [], []
+    ids, nulls, ends, tokens = take("<i8", docs), take("u1", docs), take("<u8", docs), take("<u4", distinct)
+    zeros, bits, unpacker = [], [], zstandard.ZstdDecompressor()
     for _ in range(planes):
-        zeros.append(int(take("<u8", 1)[0]))
-        counts.append(take("<u4", -(-(-(-n // 8)) // (RANK_EVERY // 8)) + 1))
-        bits.append(take("u1", -(-n // 8)))
-    return [None if null else int(i) for i, null in zip(ids, nulls, strict=True)], ends, WaveletMatrix(n, zeros, counts, bits)
+        count, size = take("<u8", 2).tolist()
+        zeros.append(count)
+        bits.append(np.frombuffer(unpacker.decompress(take("u1", size).data), np.uint8))
+    return [None if null else int(i) for i, null in zip(ids, nulls, strict=True)], ends, WaveletMatrix(n, tokens, zeros, bits)
 
 
-#: Stretches that the library encodes in one call.
-CALL = 20_000
+#: Stretches that the library encodes in one call, and those of them in one string.
+CALL, STRING = 20_000, 64
 #: White space other than the space and the line feed, plain text having none of it.
 ODD_SPACES = ("\t", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", *map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
@@ -208,9 +239,31 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
 
+        # Stretches are put into one string with NULs between them where NUL is a token
+        # that is part of no other; then nothing merges across.
+        nul = self.tokenizer.encode("\0", add_special_tokens=False).ids
+        sign = self.tokenizer.id_to_token(nul[0]) if len(nul) == 1 else ""
+        alone = sign and sum(sign in t for t in self.tokenizer.get_vocab()) == 1
+        self.nul = nul[0] if alone and self._ids(" a!\0 b") == [*self._ids(" a!"), *nul, *self._ids(" b")] else None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), CALL):
-            part = new[i : i + CALL]
+        # A stretch that begins otherwise or ends in white space is cut otherwise next to a NUL.
+        joined = [s for s in new if s[0] in " \n" and not s[-1].isspace()] if self.nul is not None else []
+        for i in range(0, len(joined), CALL):
+            part = joined[i : i + CALL]
+            strings = ["\0".join(part[j : j + STRING]) + "\0" for j in range(0, len(part), STRING)]
+            found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, self.kind) for e in found])
+            ends = np.flatnonzero(ids == self.nul)
+            raw, size = ids.tobytes(), self.kind.itemsize
+            cuts = zip((np.r_[0, ends[:-1] + 1] * size).tolist(), (ends * size).tolist(), strict=True)
+            self.cache.update(zip(part, [raw[a:b] for a, b in cuts], strict=True))
+        rest = [s for s in new if s not in self.cache] if joined else new
+        for i in range(0, len(rest), CALL):
+            part = rest[i : i + CALL]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.cache.update(zip(part, [array(self.kind.char, e.ids).tobytes() for e in found], strict=True))
 
