@@ -3,9 +3,14 @@
 import random
 import re
 
-from tidewire.llm import url_filters
+import duckdb
+import pyarrow as pa
+
+from tidewire.llm import queries, url_filters
 from tidewire.llm.common import connected_components
 
+from ..oracle import assert_same
+
 PAGES = "page_id long, url string, html string, rule string, component string"
 
 
@@ -75,6 +80,54 @@ def test_allow_goes_before_block(spark):
     assert verdict(edge(("http://a.test/1", "http://bad.net/x"), (None, "http://b.test/2"), ("http://b.test/2", "http://b.test/2"))) == {1: "block", 2: "allow"}
 
 
+TARGETS = [
+    ("http://h/a/b/c.html?q#f", "https://x/y", "https://x/y"),
+    ("http://h/a/b/c.html?q#f", "//bad.net/y", "http://bad.net/y"),
+    ("https://h/a/b/c.html?q#f", "/en/x", "https://h/en/x"),
+    ("http://h/a/b/c.html?q#f", "d.html", "http://h/a/b/d.html"),
+    ("http://h/a/b/c.html?q#f", "?p=1&amp;q=2", "http://h/a/b/c.html?p=1&q=2"),
+    ("http://h/a/b/c.html?q#f", "#top", "http://h/a/b/c.html?q#top"),
+    ("http://h/a/b/c.html?q#f", "../d/./e/..", "http://h/a/d/"),
+    ("http://h/a/b/c.html?q#f", "../../../../z?x=../y", "http://h/z?x=../y"),
+    ("http://h/a/b/c.html?q#f", "/a/.", "http://h/a/"),
+    ("http://h/a/b/c.html?q#f", "javascript:x", "http://h/a/b/javascript:x"),
+    ("http://h", "x", "http://h/x"),
+    ("http://h?a", "x/..", "http://h/"),
+    ("http://h/a..b/..c", "..d/e", "http://h/a..b/..d/e"),
+]
+
+
+def test_targets_as_a_browser_reads_them(spark):
+    rows = [(i, u, f'<a href=z><LINK data-x=1 rel="canonical" href="{t}"/>', "r", "c") for i, (u, t, _) in enumerate(TARGETS)]
+    found = {r.src: set() for r in spark.createDataFrame(rows, PAGES).selectExpr("url as src").collect()}
+    for r in url_filters.page_edges(spark.createDataFrame(rows, PAGES), spellings=False).collect():
+        found[r.src].add(r.dst)
+    want = {u: {w for v, _, w in TARGETS if v == u and w != u} for u, _, _ in TARGETS}
+    assert found == want
+    from urllib.parse import urljoin
+
+    assert [urljoin(u, t.replace("&amp;", "&")) for u, t, _ in TARGETS if t != "javascript:x"] == [w for _, t, w in TARGETS if t != "javascript:x"]
+
+
+def test_sql_has_the_same_rows(spark, tmp_path):
+    """Relative, escaped and several links, hot and repeated URLs, null pages and clashing columns."""
+    rows = pages(3) + [(1000 + i, u, f"<link href='{t}' rel=canonical><meta http-equiv=\"Refresh\" content='0;url=/fr/{i}?a&amp;b'><link rel=canonical href=k{i}>", "r", "c") for i, (u, t, _) in enumerate(TARGETS)]
+    rows += [(2000 + i, "http://hot.example.com/de/", None, "r", "c") for i in range(300)] + [(3000, None, None, None, None), (3000, None, None, None, None)]
+    rows += [(3001, "http://page.test/1", '<link rel="canonical" href="//bad.net/y">', "r", "c")]
+    df = spark.createDataFrame(rows, PAGES + "").repartition(3)
+    con = duckdb.connect()
+    con.register("pages", pa.Table.from_pylist([dict(zip(("page_id", "url", "html"), r[:3], strict=True)) for r in rows], pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])))
+    found = url_filters.filter_urls(df)
+    assert_same(found, con, queries.oracle_sql()["op6_url_filters"])
+    said = {r.page_id: r.verdict for r in found.collect()}
+    assert said[3001] == "block" and said[3000] == "allow"
+
+
+def test_spellings_are_an_option(spark):
+    df = spark.createDataFrame([(1, "http://www.bad.net/x", None, "r", "c"), (2, "https://bad.net/x", None, "r", "c")], PAGES)
+    assert url_filters.page_edges(df, spellings=False).count() == 0 and url_filters.page_edges(df).count() == 1
+
+
 def test_empty_and_clash(spark):
     df = spark.createDataFrame([], PAGES)
     assert url_filters.filter_urls(df).count() == 0

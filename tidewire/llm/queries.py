@@ -126,13 +126,23 @@ def _sql_op6() -> str:
         tail = f"CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END"
         return f"CASE WHEN contains({u}, '://') THEN 'https://' || regexp_replace({host(u)}, '^(www|m)[.]', '') || regexp_replace({path(u)}, '([.]html|/)$', '') || {tail} END"
 
-    quote = "[\"'']?"
-    links = (
-        rf"(?is)<link\b[^>]*?\brel\s*=\s*{quote}canonical{quote}[^>]*?\bhref\s*=\s*{quote}([^\"''\s>]+)",
-        rf"(?is)<link\b[^>]*?\bhref\s*=\s*{quote}([^\"''\s>]+){quote}[^>]*?\brel\s*=\s*{quote}canonical\b",
-        rf"(?is)<meta\b[^>]*?http-equiv\s*=\s*{quote}refresh{quote}[^>]*?url\s*=\s*{quote}([^\"''\s>]+)",
-    )
-    targets = " UNION ALL ".join(["SELECT url AS src, url AS target FROM pages", *[f"SELECT url, regexp_extract(html, '{p}', 1) FROM pages" for p in links]])
+    links = [p.replace("'", "''") for p in url_filters.TARGETS]
+    path_of = lambda u: f"coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+    site = lambda u: f"regexp_extract({u}, '(?s)^(.*?://[^/?#]*)', 1)"
+    clean = "t"
+    for entity, char in url_filters.ENTITIES:
+        clean = f"replace({clean}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    folder = f"regexp_extract({path_of('src')}, '(?s)^(.*/)', 1)"
+    whole = f"""CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\\-]*://') THEN t WHEN starts_with(t, '//') THEN split_part(src, '://', 1) || ':' || t
+      WHEN starts_with(t, '/') THEN {site('src')} || t WHEN starts_with(t, '?') THEN {site('src')} || {path_of('src')} || t
+      WHEN starts_with(t, '#') THEN regexp_extract(src, '(?s)^([^#]*)', 1) || t ELSE {site('src')} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || t END"""
+    segments = f"string_split({path_of('w')}, '/')"
+    dots = f"""CASE WHEN regexp_matches({path_of('w')}, '/[.][.]?(/|$)') THEN {site('w')}
+      || list_reduce({segments}[2:], lambda a, s: CASE WHEN s = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN s = '.' THEN a ELSE a || '/' || s END, '')
+      || CASE WHEN {segments}[-1] IN ('.', '..') THEN '/' ELSE '' END || regexp_extract(w, '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1) ELSE w END"""
+    raw = " UNION ALL ".join(f"SELECT url AS src, unnest(regexp_extract_all(html, '{p}', 1)) AS t FROM pages WHERE contains(url, '://')" for p in links)
+    targets = f"""SELECT url AS src, url AS target FROM pages UNION ALL
+      SELECT src, {dots} FROM (SELECT src, {whole} AS w FROM (SELECT src, {clean} AS t FROM ({raw})))"""
     tests = sorted(url_filters.RULES, key=lambda r: (-len(r[1]), r[1], r[0]))
 
     def fit(u: str, n: int) -> str:
