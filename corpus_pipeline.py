@@ -13,10 +13,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.llm import bpe, decontaminate, language_id, minhash, secret_scan
-from tidewire.llm.common import table, written
+from tidewire.llm.common import remove, scratch, table, written_at
 from tidewire.llm.queries import held_out
 
-#: No SQL can express the first stage's model, so run() is tested against brute force.
+#: No SQL can express the first stage's model; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
@@ -50,8 +50,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written and read again for the next."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over ``documents``, each written and read again for the next.
+
+    A stage's input and its own tables are removed once its output is written;
+    the input of the last stage stays, as its rows are made when they are read.
+    Every stage's operator says what it makes of nulls, empty, long and
+    repeated texts; without documents there are no rows.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            path = written_at(out, "pipeline-" + name.replace(" ", "-"), keep=True)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
