@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.workspace import new_folder, remove
+from ..sources.workspace import new_folder, passing, remove
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", keep: bool = False) -> DataFrame:
     """``(node, component)`` for the nodes of ``edges(a, b)``; the component is its smallest node.
 
     Each round links every node's larger neighbours to its smallest one and
@@ -17,10 +17,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     round is a written table, so a lost executor repeats one round at most;
     tables of earlier rounds are removed. Loops and edges with a null end
     are ignored, a node without any other edge has no row, and empty edges
-    give an empty result.
+    give an empty result. ``keep`` is that of ``written``.
     """
     spark = edges.sparkSession
-    base = new_folder(spark, name)
+    base = passing(new_folder(spark, name), keep)
 
     def at(df: DataFrame, number: int) -> DataFrame:
         df.write.parquet(f"{base}/{number}")

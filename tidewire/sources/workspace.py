@@ -38,13 +38,18 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def passing(path: str, keep: bool = False) -> str:
+    """``path``, to be removed when ``scratch`` ends, or with ``keep`` the block around it."""
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
+    return path
+
+
 def written_at(df: DataFrame, name: str, keep: bool = False, by: str | None = None) -> str:
     """Where ``df`` has been written as Parquet, in folders by the column ``by`` if that is given."""
     path = new_folder(df.sparkSession, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    if len(_scratch) > keep:
-        _scratch[-1 - keep].append(path)
-    return path
+    return passing(path, keep)
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
