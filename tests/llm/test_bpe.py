@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -39,6 +40,19 @@ def test_long_pieces(library):
     assert encode(texts) == [library.encode_ordinary(t) for t in texts]
 
 
+def test_runs_of_many_bytes_in_near_linear_time(library):
+    """A run of 200 KB takes about ten times as long as one of 20 KB."""
+    r = random.Random(6)
+    own, took = bpe.load(FILE, public_tokenizers.PATTERN), []
+    for n in (20_000, 200_000):
+        text = "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+        start = time.process_time()
+        found = own.merge_long(text.encode()).tolist()
+        took.append(time.process_time() - start)
+        assert found == library.encode_ordinary(text)
+    assert took[1] < 30 * took[0] + 0.5 and took[1] < 10
+
+
 def test_small_vocabulary_with_unsafe_merges():
     ranks = {bytes([b]): b for b in range(256)} | {b"bc": 290, b"abc": 300, b"ab": 500, b"cd": 400, b"abcd": 310}
     own = bpe.ByteBPE(ranks, public_tokenizers.PATTERN)

@@ -17,18 +17,31 @@ def grams(words):
 
 
 def brute(docs, items, threshold=0.8):
-    out = {}
+    """The best similarity of all windows, slid over each document word by word."""
+    out, own = {}, {}
+    for j, passage in items:
+        words = WORD.findall((passage or "").lower())
+        if words:
+            own[j] = len(words), Counter(grams(words))
     for i, text in docs:
         words = WORD.findall((text or "").lower())
-        for j, passage in items:
-            own = WORD.findall((passage or "").lower())
-            if not own or not words:
-                continue
-            n, best = min(len(own), len(words)), 0.0
-            a = Counter(grams(own))
-            for at in range(len(words) - n + 1):
-                b = Counter(grams(words[at : at + n]))
-                best = max(best, sum((a & b).values()) / sum((a | b).values()))
+        for j, (n, a) in own.items() if words else ():
+            n, g = min(n, len(words)), min(5, n)
+            if g < 5 or n < 5:  # a window of under five words is one gram
+                starts = [tuple(words[at : at + n]) for at in range(len(words) - n + 1)]
+                best = float(any(w in a for w in starts))
+            else:
+                found = grams(words)
+                size, best, common, seen = n - 4, 0.0, 0, Counter()
+                for at, new in enumerate(found):
+                    common += seen[new] < a[new]
+                    seen[new] += 1
+                    if at >= size:
+                        old = found[at - size]
+                        seen[old] -= 1
+                        common -= seen[old] < a[old]
+                    if at >= size - 1:
+                        best = max(best, common / (sum(a.values()) + size - common))
             if best >= threshold:
                 out[i, j] = best
     return out

@@ -8,10 +8,10 @@ of ids, the merged id is written over the pair's left end and the row is
 compacted. A piece that is a token itself is taken whole, as the public
 library does.
 
-Pieces over ``LONG`` bytes would need as many rounds as they have merges.
-They merge all occurrences of their minimum pair in a round where that is
-the same: where every pair that contains the merged token has a higher
-rank, which is known for each token from the rank file.
+Pieces over ``LONG`` bytes would need as many rounds as they have merges,
+each over the whole row. They are merged one by one, by the same order: their
+tokens form a linked list, and a heap gives the leftmost pair of minimum
+rank, so the work grows with n log n.
 
 Defined cases: a null text is encoded as the empty text: no ids, empty
 bytes. Repeated rows are encoded each. Only the id and text columns are
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -33,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces beyond so many bytes take the path that merges all occurrences at once.
+#: Pieces beyond so many bytes are merged through a heap.
 LONG = 512
 #: Matrices hold so many cells at most.
 CELLS = 1 << 20
@@ -110,10 +111,7 @@ class ByteBPE:
         found = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, merged = np.array(found, np.int32).reshape(-1, 3).T
         self.pairs = PairTable(left, right, merged)
-        #: Least rank of a pair that contains the token.
-        self.least = np.full(max(ranks.values(), default=0) + 1, NONE, np.int32)
-        np.minimum.at(self.least, left, merged)
-        np.minimum.at(self.least, right, merged)
+        self.merges = dict(zip((left.astype(np.int64) << 32 | right).tolist(), merged.tolist(), strict=True))
         self.cache: dict[str, bytes] = {}
 
     def merge_rows(self, pieces: list[bytes]) -> list[bytes]:
@@ -153,29 +151,38 @@ class ByteBPE:
         return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def merge_long(self, piece: bytes) -> np.ndarray:
-        """Ids of a long piece; in a round all occurrences of a pair merge if that is safe."""
-        ids = self.byte_id[np.frombuffer(piece, np.uint8)]
-        rank = self.pairs.get(ids[:-1], ids[1:])
-        while len(rank) and (best := rank.min()) < NONE:
-            at = np.flatnonzero(rank == best)
-            if self.least[best] > best:
-                # Of overlapping pairs (a a a) the leftmost goes first: every other of a run.
-                run = np.cumsum(np.r_[True, np.diff(at) > 1]) - 1
-                first = np.flatnonzero(np.r_[True, np.diff(run) > 0])
-                at = at[(np.arange(len(at)) - first[run]) % 2 == 0]
+        """Ids of a long piece: a linked list of tokens and a heap of pairs by rank and place."""
+        ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
+        n, merges = len(ids), self.merges.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # An entry holds rank and place of the left token in one number; it is out
+        # of date if the pair at that place has another rank by now.
+        rank = [merges(a << 32 | b, -1) for a, b in zip(ids, ids[1:])] + [-1]
+        heap = [r * n + i for i, r in enumerate(rank) if r >= 0]
+        heapq.heapify(heap)
+        while heap:
+            best, i = divmod(heapq.heappop(heap), n)
+            if rank[i] != best:
+                continue
+            ids[i], gone = best, after[i]
+            rank[gone] = -1
+            after[i] = right = after[gone]
+            if right < n:
+                before[right] = i
+                rank[i] = r = merges(best << 32 | ids[right], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r * n + i)
             else:
-                at = at[:1]
-            ids = ids.copy()
-            ids[at] = best
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            place = np.cumsum(keep) - 1
-            old = np.r_[rank, NONE]
-            ids, rank, at = ids[keep], old[keep][:-1], place[at]
-            new = np.unique(np.r_[at - 1, at])
-            new = new[(new >= 0) & (new < len(ids) - 1)]
-            rank[new] = self.pairs.get(ids[new], ids[new + 1])
-        return ids
+                rank[i] = -1
+            if (left := before[i]) >= 0:
+                rank[left] = r = merges(ids[left] << 32 | best, -1)
+                if r >= 0:
+                    heapq.heappush(heap, r * n + left)
+        out, i = [], 0
+        while i < n:
+            out.append(ids[i])
+            i = after[i]
+        return np.array(out, np.int32)
 
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """Ids, as little-endian unsigned 32-bit integers, of each distinct piece."""

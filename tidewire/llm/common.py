@@ -32,9 +32,9 @@ def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components", keep: bool = False) -> DataFrame:
     """Components of the graph of ``edges(src, dst)``: ``(node, component)``, the smallest node reachable."""
-    return components(edges.select(edges["src"].alias("a"), edges["dst"].alias("b")), name)
+    return components(edges.select(edges["src"].alias("a"), edges["dst"].alias("b")), name, keep)
 
 
 def put(path: str, data: bytes) -> None:

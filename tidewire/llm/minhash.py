@@ -217,7 +217,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return heads.union(others).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
-def union_find(links: DataFrame) -> DataFrame:
+def union_find(links: DataFrame, keep: bool = False) -> DataFrame:
     """Components ``(node, component)`` of ``links(a, b)``.
 
     Union-find joins the links within each partition first, which leaves a
@@ -243,7 +243,7 @@ def union_find(links: DataFrame) -> DataFrame:
             src, dst = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    return connected_components(links.mapInArrow(run, "src long, dst long"), "near-groups")
+    return connected_components(links.mapInArrow(run, "src long, dst long"), "near-groups", keep)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -433,7 +433,7 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
         # Second pass: what the first has left apart.
         units = written(apart(bucketed.select("key", "band", "doc_id"), groups, shapes.drop("set_a", "set_b"), percent), "near-units")
         more = written(links_apart(units, sets.select("doc_id", "members"), percent), "near-links")
-        joined = union_find(links.union(more)).withColumnRenamed("node", "rep")
+        joined = union_find(links.union(more), keep=True).withColumnRenamed("node", "rep")
 
     grouped = member.join(joined, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.explode(F.expr("array_repeat(0, cast(copies as int))")).alias("copy"))
     kept = (F.col("doc_id") == F.col("component_id")).alias("kept")
