@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from ..functions.labels import sentiment_label
 from ..schemas import require
 
-#: A lexicon of up to so many rows (some 10 MB) is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 200_000
-
 # Fixed values of the published rules.
 ALPHA = 15.0
 BOOST, CAPITALS, NEGATED = 0.293, 0.733, -0.74
@@ -28,11 +25,24 @@ DAMPING = (1.0, 0.95, 0.9)
 BEFORE_BUT, AFTER_BUT = 0.5, 1.5
 EXCLAMATION, EXCLAMATIONS = 0.292, 4
 QUESTION, QUESTIONS_MOST = 0.18, 0.96
-BOOSTERS = "absolutely amazingly completely deeply enormously entirely especially exceptionally extremely greatly highly hugely incredibly intensely more most particularly purely quite really remarkably so substantially thoroughly totally tremendously unbelievably unusually utterly very".split()
-DAMPERS = "almost barely hardly less little marginally occasionally partly scarcely slightly somewhat".split()
-NEGATIONS = "aint arent cannot cant couldnt didnt doesnt dont hadnt hasnt havent isnt neither never no nobody none nope nor not nothing nowhere rarely seldom shouldnt wasnt werent without wont wouldnt".split()
+BOOSTERS = """absolutely amazingly awfully completely considerable considerably decidedly deeply effing enormous enormously entirely especially
+exceptional exceptionally extreme extremely fabulously flippin flipping frackin fracking frickin fricking friggin frigging fully greatly hella highly
+hugely incredible incredibly intensely major majorly more most particularly purely quite really remarkably so substantially thoroughly total totally
+tremendous tremendously uber unbelievably unusually utter utterly very""".split()
+DAMPERS = "almost barely hardly kinda kindof less little marginal marginally occasional occasionally partly scarce scarcely slight slightly somewhat sorta sortof".split()
+NEGATIONS = """aint arent cannot cant couldnt darent despite didnt doesnt dont hadnt hasnt havent isnt mightnt mustnt neednt neither never no nobody none
+nope nor not nothing nowhere oughtnt rarely seldom shant shouldnt uhuh wasnt werent without wont wouldnt""".split()
 
 WORD = r"[^\p{L}0-9]+"
+#: For the rules, words keep the apostrophes inside them: ``isn't`` is one.
+SPOKEN = r"[^\p{L}0-9']+"
+
+
+def spoken_words(texts: DataFrame, id_col: str = "id", text_col: str = "title") -> DataFrame:
+    """``(id, place, word)`` with apostrophes inside words, straight ones for all spellings."""
+    plain = F.translate(F.col(text_col), "\u2019\u02bc", "''")
+    bare = F.transform(F.split(plain, SPOKEN), lambda w: F.regexp_replace(w, "^'+|'+$", ""))
+    return texts.select(F.col(id_col).alias("id"), F.posexplode(F.filter(bare, lambda w: w != "")).alias("place", "word"))
 
 
 def words(texts: DataFrame, id_col: str = "id", text_col: str = "title") -> DataFrame:
@@ -48,11 +58,6 @@ def derived_lexicon(texts: DataFrame, text_col: str = "title") -> DataFrame:
     return texts.select(token).where("token <> ''").distinct().select("token", valence.alias("valence"))
 
 
-def _small(lexicon: DataFrame) -> DataFrame:
-    """The lexicon, broadcast if it is small."""
-    return F.broadcast(lexicon) if lexicon.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lexicon
-
-
 def compound(total: Column) -> Column:
     score = F.round(total / F.sqrt(total * total + ALPHA), 4)
     return F.when(total.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)))
@@ -79,7 +84,7 @@ def _adjusted(found: DataFrame) -> DataFrame:
         step = F.when(_among(F.col(f"w{k}"), BOOSTERS), BOOST + loud).when(_among(F.col(f"w{k}"), DAMPERS), -BOOST - loud).otherwise(0.0)
         value = value + F.when(plain, sign * step * damping).otherwise(0.0)
     for k in (1, 2, 3):
-        value = value * F.when(_among(F.col(f"w{k}"), NEGATIONS), NEGATED).otherwise(1.0)
+        value = value * F.when(_among(F.replace(F.col(f"w{k}"), F.lit("'"), F.lit("")), NEGATIONS), NEGATED).otherwise(1.0)
     side = F.when(F.col("place") < F.col("but_at"), BEFORE_BUT).when(F.col("place") > F.col("but_at"), AFTER_BUT).otherwise(1.0)
     return found.where("valence is not null").groupBy("id").agg(F.sum(value * side).alias("total"))
 
@@ -93,7 +98,9 @@ def score(texts: DataFrame, lexicon: DataFrame, rules: bool = True, id_col: str
     """
     require(texts, id_col, text_col)
     lexicon = lexicon.select(F.lower("token").alias("token"), F.col("valence").cast("double").alias("valence"))
-    found = words(texts, id_col, text_col).withColumn("token", F.lower("word")).join(_small(lexicon), "token", "left")
+    spoken = spoken_words(texts, id_col, text_col) if rules else words(texts, id_col, text_col)
+    # Spark broadcasts the lexicon if it turns out small, and shuffles it otherwise.
+    found = spoken.withColumn("token", F.lower("word")).join(lexicon, "token", "left" if rules else "inner")
     if rules:
         totals = _adjusted(found)
         marks = F.least(F.length(F.regexp_replace(text_col, "[^!]", "")), F.lit(EXCLAMATIONS)) * EXCLAMATION

@@ -33,10 +33,10 @@ def term_weights(titled: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFra
     counts = found.groupBy("topic_id", "term").agg(F.count("*").alias("n"))
     sizes = counts.groupBy("topic_id").agg(F.sum("n").alias("size"))
     totals = counts.groupBy("term").agg(F.sum("n").alias("f"))
-    # One number, read by the driver: the mean size of a topic.
-    mean = sizes.agg(F.avg("size")).first()[0] or 0.0
-    weight = F.col("n") / F.col("size") * F.log(1 + F.lit(mean) / F.col("f"))
-    return counts.join(sizes, "topic_id").join(totals, "term").select("topic_id", "term", F.round(weight, 9).alias("weight"))
+    # One row: the mean size of a topic.
+    mean = F.broadcast(sizes.agg(F.avg("size").alias("mean")))
+    weight = F.col("n") / F.col("size") * F.log(1 + F.col("mean") / F.col("f"))
+    return counts.join(sizes, "topic_id").join(totals, "term").join(mean, F.lit(True)).select("topic_id", "term", F.round(weight, 9).alias("weight"))
 
 
 def keywords(titled: DataFrame, stop_words: tuple[str, ...] = (), count: int = KEYWORDS) -> DataFrame:

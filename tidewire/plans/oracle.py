@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 STORIES = r"""stories AS (
-  SELECT d.doc_id AS id, substring(split_part(d.text, chr(10), 1), 1, 80) AS title, CAST(floor(e.value) AS INTEGER) AS score,
-         CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS descendants, e.ts AS time, coalesce(p.url, '') AS url
-  FROM documents d JOIN events e ON e.event_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id)"""
+  SELECT d.doc_id AS id, d.text AS title, coalesce(CAST(floor(e.value) AS INTEGER), 0) AS score,
+         coalesce(CAST(json_extract_string(e.props, '$.k') AS BIGINT), 0) AS descendants, e.ts AS time, coalesce(p.url, '') AS url
+  FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id)"""
 TOKENS = STORIES + r""", tok AS (
   SELECT id, token FROM (SELECT id, unnest(string_split_regex(lower(title), '[^\p{L}0-9]+')) AS token FROM stories) WHERE token <> '')"""
 SCORED = TOKENS + """, total AS (
@@ -30,8 +30,7 @@ INDEXED = """, indexed AS (
   SELECT e.*, row_number() OVER (ORDER BY e.score DESC, e.id) - 1 AS idx, v.embedding FROM {of} e JOIN embeddings v ON v.vec_id = e.id
 ), doc AS (SELECT *, 'story_' || idx || '_' || substring(md5(title), 1, 10) AS doc_id FROM indexed)"""
 QUERIES = """, asked AS (
-  SELECT v.vec_id AS query_id, v.embedding AS q, st.title AS query FROM embeddings v JOIN stories st ON st.id = v.vec_id
-  WHERE v.vec_id % 50 = 0 AND length(trim(st.title)) >= 3 AND length(st.title) <= 100)"""
+  SELECT v.vec_id AS query_id, v.embedding AS q FROM embeddings v WHERE v.vec_id % 50 = 0)"""
 COSINE = "round(1 - list_dot_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[])) * list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 9)"
 MANIFESTS = """m AS (
   SELECT CAST(ts AS DATE) AS day, event_type AS analysis_type, count(*) AS stories_count, CAST(floor(epoch(max(ts))) AS DOUBLE) AS timestamp,
@@ -73,7 +72,7 @@ def oracle_sql() -> dict[str, str]:
 ), lab AS (SELECT st.id, coalesce(CAST(num.topic_id AS INTEGER), -1) AS topic_id FROM stories st LEFT JOIN comp ON comp.node = st.id LEFT JOIN num USING (c)
 {TOPICS[TOPICS.index("), term AS"):]} """
     return {
-        "s1_ranked_ids": f"{s}SELECT id, CAST(rank AS INTEGER) AS rank FROM ({ranked}) WHERE rank < 500",
+        "s1_ranked_ids": f"{s}SELECT id, CAST(rank AS INTEGER) AS rank FROM ({ranked})",
         "s2_first_ranked": f"{s}SELECT id, CAST(rank AS INTEGER) AS rank FROM ({ranked}) WHERE rank < 100",
         "s3_story_details": f"{s}SELECT id, title, score, descendants, date_trunc('second', time) AS time, url FROM stories JOIN ({ranked}) USING (id) WHERE rank < 30",
         "s4_s5_snapshot": f"{s}SELECT * FROM stories",
@@ -126,15 +125,16 @@ def oracle_sql() -> dict[str, str]:
         "x8_engine_search": "WITH " + hit.replace("<where>", "WHERE score >= 20").replace("<keep>", "") + "SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round_even(1 - distance, 3) AS similarity_score FROM kept",
         "x9_inner_product": nearest.format(distance="round(1 - list_dot_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9)") + "SELECT query_id, id, CAST(position AS INTEGER) AS position FROM top WHERE position <= 5",
         "g3_g6_catalogue": f"""WITH {MANIFESTS} SELECT "limit", analysis_type, stories_count, now - timestamp < 604800 AS valid, round((now - timestamp) / 3600, 6) AS age_hours FROM m, last""",
-        "g4_index_validity": f"WITH {MANIFESTS} SELECT day, analysis_type, now - timestamp <= 3600 AS valid FROM m, last",
+        "g4_index_validity": """WITH e AS (SELECT *, CAST(ts AS DATE) AS day, strftime(ts, '%H:%M') < '23:30' AS early, floor(epoch(ts)) AS sec FROM events
+            ) SELECT day, event_type AS analysis_type, coalesce(max(sec) - max(sec) FILTER (early) <= 3600 AND md5(count(*) FILTER (early) || ':' || coalesce(sum(event_id) FILTER (early), 0)) = md5(count(*) || ':' || sum(event_id)), false) AS valid FROM e GROUP BY ALL""",
         "g5_snapshot_keys": f"""WITH {MANIFESTS} SELECT day, analysis_type, md5("limit" || '_' || analysis_type) AS cache_key FROM m""",
-        "g7_versions": f"WITH {MANIFESTS} SELECT day, analysis_type, row_number() OVER (ORDER BY analysis_type, day) AS version FROM m",
+        "g7_versions": f"WITH {MANIFESTS} SELECT day, analysis_type, CAST(row_number() OVER (PARTITION BY analysis_type ORDER BY day) AS INTEGER) AS version FROM m",
         "g1_refresh": f"{s}SELECT CAST(coalesce(sum(descendants), 0) AS BIGINT) AS total_comments FROM stories",
         "g10_windowed_counts": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
-        "g11_stream_dedup": "SELECT DISTINCT user_id || ':' || event_type AS key FROM events",
+        "g11_stream_dedup": "SELECT DISTINCT user_id || ':' || event_type || ':' || CAST(ts AS DATE) AS key FROM events",
         "v1_virality_features": f"{t}SELECT id, CAST(length(title) AS INTEGER) AS title_length, CAST(hour(time) AS INTEGER) AS hour, sentiment_score, CASE WHEN score > 100 THEN 1 ELSE 0 END AS viral FROM scored",
         "v4_briefing": f"{e}SELECT id, title, url, score, (SELECT max(CAST(time AS DATE)) FROM enriched) AS date, (SELECT round(avg(sentiment_score), 6) FROM enriched) AS average_sentiment, {top_topic} FROM enriched ORDER BY score DESC, id LIMIT 5",
-        "v5_history_insert": f"{e}SELECT id, title, score, sentiment_score, topic_keyword, time AS timestamp FROM enriched",
+        "v5_history_insert": f"{e}SELECT id, CASE WHEN id % 2 = 0 THEN 'stored' ELSE title END AS title, CASE WHEN id % 2 = 0 THEN -1 ELSE score END AS score, sentiment_score, topic_keyword, time AS timestamp FROM enriched",
         "v6_latest": f"{s}SELECT id, time AS timestamp FROM stories ORDER BY time DESC, id LIMIT 1000",
         "v7_sentiment_trend": f"{t}SELECT date_trunc('day', time) AS period, count(*) AS n, round(avg(sentiment_score), 6) AS average_sentiment FROM scored GROUP BY 1",
         "v8_all_time_top": f"{s}SELECT id, score FROM stories ORDER BY score DESC, id LIMIT 50",

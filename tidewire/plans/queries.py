@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -58,14 +58,14 @@ def enriched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stated_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Every vector whose id is divisible by 50, as queries, with its title."""
+    """Every vector whose id is divisible by 50, as queries."""
     q = vectors(spark, d).where(F.col("id") % 50 == 0)
-    return q.join(view(spark, d).select("id", "title"), "id").select(F.col("id").alias("query_id"), F.col("title").alias("query"), "embedding")
+    return q.select(F.col("id").alias("query_id"), F.concat(F.lit("more like story "), F.col("id").cast("string")).alias("query"), "embedding")
 
 
 def landed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ids, items = stories.land(view(spark, d), new_folder(spark, "landed"))
-    return stories.read_ranked_ids(spark, ids), stories.read_items(spark, items)
+    return stories.read_ranks(spark, ids), stories.read_items(spark, items)
 
 
 def naive(df: DataFrame, *columns: str) -> DataFrame:
@@ -418,10 +418,20 @@ def g3_g6_catalogue(spark, d):
 
 @query
 def g4_index_validity(spark, d):
-    """Which of the daily manifests' indexes could be kept at the last event."""
-    m = manifests(spark, d)
-    ok = snapshots.index_valid(F.lit(last_time(spark, d)), F.col("timestamp"), F.col("stories_count"), F.col("stories_count"))
-    return m.select("day", "analysis_type", ok.alias("valid"))
+    """Which indexes of a day's events, built at the last one before half past
+    eleven, could be kept at the day's last event: age and fingerprint decide."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("day", F.to_date("ts"))
+    early = F.date_format("ts", "HH:mm") < "23:30"
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    print_of = lambda n, total: F.md5(F.encode(F.concat_ws(":", n, total), "utf-8"))
+    days = e.groupBy("day", F.col("event_type").alias("analysis_type")).agg(
+        F.max(at).alias("now"),
+        F.max(F.when(early, at)).alias("built"),
+        print_of(F.count(F.when(early, 1)), F.coalesce(F.sum(F.when(early, F.col("event_id"))), F.lit(0))).alias("stored"),
+        print_of(F.count("*"), F.coalesce(F.sum("event_id"), F.lit(0))).alias("current"),
+    )
+    ok = snapshots.index_valid(F.col("now"), F.col("built"), F.col("stored"), F.col("current"))
+    return days.select("day", "analysis_type", F.coalesce(ok, F.lit(False)).alias("valid"))
 
 
 @query
@@ -432,8 +442,8 @@ def g5_snapshot_keys(spark, d):
 @query
 def g7_versions(spark, d):
     """Versions that the manifests of each type would have got, one after the other."""
-    numbered = with_index(manifests(spark, d), F.col("analysis_type"), F.col("day"), name="version")
-    return numbered.select("day", "analysis_type", (F.col("version") + 1).alias("version"))
+    version = F.row_number().over(Window.partitionBy("analysis_type").orderBy("day"))  # a row for each day
+    return manifests(spark, d).select("day", "analysis_type", version.alias("version"))
 
 
 def event_stream(spark, d):
@@ -448,10 +458,10 @@ def g1_refresh(spark, d):
     _, items = stories.land(view(spark, d), new_folder(spark, "landed"))
     out, state = new_folder(spark, "published"), new_folder(spark, "stream")
     running = refresh.refresh(
-        refresh.item_stream(spark, items), lambda batch: metrics.total_comments(stories.extract(batch)), lambda result, n: result.write.mode("overwrite").parquet(out), state, once=True
+        refresh.item_stream(spark, items), lambda batch: metrics.total_comments(stories.extract(batch)), lambda result, n: refresh.publish(result, out), state, once=True
     )
     running.awaitTermination()
-    return spark.read.parquet(out)
+    return refresh.published(spark, out)
 
 
 @query
@@ -462,9 +472,9 @@ def g10_windowed_counts(spark, d):
 
 @query
 def g11_stream_dedup(spark, d):
-    """Events of each user and type once, through the stream."""
-    keyed = event_stream(spark, d).withColumn("key", F.concat_ws(":", "user_id", "event_type"))
-    kept = refresh.deduplicated(keyed, "key", "ts", late="3650 days").select("key")
+    """Events of each user, type and day once, through the stream, whose state lasts a day."""
+    keyed = event_stream(spark, d).withColumn("key", F.concat_ws(":", "user_id", "event_type", F.to_date("ts").cast("string")))
+    kept = refresh.deduplicated(keyed, "key", "ts", late="1 day").select("key")
     return refresh.run_once(kept, new_folder(spark, "dedup"), new_folder(spark, "stream"))
 
 
@@ -493,9 +503,10 @@ def v4_briefing(spark, d):
 
 @query
 def v5_history_insert(spark, d):
-    """Stories of the first half of ids, then all: each once."""
+    """All stories inserted where those of even ids are stored already, with
+    another title and score: what is stored stays."""
     all_rows = story_history(spark, d)
-    stored = all_rows.where("id % 2 = 0")
+    stored = all_rows.where("id % 2 = 0").withColumn("title", F.lit("stored")).withColumn("score", F.lit(-1))
     return naive(history.insert_or_ignore(all_rows, stored), "timestamp")
 
 

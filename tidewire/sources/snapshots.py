@@ -49,13 +49,6 @@ def text_fingerprint(texts: DataFrame, text_col: str) -> DataFrame:
     return fingerprint_of(texts.select(F.md5(F.encode(F.coalesce(F.trim(text_col), F.lit("")), "utf-8")).alias("digest")))
 
 
-def list_fingerprint(stories: DataFrame) -> DataFrame:
-    """The fingerprint as the md5 of the sorted row digests. It builds one list
-    of all rows, so it is for snapshots of bounded size; else ``fingerprint``."""
-    digest = row_digest(stories)
-    return stories.agg(F.md5(F.encode(F.array_join(F.array_sort(F.collect_list(digest)), ""), "utf-8")).alias("fingerprint"))
-
-
 class Snapshots:
     """Snapshots under a folder: tables in Parquet and a manifest row each, in JSON."""
 

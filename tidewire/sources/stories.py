@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rows import with_index
 from ..schemas import RANKED_IDS, RAW_ITEM, require
 
 LIMIT_LEAST, LIMIT_MOST, LIMIT_STEP, LIMIT_DEFAULT = 10, 100, 5, 30
@@ -22,6 +23,11 @@ def read_ranked_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RANKED_IDS).json(path).select(F.posexplode("ids").alias("rank", "id"))
 
 
+def read_ranks(spark: SparkSession, path: str) -> DataFrame:
+    """``(rank, id)`` from landed JSON rows, as ``land`` writes them."""
+    return spark.read.schema("rank INT, id LONG").json(path)
+
+
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """Landed item records, one JSON object a line. Broken lines, bare nulls and items without an id are left out."""
     raw = spark.read.schema(f"{RAW_ITEM}, _corrupt_record STRING").option("mode", "PERMISSIVE").json(path)
@@ -61,19 +67,20 @@ def by_score(stories: DataFrame) -> DataFrame:
 
 
 def stories_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stories made from the tables at hand: first lines of documents as
-    titles, values of events as scores, addresses of pages."""
+    """Stories made from the tables at hand: the whole texts of all documents as
+    titles, values of events as scores, addresses of pages. A document
+    without an event has score 0, no comments and no time."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "value", "props")
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return (
-        d.join(e, d.doc_id == e.event_id)
+        d.join(e, d.doc_id == e.event_id, "left")
         .join(p, d.doc_id == p.page_id, "left")
         .select(
             F.col("doc_id").alias("id"),
-            F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"),
-            F.floor("value").cast("int").alias("score"),
-            F.get_json_object("props", "$.k").cast("long").alias("descendants"),
+            F.col("text").alias("title"),
+            F.coalesce(F.floor("value").cast("int"), F.lit(0)).alias("score"),
+            F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)).alias("descendants"),
             F.col("ts").alias("time"),
             F.coalesce("url", F.lit("")).alias("url"),
         )
@@ -85,14 +92,9 @@ def whole_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
 
 
-def land(stories: DataFrame, folder: str, ranks: int | None = None) -> tuple[str, str]:
-    """Write stories as landed JSON: the ranked ids and the item records.
-
-    The list holds the best ``ranks`` ids, as the source's list is bounded.
-    """
-    ranked = by_score(stories).limit(ranks or 500)
-    ids = ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), lambda r: r["id"]).alias("ids"))
-    ids.coalesce(1).write.json(f"{folder}/ranked")
+def land(stories: DataFrame, folder: str) -> tuple[str, str]:
+    """Write stories as landed JSON: all ranked ids, a row each, and the item records."""
+    with_index(stories.select("id", "score"), F.desc("score"), F.col("id"), name="rank").select("rank", "id").write.json(f"{folder}/ranked")
     items = stories.select("id", "title", "score", "descendants", F.unix_timestamp(F.col("time").cast("timestamp")).alias("time"), "url", F.lit("story").alias("type"))
     items.write.json(f"{folder}/items")
     return f"{folder}/ranked", f"{folder}/items"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +35,8 @@ def retried(work: Callable[[], None], attempts: int = ATTEMPTS, wait: float = WA
 def refresh(stream: DataFrame, build: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, wait: float = WAIT_SECONDS) -> StreamingQuery:
     """Every minute build the result of the new items and publish it in place of the last.
 
-    ``publish`` must swap after a full write, so that readers never see half
-    a refresh. A batch is tried three times; then the query fails and starts
+    ``publish`` must swap after a full write, as the function of that name does,
+    so that readers never see half a refresh. A batch is tried three times; then the query fails and starts
     again from its checkpoint. ``once`` takes what has landed and ends.
     """
 
@@ -47,6 +48,27 @@ def refresh(stream: DataFrame, build: Callable[[DataFrame], DataFrame], publish:
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=INTERVAL)).start()
 
 
+def publish(result: DataFrame, folder: str) -> None:
+    """Write ``result`` beside the last one, then switch the pointer to it: readers see one or the other."""
+    spark = result.sparkSession
+    at = f"{folder}/{uuid.uuid4().hex}"
+    result.write.parquet(at)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    part, pointer = hadoop.Path(f"{at}.pointer"), hadoop.Path(f"{folder}/current")
+    store = part.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = store.create(part, True)
+    out.write(bytearray(at.encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(store.getUri(), spark._jsc.hadoopConfiguration()).rename(part, pointer, over)
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """The last published result."""
+    return spark.read.parquet(spark.read.text(f"{folder}/current").first()[0])
+
+
 def windowed_counts(stream: DataFrame, time_col: str, *keys: str, window: str = "1 day", late: str = "10 minutes") -> DataFrame:
     """``(window_start, keys, n)``; the time column must be a TIMESTAMP."""
     timed = stream.withWatermark(time_col, late)
