@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from ..functions.rows import with_index
 
 SHARD, RUN, TASK = "_shard_path", "_shard_run", "_shard_task"
-MANIFEST = "path string, seq long, bytes long, rows long, level int"
+#: ``filled`` is what a shard's rows weighed when they arrived: merged files compress
+#: better, and a run that was filled to the target once isn't merged again for that.
+MANIFEST = "path string, seq long, bytes long, rows long, level int, filled long"
 #: Shards are numbered by writing task, with so many numbers for each.
 PER_TASK = 100_000
 #: Runs are cut within the shards of so many tasks: no task plans all shards.
@@ -69,7 +71,7 @@ class ShardStore:
         return self.spark.read.text(f"{self.path}/_versions/{version:08d}").first()[0]
 
     def manifest(self, version: int | None = None) -> DataFrame:
-        """Shards of a version, the last by default: ``(path, seq, bytes, rows, level)``."""
+        """Shards of a version, the last by default: ``(path, seq, bytes, rows, level, filled)``."""
         known = self.versions()
         if not known:
             return self.spark.createDataFrame([], MANIFEST)
@@ -78,7 +80,7 @@ class ShardStore:
     def commit(self, rows: DataFrame, base: int) -> int:
         """Make ``rows`` the manifest of version ``base + 1``, or raise ``Conflict``."""
         at = f"{self.path}/_manifests/{uuid.uuid4().hex}"
-        rows.select("path", "seq", "bytes", "rows", "level").write.parquet(at)
+        rows.select("path", "seq", "bytes", "rows", "level", "filled").write.parquet(at)
         name = f"{base + 1:08d}"
         fs, part = self._fs(f"{self.path}/_versions/_{name}-{uuid.uuid4().hex}")
         out = fs.create(part, False)
@@ -116,7 +118,7 @@ class ShardStore:
         part = F.coalesce(F.regexp_extract("path", r"-c(\d+)\.", 1).try_cast("long"), F.lit(0))
         run = F.regexp_extract("path", RUN + r"=(\d+)", 1).try_cast("long")
         seq = F.coalesce(run, task * PER_TASK + part)
-        return files.where("rows > 0").select("path", seq.alias("seq"), "bytes", "rows", F.lit(level).alias("level"))
+        return files.where("rows > 0").select("path", seq.alias("seq"), "bytes", "rows", F.lit(level).alias("level"), F.col("bytes").alias("filled"))
 
     def append(self, rows: DataFrame) -> int:
         """Write an arrival as small shards and commit it; the new version."""
@@ -136,10 +138,10 @@ class ShardStore:
         """The runs to merge: ``(path, run)``, each with ``min_run`` shards or more;
         ``run`` is the smallest number among its shards and passes to the merged one.
 
-        A shard at half the target or above is full and stays.
+        A shard filled to half the target or above is full and stays.
         """
-        tier = F.floor(F.log(F.greatest(F.col("bytes"), F.lit(1))) / math.log(self.fanout))
-        small = manifest.where(F.col("bytes") < self.target_bytes / 2).select("path", "seq", "bytes", tier.alias("tier"))
+        tier = F.floor(F.log(F.greatest(F.col("filled"), F.lit(1))) / math.log(self.fanout))
+        small = manifest.where(F.col("filled") < self.target_bytes / 2).select("path", "seq", F.col("filled").alias("bytes"), tier.alias("tier"))
         blocks = Window.partitionBy("tier", F.floor(F.col("seq") / (PLAN_BLOCK * PER_TASK)))
         before = F.sum("bytes").over(blocks.orderBy("seq", "path")) - F.col("bytes")
         binned = small.withColumn("first", F.min("seq").over(blocks)).withColumn("bin", F.floor(before / self.target_bytes))
@@ -169,7 +171,9 @@ class ShardStore:
         folder = f"{self.path}/merged-{base + 1:08d}-{uuid.uuid4().hex}"
         dealt.write.option("compression", self.codec).partitionBy(RUN).parquet(folder)
         level = manifest.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0] + 1
-        after = manifest.join(runs, "path", "left_anti").unionByName(self._listed(folder, level))
+        filled = manifest.join(runs, "path").groupBy(F.col("run").alias("seq")).agg(F.sum("filled").alias("filled"))
+        merged = self._listed(folder, level).drop("filled").join(filled, "seq")
+        after = manifest.join(runs, "path", "left_anti").unionByName(merged)
         version = self.commit(after, base)
         self._expire(base)
         return version
