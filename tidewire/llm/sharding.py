@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rows import with_index
+from .common import written
 
 SHARD, RUN, TASK = "_shard_path", "_shard_run", "_shard_task"
 #: ``filled`` is what a shard's rows weighed when they arrived: merged files compress
@@ -167,6 +168,8 @@ class ShardStore:
         numbered = with_index(runs.select("run").distinct(), F.col("run"), name="task")
         n = numbered.count()
         told = runs.join(numbered, "run").select(F.col("path").alias(SHARD), F.col("run").alias(RUN), F.col("task").cast("int").alias(TASK))
+        # Written, so that Spark knows that it is small and doesn't shuffle the rows for the join as well.
+        told = written(told, "shard-runs")
         dealt = rows.join(told, SHARD).drop(SHARD).repartitionById(n, F.col(TASK)).drop(TASK)
         folder = f"{self.path}/merged-{base + 1:08d}-{uuid.uuid4().hex}"
         dealt.write.option("compression", self.codec).partitionBy(RUN).parquet(folder)
