@@ -25,7 +25,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -34,6 +34,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: Pieces beyond so many bytes are merged through a heap.
 LONG = 512
 #: Matrices hold so many cells at most.
@@ -111,9 +113,14 @@ class ByteBPE:
         found = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, merged = np.array(found, np.int32).reshape(-1, 3).T
         self.pairs = PairTable(left, right, merged)
-        self.merges = dict(zip((left.astype(np.int64) << 32 | right).tolist(), merged.tolist(), strict=True))
         self.cache: dict[str, bytes] = {}
 
+    @cached_property
+    def merges(self) -> dict[int, int]:
+        """The pairs as a plain table, for ``merge_long`` alone."""
+        used = self.pairs.keys >= 0
+        return dict(zip(self.pairs.keys[used].tolist(), self.pairs.values[used].tolist(), strict=True))
+
     def merge_rows(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces of similar length, one row of a padded matrix each."""
         width = max(map(len, pieces))
@@ -251,6 +258,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     ``rank_file`` is opened on the executors, where the tokenizer is installed.
     """
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(rank_file, pattern)
         for batch in batches:
@@ -266,6 +274,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
 def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """``(doc_id, decoded)``: the bytes of ``encoded(doc_id, ids)``."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(rank_file, pattern)
         for batch in batches:
@@ -284,6 +293,7 @@ def roundtrip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_
     One pass: ids and decoded bytes stay in the task and only digests leave it.
     """
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(rank_file, pattern)
         for batch in batches:

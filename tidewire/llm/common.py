@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.graph import components
 from ..sources.workspace import new_folder, remove, scratch, shared_dir, written, written_at
 
-__all__ = ["arrow_rows", "connected_components", "get", "new_folder", "put", "remove", "scratch", "shared_dir", "table", "written", "written_at"]
+__all__ = ["arrow_rows", "connected_components", "get", "new_folder", "put", "remove", "scratch", "shared_dir", "table", "trimmed", "written", "written_at"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +35,22 @@ def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving freed memory back to the system at its end:
+    Python workers outlive their tasks, and would keep the most that any stage took."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 def connected_components(edges: DataFrame, name: str = "components", keep: bool = False) -> DataFrame:
     """Components of the graph of ``edges(src, dst)``: ``(node, component)``, the smallest node reachable."""
     return components(edges.select(edges["src"].alias("a"), edges["dst"].alias("b")), name, keep)

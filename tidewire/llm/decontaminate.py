@@ -45,7 +45,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written_at
+from .common import trimmed, written_at
 from .shingles import WORDS, _PLACE, text_batches, words_of
 from .syncmers import mix
 
@@ -235,6 +235,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def finder(path: str):
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = load_block(path, threshold)
             for ids, texts in text_batches(batches):
@@ -257,6 +258,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     are. Rows are judged where they stand; nothing is shuffled."""
 
     def dropper(path: str):
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = load_block(path, threshold)
             for batch in batches:

@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import arrow_rows, trimmed
+
 UNDETERMINED = "und"
 DIMS = 1 << 12
 #: Centroids per language.
@@ -44,6 +46,8 @@ MARGIN, KEPT = 0.5, 0.99
 FULL_SIZE = 300
 #: Texts are cut into stretches of so many characters for the counting.
 STRETCH = 1 << 18
+#: Texts in a batch between Spark and Python.
+BATCH = 1000
 
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}]+")
@@ -134,6 +138,7 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """
     rows = training.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
 
+    @trimmed
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMS, np.int64), 0
         for batch in batches:
@@ -144,7 +149,8 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[n, total[at]])], ["bucket", "n"])
 
-    found = dict(rows.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect())
+    with arrow_rows(training.sparkSession, BATCH):
+        found = dict(rows.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect())
     n = found.pop(-1, 0)
     frequency = np.zeros(DIMS)
     for bucket, count in found.items():
@@ -183,6 +189,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """``(doc_id, lang_pred, score, rejected)`` for every whole text. The
     model, some 20 KB for each centroid, goes to the executors with the task."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -200,6 +207,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     """
     schema = docs.schema
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

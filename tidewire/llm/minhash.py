@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, connected_components, scratch, written
+from .common import arrow_rows, connected_components, scratch, trimmed, written
 from .shingles import shingle_sets, text_batches
 from .syncmers import mix
 
@@ -125,6 +125,7 @@ def digests(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
 def features(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` with set size, set digest, sketch and band keys."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_batches(batches):
             sets = shingle_sets(texts)
@@ -159,6 +160,7 @@ def features(docs: DataFrame) -> DataFrame:
 def full_sets(docs: DataFrame) -> DataFrame:
     """``(doc_id, set_a, set_b, members)``: the sorted shingle hashes of ``docs(doc_id, text)``, with their digests."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_batches(batches):
             sets = shingle_sets(texts)
@@ -188,6 +190,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     part gets the centre's set once, ahead of the members' own.
     """
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, x = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -224,6 +227,7 @@ def union_find(links: DataFrame, keep: bool = False) -> DataFrame:
     link for each node there; the forests are then joined across partitions.
     """
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
 
@@ -315,6 +319,7 @@ def apart(members: DataFrame, groups: DataFrame, shapes: DataFrame, percent: int
                 keep[x] |= len(at) > 0
         return keep
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _units(batches):
             comps, bands, sizes, other = (rows.column(c).to_numpy() for c in ("component", "band", "n_shingles", "other"))
@@ -372,6 +377,7 @@ def links_apart(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(n)
         return keep
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _units(batches):
             ids, comps, other = (rows.column(c).to_numpy() for c in ("doc_id", "component", "other"))

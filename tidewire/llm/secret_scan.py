@@ -53,7 +53,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import arrow_rows, scratch, trimmed, written
 
 #: A dictionary word occurs so often at least and has so many letters.
 WORD_COUNT, WORD_LETTERS = 5, (3, 15)
@@ -64,6 +64,8 @@ TRAINING_ROWS = 4_000
 TREES, DEPTH, SEED = 24, 6, 7
 #: Characters of context on either side of a candidate.
 AROUND = 40
+#: Texts in a batch between Spark and Python.
+BATCH = 1000
 CUTOFF = 0.5
 MASK = "[SECRET]"
 
@@ -191,6 +193,7 @@ def scan(docs: DataFrame, pairs: Pairs, id_col: str = "doc_id", text_col: str =
     lower-cased runs of letters leave the task."""
     path = F.col(path_col).cast("string") if path_col else F.lit("")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -240,7 +243,8 @@ def covered(found: DataFrame, words: DataFrame) -> DataFrame:
 
 def findings(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """All candidates of ``docs`` with all features, a written table; with a ``label`` it can be given to ``fit``."""
-    found = written(scan(docs, letter_pairs(words), id_col, text_col, path_col), "secret-candidates")
+    with arrow_rows(docs.sparkSession, BATCH):
+        found = written(scan(docs, letter_pairs(words), id_col, text_col, path_col), "secret-candidates")
     return written(covered(found, words), "secret-findings", keep=True)
 
 
