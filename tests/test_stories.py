@@ -188,3 +188,34 @@ def test_exports_round_trip(spark, tmp_path):
     stories.export_json(df, f"{tmp_path}/j")
     assert spark.read.option("header", True).option("escape", "\\").csv(f"{tmp_path}/c").first().title == 'a "quoted", title'
     assert spark.read.json(f"{tmp_path}/j").first().time == "2020-09-13T12:26:40"
+
+
+def test_sentiment_rules_like_brute_force(spark):
+    """Random texts of the rules' words, against the rules word by word."""
+    rng, lexicon = random.Random(5), {"good": 1.9, "bad": -2.5, "so": 0.7, "fine": 0.8}
+    vocabulary = "good BAD bad GOOD so very VERY hardly isn't not but fine plain Plain NEVER kinda FINE".split()
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 12))) for _ in range(60)]
+
+    def want(text):
+        words, total = text.split(), 0.0
+        low = [w.lower() for w in words]
+        mixed, but = len({w.isupper() for w in words}) == 2, low.index("but") if "but" in low else None
+        for i, w in enumerate(words):
+            v = lexicon.get(low[i])
+            if v is None:
+                continue
+            sign = 1 if v > 0 else -1
+            v += sign * 0.733 * (w.isupper() and mixed)
+            for k, damping in ((1, 1.0), (2, 0.95), (3, 0.9)):
+                if i >= k and low[i - k] not in lexicon:
+                    step = 0.293 + 0.733 * (words[i - k].isupper() and mixed)
+                    v += sign * damping * (step if low[i - k] in ("very", "so") else -step if low[i - k] in ("hardly", "kinda") else 0)
+            for k in (1, 2, 3):
+                v *= -0.74 if i >= k and low[i - k] in ("isn't", "not", "never") else 1
+            total += v * (1 if but is None or i == but else 0.5 if i < but else 1.5)
+        return total / (total * total + 15) ** 0.5
+
+    df = spark.createDataFrame([*enumerate(texts), (1000, None)], "id long, title string")
+    found = {r.id: r.sentiment_score for r in sentiment.score(df, spark.createDataFrame(list(lexicon.items()), "token string, valence double")).collect()}
+    assert len(found) == 61 and found[1000] == 0.0
+    assert all(abs(found[i] - want(t)) < 1e-4 for i, t in enumerate(texts))

@@ -6,13 +6,14 @@ follow the published description (Hutto and Gilbert, 2014): boosters and
 negations among the three words before, capitals for emphasis, ``but``,
 exclamation and question marks.
 
-All of it is DataFrame work: words are exploded with their place, joined
-with the lexicon, and look back through windows within their text.
+All of it is DataFrame work: the rules look back in the array of a text's
+words, and what they make of each word is counted, joined with the lexicon
+and summed by text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import sentiment_label
@@ -38,11 +39,10 @@ WORD = r"[^\p{L}0-9]+"
 SPOKEN = r"[^\p{L}0-9']+"
 
 
-def spoken_words(texts: DataFrame, id_col: str = "id", text_col: str = "title") -> DataFrame:
-    """``(id, place, word)`` with apostrophes inside words, straight ones for all spellings."""
-    plain = F.translate(F.col(text_col), "\u2019\u02bc", "''")
-    bare = F.transform(F.split(plain, SPOKEN), lambda w: F.regexp_replace(w, "^'+|'+$", ""))
-    return texts.select(F.col(id_col).alias("id"), F.posexplode(F.filter(bare, lambda w: w != "")).alias("place", "word"))
+def spoken(text: Column) -> Column:
+    """The words of a text in order, with apostrophes inside words, straight ones for all spellings."""
+    bare = F.transform(F.split(F.translate(text, "\u2019\u02bc", "''"), SPOKEN), lambda w: F.regexp_replace(w, "^'+|'+$", ""))
+    return F.filter(bare, lambda w: w != "")
 
 
 def words(texts: DataFrame, id_col: str = "id", text_col: str = "title") -> DataFrame:
@@ -67,26 +67,34 @@ def _among(column: Column, values: list[str]) -> Column:
     return F.lower(column).isin(values)
 
 
-def _adjusted(found: DataFrame) -> DataFrame:
-    """``(id, total)``: sums of valences after the rules on words."""
-    by_place = Window.partitionBy("id").orderBy("place")
-    whole = Window.partitionBy("id")
-    upper = (F.col("word") == F.upper("word")) & (F.col("word") != F.lower("word"))
-    found = found.withColumn("upper", upper)
-    for k in (1, 2, 3):
-        found = found.withColumn(f"w{k}", F.lag("word", k).over(by_place)).withColumn(f"v{k}", F.lag("valence", k).over(by_place)).withColumn(f"u{k}", F.lag("upper", k).over(by_place))
-    found = found.withColumn("mixed", F.min("upper").over(whole) != F.max("upper").over(whole)).withColumn("but_at", F.min(F.when(F.lower("word") == "but", F.col("place"))).over(whole))
-    sign = F.signum("valence")
-    value = F.col("valence") + F.when(F.col("upper") & F.col("mixed"), sign * CAPITALS).otherwise(0.0)
+def _upper(word: Column) -> Column:
+    return (word == F.upper(word)) & (word != F.lower(word))
+
+
+def _adjusted(texts: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, total)``: sums of valences after the rules on words.
+
+    What the rules add to a word's valence, and the factor on it, follow from
+    the words of its own text, so they are found where the text is; equal
+    cases of a text are counted before the lexicon is joined.
+    """
+    # One row: those of the rules' own words that the lexicon has, which then don't boost.
+    held = F.broadcast(lexicon.where(F.col("valence").isNotNull() & F.col("token").isin(BOOSTERS + DAMPERS)).agg(F.collect_set("token").alias("held")))
+    split = texts.select(F.col(id_col).alias("id"), spoken(F.col(text_col)).alias("words")).join(held, F.lit(True))
+    upper, but = F.exists("words", _upper), F.array_position(F.transform("words", F.lower), "but") - 1
+    each = split.select("id", "words", "held", (upper & F.exists("words", lambda w: ~_upper(w))).alias("mixed"), but.alias("but_at"), F.posexplode("words").alias("place", "word"))
+    add, factor = F.when(_upper(F.col("word")) & F.col("mixed"), CAPITALS).otherwise(0.0), F.lit(1.0)
     for k, damping in zip((1, 2, 3), DAMPING, strict=True):
-        plain = F.col(f"v{k}").isNull() & F.col(f"w{k}").isNotNull()
-        loud = F.when(F.col(f"u{k}") & F.col("mixed"), CAPITALS).otherwise(0.0)
-        step = F.when(_among(F.col(f"w{k}"), BOOSTERS), BOOST + loud).when(_among(F.col(f"w{k}"), DAMPERS), -BOOST - loud).otherwise(0.0)
-        value = value + F.when(plain, sign * step * damping).otherwise(0.0)
-    for k in (1, 2, 3):
-        value = value * F.when(_among(F.replace(F.col(f"w{k}"), F.lit("'"), F.lit("")), NEGATIONS), NEGATED).otherwise(1.0)
-    side = F.when(F.col("place") < F.col("but_at"), BEFORE_BUT).when(F.col("place") > F.col("but_at"), AFTER_BUT).otherwise(1.0)
-    return found.where("valence is not null").groupBy("id").agg(F.sum(value * side).alias("total"))
+        before = F.when(F.col("place") >= k, F.get("words", F.col("place") - k))
+        loud = F.when(_upper(before) & F.col("mixed"), CAPITALS).otherwise(0.0)
+        step = F.when(_among(before, BOOSTERS), BOOST + loud).when(_among(before, DAMPERS), -BOOST - loud).otherwise(0.0)
+        add = add + F.when(~F.array_contains("held", F.lower(before)), step * damping).otherwise(0.0)
+        factor = factor * F.when(_among(F.replace(before, F.lit("'"), F.lit("")), NEGATIONS), NEGATED).otherwise(1.0)
+    side = F.when(F.col("but_at") < 0, 1.0).when(F.col("place") < F.col("but_at"), BEFORE_BUT).when(F.col("place") > F.col("but_at"), AFTER_BUT).otherwise(1.0)
+    cases = each.select("id", F.lower("word").alias("token"), add.alias("add"), (factor * side).alias("factor")).groupBy("id", "token", "add", "factor").agg(F.count("*").alias("n"))
+    # Spark broadcasts the lexicon if it turns out small, and shuffles it otherwise.
+    value = (F.col("valence") + F.signum("valence") * F.col("add")) * F.col("factor") * F.col("n")
+    return cases.join(lexicon.where("valence is not null"), "token").groupBy("id").agg(F.sum(value).alias("total"))
 
 
 def score(texts: DataFrame, lexicon: DataFrame, rules: bool = True, id_col: str = "id", text_col: str = "title") -> DataFrame:
@@ -98,15 +106,13 @@ def score(texts: DataFrame, lexicon: DataFrame, rules: bool = True, id_col: str
     """
     require(texts, id_col, text_col)
     lexicon = lexicon.select(F.lower("token").alias("token"), F.col("valence").cast("double").alias("valence"))
-    spoken = spoken_words(texts, id_col, text_col) if rules else words(texts, id_col, text_col)
-    # Spark broadcasts the lexicon if it turns out small, and shuffles it otherwise.
-    found = spoken.withColumn("token", F.lower("word")).join(lexicon, "token", "left" if rules else "inner")
     if rules:
-        totals = _adjusted(found)
+        totals = _adjusted(texts, lexicon, id_col, text_col)
         marks = F.least(F.length(F.regexp_replace(text_col, "[^!]", "")), F.lit(EXCLAMATIONS)) * EXCLAMATION
         asked = F.length(F.regexp_replace(text_col, "[^?]", ""))
         marks = marks + F.when(asked > 3, QUESTIONS_MOST).when(asked > 1, asked * QUESTION).otherwise(0.0)
     else:
+        found = words(texts, id_col, text_col).withColumn("token", F.lower("word")).join(lexicon, "token")
         totals, marks = found.where("valence is not null").groupBy("id").agg(F.sum("valence").alias("total")), F.lit(0.0)
     joined = texts.join(totals.select(F.col("id").alias("_id"), F.col("total").alias("_total")), F.col(id_col) == F.col("_id"), "left")
     emphasised = F.col("_total") + F.signum("_total") * marks
