@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, minhash, secret_scan, sharding, syncmers, token_shards, url_filters, warc
+from . import bpe, decontaminate, language_id, license_scan, minhash, secret_scan, sharding, syncmers, token_shards, url_filters, warc
 from .common import new_folder, table
 
 
@@ -82,8 +82,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op3_minhash, op4_decontamination, op5_sharding, op6_url_filters, op7_language_id, op8_syncmers, op9_token_shards, op10_warc)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op3_minhash, op4_decontamination, op5_sharding, op6_url_filters, op7_language_id, op8_syncmers, op9_token_shards, op10_warc, op13_license_scan)}
 
 
 SQL_OP10 = """
@@ -166,4 +170,4 @@ FROM pages LEFT JOIN comp ON comp.node = url LEFT JOIN kind USING (alias_group)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash": SQL_OP3, "op6_url_filters": _sql_op6(), "op10_warc": SQL_OP10}
+    return {"op3_minhash": SQL_OP3, "op6_url_filters": _sql_op6(), "op10_warc": SQL_OP10, "op13_license_scan": license_scan.sql()}
