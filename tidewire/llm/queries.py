@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, license_scan, minhash, secret_scan, sharding, syncmers, token_shards, url_filters, warc, whitening
+from . import alignment, bpe, decontaminate, language_id, license_scan, minhash, secret_scan, sharding, syncmers, token_shards, url_filters, warc, whitening
 from .common import new_folder, table
 
 
@@ -82,6 +82,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -91,7 +95,7 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op3_minhash, op4_decontamination, op5_sharding, op6_url_filters, op7_language_id, op8_syncmers, op9_token_shards, op10_warc, op12_whitening, op13_license_scan)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op3_minhash, op4_decontamination, op5_sharding, op6_url_filters, op7_language_id, op8_syncmers, op9_token_shards, op10_warc, op11_alignment, op12_whitening, op13_license_scan)}
 
 
 SQL_OP10 = """
