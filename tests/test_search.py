@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewire.operators import search
+from tidewire.operators import cells, search
 
 QUERY = "query_id long, query string, embedding array<float>"
 
@@ -65,11 +65,11 @@ def test_no_queries_or_documents(spark):
 def test_near_pairs_are_all_pairs(spark):
     x = vectors(90, 4).astype(float)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    old, search.PAIR_BLOCK = search.PAIR_BLOCK, 16
+    old, cells.SLICE = cells.SLICE, 16
     try:
         found = search.near_pairs(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>"), 0.5).collect()
     finally:
-        search.PAIR_BLOCK = old
+        cells.SLICE = old
     want = {(i, j) for i in range(90) for j in range(i + 1, 90) if round(x[i] @ x[j], 9) >= 0.5}
     assert {(r.a, r.b) for r in found} == want and len(found) == len(want)
 

@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from ..functions.labels import document_id, explanation, similarity
 from ..functions.rows import with_index
 from ..schemas import require
+from . import cells
+from .semantics import Semantics
 
 QUERY_LEAST, QUERY_MOST = 3, 100
 RESULTS, THRESHOLD = 10, 0.7
@@ -175,13 +177,25 @@ def _finder(query_ids: list[int], vectors: np.ndarray, k: int, metric: str, docs
     return run
 
 
-def semantic_search(index: DataFrame, queries: DataFrame, k: int = RESULTS, threshold: float | None = THRESHOLD, metric: str = "cosine", condition: Column | None = None) -> DataFrame:
+def semantic_search(index: DataFrame, queries: DataFrame, k: int = RESULTS, threshold: float | None = THRESHOLD, metric: str = "cosine", condition: Column | None = None, model: Semantics | None = None, of_cells: cells.Cells | None = None) -> DataFrame:
     """Ranked results of valid queries: the k nearest, those under the
-    threshold then dropped, so that fewer than k may be left.
+    threshold then dropped, so that fewer than k may be left. The words of
+    queries are embedded by ``model``, with which the index was made, unless
+    the queries bring an ``embedding``.
 
     ``(query_id, rank, id, document, metadata, similarity_score, distance, explanation)``
     """
-    hits = nearest(index, valid_queries(queries), k, metric, condition)
+    asked = valid_queries(queries)
+    if "embedding" not in queries.columns:
+        if model is None:
+            raise ValueError("queries without an embedding need the model of the index")
+        asked = model.embed(asked.select("query_id", "query"), "query")
+    if of_cells is not None:
+        if metric != "cosine" or condition is not None:
+            raise ValueError("an index by cells is for cosines without a condition")
+        hits = cells.nearest(of_cells, asked, k)
+    else:
+        hits = nearest(index, asked, k, metric, condition)
     if threshold is not None:
         hits = hits.where(1 - F.col("distance") >= threshold)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
@@ -191,36 +205,7 @@ def semantic_search(index: DataFrame, queries: DataFrame, k: int = RESULTS, thre
     )
 
 
-PAIR_BLOCK = 512
-
-
-def near_pairs(vectors: DataFrame, threshold: float, id_col: str = "id") -> DataFrame:
-    """``(a, b, similarity)`` for all pairs a < b of cosine at least ``threshold``.
-
-    Vectors are put into blocks; each pair of blocks is a key of its own and
-    is compared in one task by a matrix product. Only pairs that pass are
-    emitted. The work grows with the square of the vectors, spread over all
-    tasks; for very many, block on a coarser key (a day, a language) first.
-    """
-    rows = vectors.select(F.col(id_col).alias("id"), "embedding").where("embedding is not null")
-    n = max(1, -(-rows.count() // PAIR_BLOCK))
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
-    dealt = placed.select("*", other).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "embedding")
-
-    def pairs(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        block = table.column("block").to_numpy()
-        ids = table.column("id").to_numpy()
-        x = np.array(table.column("embedding").to_pylist(), np.float64)
-        norms = np.linalg.norm(x, axis=1, keepdims=True)
-        x = x / np.where(norms > 0, norms, 1)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        cosine = np.round(x[left] @ x[right].T, PLACES)
-        at, to = np.nonzero(cosine >= threshold)
-        a, b, c = ids[left[at]], ids[right[to]], cosine[at, to]
-        keep = a < b if i == j else a != b
-        low, high = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
-        return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64()), "similarity": pa.array(c[keep], pa.float64())})
-
-    return dealt.groupBy("i", "j").applyInArrow(pairs, "a long, b long, similarity double")
+def near_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", forest: bool = False) -> DataFrame:
+    """``(a, b, similarity)`` for all pairs a < b of cosine at least ``threshold``,
+    or with ``forest`` as many as connect the same vectors, through an index by cells."""
+    return cells.near_pairs(cells.build(vectors, id_col=id_col), threshold, forest)

@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import with_index
 from ..schemas import OUTLIER_ID, OUTLIER_TOPIC, TOO_FEW, require
 from .graph import components
 from .metrics import no_topic_label
@@ -57,10 +58,10 @@ def name_topics(stories: DataFrame, named: DataFrame) -> DataFrame:
 
 def by_similarity(vectors: DataFrame, threshold: float) -> DataFrame:
     """``(id, topic_id)`` of ``vectors(id, embedding)`` that belong to a topic."""
-    groups = components(near_pairs(vectors, threshold))
+    groups = components(near_pairs(vectors, threshold, forest=True))
     sizes = groups.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= LEAST_SIZE)
-    number = F.row_number().over(Window.orderBy(F.desc("size"), "component")) - 1  # a row for each topic
-    return groups.join(sizes.withColumn("topic_id", number).select("component", "topic_id"), "component").select(F.col("node").alias("id"), "topic_id")
+    numbered = with_index(sizes, F.desc("size"), F.col("component"), name="number")
+    return groups.join(numbered, "component").select(F.col("node").alias("id"), F.col("number").cast("int").alias("topic_id"))
 
 
 def by_kmeans(vectors: DataFrame, k: int, bisecting: bool = False, seed: int = 1) -> DataFrame:

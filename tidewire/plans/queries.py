@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.rows import with_index
-from ..operators import history, metrics, search, sentiment, topics, virality
+from ..operators import cells, history, metrics, search, semantics, sentiment, topics, virality
 from ..schemas import OUTLIER_ID, present
 from ..sources import snapshots, stories
 from ..sources.workspace import new_folder, written
@@ -350,9 +350,10 @@ def j5_near_pairs(spark, d):
 
 @query
 def x5_embeddings(spark, d):
-    """Embeddings of whole texts."""
+    """Embeddings of whole texts, learned from them."""
     whole = stories.whole_stories(spark, d).select("id", F.col("title").alias("document"))
-    return search.embed(whole).select("id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
+    found = semantics.fit(whole).embed(whole.select("id", "document"))
+    return found.select("id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
 
 
 @query
@@ -371,13 +372,27 @@ def story_index(spark, d):
 def t4_nearest(spark, d):
     """The ten nearest vectors of every stated query."""
     asked = vectors(spark, d).where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), "embedding")
-    found = search.nearest(vectors(spark, d), asked)
+    found = cells.nearest(cells.build(vectors(spark, d)), asked)
     return found.select("query_id", "id", F.round("distance", 6).alias("distance"), "position")
 
 
 @query
 def x7_semantic_search(spark, d):
-    found = search.semantic_search(written(story_index(spark, d), "index"), stated_queries(spark, d), threshold=KEPT)
+    index = written(story_index(spark, d), "index")
+    found = search.semantic_search(index, stated_queries(spark, d), threshold=KEPT, of_cells=cells.build(index))
+    return found.select("query_id", "rank", "id", "similarity_score", "distance", "explanation")
+
+
+@query
+def x7_text_search(spark, d):
+    """Search by words: the first five of every document whose id is divisible by
+    50, against all documents, by embeddings learned from their whole texts."""
+    whole = stories.whole_stories(spark, d)
+    docs = whole.select("id", F.col("title").alias("document"))
+    model = semantics.fit(docs)
+    index = written(model.embed(docs).select("id", "embedding", F.lit(None).cast("string").alias("document"), F.lit(None).cast("string").alias("metadata")), "index")
+    asked = whole.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.array_join(F.slice(F.split(F.trim("title"), r"\s+"), 1, 5), " ").alias("query"))
+    found = search.semantic_search(index, asked, threshold=KEPT, model=model, of_cells=cells.build(index))
     return found.select("query_id", "rank", "id", "similarity_score", "distance", "explanation")
 
 
