@@ -219,3 +219,14 @@ def test_sentiment_rules_like_brute_force(spark):
     found = {r.id: r.sentiment_score for r in sentiment.score(df, spark.createDataFrame(list(lexicon.items()), "token string, valence double")).collect()}
     assert len(found) == 61 and found[1000] == 0.0
     assert all(abs(found[i] - want(t)) < 1e-4 for i, t in enumerate(texts))
+
+
+def test_rules_act_with_a_derived_lexicon(spark):
+    """Each kind of rule word changes a score, which it can't where it has a valence of its own."""
+    base = "sun river"
+    texts = [base, "very " + base, "barely " + base, "never " + base, "night but " + base, "night " + base, base + "!!", "SUN river"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, title string")
+    lexicon = sentiment.derived_lexicon(df, without=sentiment.RULE_WORDS)
+    assert not {r.token for r in lexicon.collect()} & set(sentiment.RULE_WORDS)
+    got = {r.id: r.sentiment_score for r in sentiment.score(df, lexicon).collect()}
+    assert len({got[i] for i in (0, 1, 2, 3, 6, 7)}) == 6 and got[4] != got[5]

@@ -25,3 +25,10 @@ def with_index(df: DataFrame, *order: Column, name: str = "index") -> DataFrame:
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
     within = F.col("_at") - F.shiftleft(F.col("_part"), 33)
     return kept.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + within).cast("long")).drop("_at", "_part", "_before")
+
+
+def first_of(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row of ``df`` for each key: the first by ``order``, then by all other columns that can be ordered."""
+    rest = [f.name for f in df.schema.fields if f.name not in (key, *order)]
+    ordered = F.struct(*order, *(c for c in rest if df.schema[c].dataType.typeName() not in ("map", "variant")))
+    return df.groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), ordered).alias("_row")).select(key, "_row.*")

@@ -51,11 +51,17 @@ def words(texts: DataFrame, id_col: str = "id", text_col: str = "title") -> Data
     return found
 
 
-def derived_lexicon(texts: DataFrame, text_col: str = "title") -> DataFrame:
-    """A stand-in lexicon for invented prose: a valence from -4 to 4 by spelling."""
+#: Words that rules act by; with a valence of their own, boosters and dampers wouldn't act.
+RULE_WORDS = [*BOOSTERS, *DAMPERS, *NEGATIONS, "but"]
+
+
+def derived_lexicon(texts: DataFrame, text_col: str = "title", without: list[str] | None = None) -> DataFrame:
+    """A stand-in lexicon for invented prose: a valence from -4 to 4 by spelling, but none for the words ``without``."""
     token = F.explode(F.split(F.lower(F.col(text_col)), WORD)).alias("token")
     valence = ((F.length("token") + F.ascii("token")) % 9 - 4).cast("double")
-    return texts.select(token).where("token <> ''").distinct().select("token", valence.alias("valence"))
+    tokens = texts.select(token).where("token <> ''")
+    tokens = tokens.where(~F.col("token").isin(without)) if without else tokens
+    return tokens.distinct().select("token", valence.alias("valence"))
 
 
 def compound(total: Column) -> Column:

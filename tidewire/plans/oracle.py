@@ -74,14 +74,14 @@ def oracle_sql() -> dict[str, str]:
     return {
         "s1_ranked_ids": f"{s}SELECT id, CAST(rank AS INTEGER) AS rank FROM ({ranked})",
         "s2_first_ranked": f"{s}SELECT id, CAST(rank AS INTEGER) AS rank FROM ({ranked}) WHERE rank < 100",
-        "s3_story_details": f"{s}SELECT id, title, score, descendants, date_trunc('second', time) AS time, url FROM stories JOIN ({ranked}) USING (id) WHERE rank < 30",
+        "s3_story_details": f"{s}SELECT id, title, score, descendants, date_trunc('second', coalesce(time, TIMESTAMP '1970-01-01')) AS time, url FROM stories JOIN ({ranked}) USING (id) WHERE rank < 30",
         "s4_s5_snapshot": f"{s}SELECT * FROM stories",
         "s6_export_csv": f"{s}SELECT id, score, descendants FROM stories",
         "s7_export_json": f"{s}SELECT id, title, score, strftime(time, '%Y-%m-%dT%H:%M:%S') AS time FROM stories",
         "s8_index_documents": f"{s}{index_of('stories')} SELECT doc_id AS id, title AS document, CAST(len(embedding) AS INTEGER) AS dims, score, descendants, url, CAST(idx AS INTEGER) AS index FROM doc",
         "s8_duplicate_ids": f"{s}SELECT md5(title) AS id, count(*) AS n FROM stories GROUP BY 1 HAVING count(*) > 1",
         "s9_default_metadata": f"{s}{index_of('stories')} SELECT doc_id AS id, substring(title, 1, 100) AS text FROM doc",
-        "p1_extract": f"{s}SELECT id, title, coalesce(score, 0) AS score, coalesce(descendants, 0) AS descendants, date_trunc('second', time) AS time, url FROM stories WHERE title IS NOT NULL",
+        "p1_extract": f"{s}SELECT id, title, coalesce(score, 0) AS score, coalesce(descendants, 0) AS descendants, date_trunc('second', coalesce(time, TIMESTAMP '1970-01-01')) AS time, url FROM stories WHERE title IS NOT NULL",
         "p2_p3_sentiment_labels": f"""{t}SELECT id, sentiment_label AS label, CASE WHEN sentiment_score > 0.5 THEN 'Very Positive' WHEN sentiment_score > 0.05 THEN 'Positive'
             WHEN sentiment_score > -0.05 THEN 'Neutral' WHEN sentiment_score > -0.5 THEN 'Negative' ELSE 'Very Negative' END AS band FROM scored""",
         "p4_document_ids": f"{s}SELECT id AS story_id, 'story_' || (row_number() OVER (ORDER BY score DESC, id) - 1) || '_' || substring(md5(title), 1, 10) AS document_id FROM stories",
@@ -119,6 +119,7 @@ def oracle_sql() -> dict[str, str]:
         "x2_topics": f"{components}SELECT lab.id, lab.topic_id, coalesce(topic_keyword, CASE WHEN lab.topic_id = -1 THEN 'Outlier/No Topic' ELSE 'Topic_' || lab.topic_id END) AS topic_keyword FROM lab LEFT JOIN keyword USING (topic_id)",
         "j5_near_pairs": f"SELECT a, b, round(similarity, 6) AS similarity FROM (SELECT a.vec_id AS a, b.vec_id AS b, 1 - {COSINE.replace('(q AS', '(a.embedding AS').replace('(embedding AS', '(b.embedding AS')} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE similarity >= 0.4",
         "x6_index": f"{e}SELECT topic_keyword, count(*) AS n, CAST(max(idx) AS INTEGER) AS last_index FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) - 1 AS idx FROM enriched) GROUP BY topic_keyword",
+        "x6_incremental": f"{s}SELECT id, CAST(CASE WHEN id % 5 = 0 OR id % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version, md5(title) AS text_md5, CAST(64 AS INTEGER) AS dims FROM stories WHERE id % 11 <> 0",
         "t4_nearest": nearest.format(distance=COSINE) + "SELECT query_id, id, round(distance, 6) AS distance, CAST(position AS INTEGER) AS position FROM top WHERE position <= 10",
         "x7_semantic_search": "WITH " + hit.replace("<where>", "").replace("<keep>", "AND 1 - distance >= 0.33") + """SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round_even(1 - distance, 3) AS similarity_score, round_even(distance, 3) AS distance,
             'Similarity: ' || printf('%.1f', round_even(round_even(1 - distance, 3) * 100, 1)) || '%' AS explanation FROM kept""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.rows import with_index
-from ..operators import cells, history, metrics, search, semantics, sentiment, topics, virality
+from ..operators import cells, history, incremental, metrics, search, semantics, sentiment, topics, virality
 from ..schemas import OUTLIER_ID, present
 from ..sources import snapshots, stories
 from ..sources.workspace import new_folder, written
@@ -97,8 +97,8 @@ def s3_story_details(spark, d):
 def s4_s5_snapshot(spark, d):
     """A snapshot written with its manifest and read back while fresh."""
     kept = snapshots.Snapshots(spark, new_folder(spark, "snapshots"))
-    kept.save(view(spark, d), 30, "basic", NOW)
-    return kept.load(30, "basic", NOW + 3599)
+    saved = kept.save(view(spark, d), 30, "basic", NOW)
+    return kept.load(30, "basic", NOW + 3599) if saved else view(spark, d)
 
 
 @query
@@ -327,7 +327,8 @@ def x1_sentiment(spark, d):
 def x1_sentiment_rules(spark, d):
     """Sentiment of whole texts by the rules."""
     s = stories.whole_stories(spark, d)
-    return sentiment.score(s, sentiment.derived_lexicon(s)).select("id", "sentiment_score", "sentiment_label")
+    lexicon = sentiment.derived_lexicon(s, without=sentiment.RULE_WORDS)
+    return sentiment.score(s, lexicon).select("id", "sentiment_score", "sentiment_label")
 
 
 @query
@@ -358,12 +359,26 @@ def x5_embeddings(spark, d):
 
 @query
 def x6_index(spark, d):
-    """An index of stories by embeddings made here, written and counted by topic."""
+    """An index of stories by embeddings learned from them, written and counted by topic."""
     s = enriched(spark, d).withColumn("document", F.col("title"))
-    index = search.build_index(search.embed(s), ("score", "descendants", "url", "sentiment_label", "topic_keyword"))
+    model = semantics.fit(s.select("document"))
+    index = search.build_index(model.embed(s), ("score", "descendants", "url", "sentiment_label", "topic_keyword"))
     return written(index, "index").groupBy(F.col("metadata.topic_keyword").alias("topic_keyword")).agg(F.count("*").alias("n"), F.max("metadata.index").alias("last_index"))
 
 
+@query
+def x6_incremental(spark, d):
+    """An index of most documents, some with an older text, brought up to date with all
+    documents but some that are gone: what it holds then, and since which version."""
+    docs = stories.whole_stories(spark, d).select("id", F.col("title").alias("document"))
+    model = semantics.fit(docs)
+    index = incremental.Index(spark, new_folder(spark, "index"), model.embed)
+    older = F.when(F.col("id") % 7 == 0, F.concat(F.lit("older "), F.coalesce("document", F.lit("")))).otherwise(F.col("document"))
+    index.update(docs.where("id % 5 <> 0").withColumn("document", older))
+    index.update(docs.where("id % 11 <> 0"))
+    return index.read().select("id", "version", F.md5(F.encode("document", "utf-8")).alias("text_md5"), F.size("embedding").alias("dims"))
+
+
 def story_index(spark, d):
     return search.build_index(enriched(spark, d).join(vectors(spark, d).select("id", "embedding"), "id"), ("score", "descendants", "url", "sentiment_label", "topic_keyword"))
 
@@ -423,7 +438,7 @@ def manifests(spark, d):
 
 
 def last_time(spark, d) -> float:
-    return spark.read.parquet(f"{d}/events.parquet").agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp")))).first()[0] + 1.0
+    return (spark.read.parquet(f"{d}/events.parquet").agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp")))).first()[0] or 0) + 1.0
 
 
 @query
@@ -476,7 +491,8 @@ def g1_refresh(spark, d):
         refresh.item_stream(spark, items), lambda batch: metrics.total_comments(stories.extract(batch)), lambda result, n: refresh.publish(result, out), state, once=True
     )
     running.awaitTermination()
-    return refresh.published(spark, out)
+    done = refresh.published(spark, out)
+    return metrics.total_comments(view(spark, d)) if done is None else done  # nothing has landed
 
 
 @query
@@ -575,4 +591,4 @@ def v15_pages(spark, d):
     """The second page of 25 stories, by the key that the first ends with."""
     s = view(spark, d)
     end = history.page(s, 25).orderBy("score", F.desc("id")).first()
-    return history.page(s, 25, (end.score, end.id)).select("id", "score")
+    return history.page(s, 25, (end.score, end.id) if end else None).select("id", "score")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import snapshot_key
 from ..schemas import MANIFEST, require
+from .commits import Versions
 
 TTL_HOURS = 1.0
 INDEX_SECONDS = 3600
@@ -63,20 +64,19 @@ class Snapshots:
         """All manifest rows; broken ones are left out."""
         if not self._exists(f"{self.path}/manifest"):
             return self.spark.createDataFrame([], MANIFEST)
-        raw = self.spark.read.schema(f"{MANIFEST}, _corrupt_record STRING").option("mode", "PERMISSIVE").json(f"{self.path}/manifest")
+        raw = self.spark.read.schema(f"{MANIFEST}, _corrupt_record STRING").option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(f"{self.path}/manifest")
         return raw.where("_corrupt_record is null and cache_key is not null and path is not null").drop("_corrupt_record")
 
     def save(self, stories: DataFrame, limit: int, analysis_type: str, now: float) -> bool:
-        """Write a snapshot, then its manifest row; an empty table is refused."""
+        """Write a snapshot, then commit its manifest row under a version of its own; an empty table is refused."""
         if stories.isEmpty():
             return False
         at = f"{self.path}/data/{uuid.uuid4().hex}"
         stories.write.parquet(at)
         n = self.spark.read.parquet(at).count()
-        last = self.manifests().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
         key = self.spark.range(1).select(snapshot_key(F.lit(limit), F.lit(analysis_type))).first()[0]
-        row = [(float(now), limit, analysis_type, n, stories.columns, key, last + 1, at)]
-        self.spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+        row = {"timestamp": float(now), "limit": limit, "analysis_type": analysis_type, "stories_count": n, "columns": stories.columns, "cache_key": key, "path": at}
+        Versions(self.spark, f"{self.path}/manifest").update(lambda number, _: row | {"version": number})
         return True
 
     def load(self, limit: int, analysis_type: str, now: float, ttl_hours: float = TTL_HOURS) -> DataFrame | None:

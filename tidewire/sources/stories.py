@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rows import with_index
+from ..functions.rows import first_of, with_index
 from ..schemas import RANKED_IDS, RAW_ITEM, require
 
 LIMIT_LEAST, LIMIT_MOST, LIMIT_STEP, LIMIT_DEFAULT = 10, 100, 5, 30
@@ -69,10 +69,11 @@ def by_score(stories: DataFrame) -> DataFrame:
 def stories_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories made from the tables at hand: the whole texts of all documents as
     titles, values of events as scores, addresses of pages. A document
-    without an event has score 0, no comments and no time."""
+    without an event has score 0, no comments and no time. Of events or pages
+    of one id, the first by time or address counts."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "value", "props")
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    e = first_of(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "value", "props"), "event_id", "ts")
+    p = first_of(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), "page_id", "url")
     return (
         d.join(e, d.doc_id == e.event_id, "left")
         .join(p, d.doc_id == p.page_id, "left")

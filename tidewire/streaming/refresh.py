@@ -64,8 +64,11 @@ def publish(result: DataFrame, folder: str) -> None:
     hadoop.FileContext.getFileContext(store.getUri(), spark._jsc.hadoopConfiguration()).rename(part, pointer, over)
 
 
-def published(spark: SparkSession, folder: str) -> DataFrame:
-    """The last published result."""
+def published(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The last published result, or None before the first."""
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/current")
+    if not pointer.getFileSystem(spark._jsc.hadoopConfiguration()).exists(pointer):
+        return None
     return spark.read.parquet(spark.read.text(f"{folder}/current").first()[0])
 
 
