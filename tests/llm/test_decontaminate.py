@@ -139,3 +139,12 @@ def test_odd_documents(spark, odd, empty):
     assert decontaminate.find_leaks(empty, items).count() == 0
     assert decontaminate.find_leaks(odd, items.limit(0)).count() == 0
     assert decontaminate.drop_leaks(odd, items.limit(0)).count() == odd.count()
+
+
+def test_a_lost_block_raises(spark, tmp_path):
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, None)], "item_id long, text string")
+    [(path, n)] = decontaminate.item_blocks(items)
+    assert n == 2 and decontaminate.load_block(path, n, 0.8)
+    with pytest.raises(FileNotFoundError, match="of 2"):
+        decontaminate.load_block(f"file://{tmp_path}/gone", n, 0.8)
+    assert [n for _, n in decontaminate.item_blocks(items.limit(0))] == [0]

@@ -204,25 +204,28 @@ class Benchmark:
                     best[item_id] = (score, at, min(n, words))
 
 
-def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[str]:
-    """The benchmark as written in blocks of about ``BLOCK_BYTES`` of text each: their folders."""
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[tuple[str, int]]:
+    """The benchmark as written in blocks of about ``BLOCK_BYTES`` of text each: their folders and numbers of items."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     n = max(1, math.ceil(size / BLOCK_BYTES))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")
     path = written_at(items.withColumn("block", block).repartition(n, "block"), "benchmark", by="block", keep=True)
-    return [f"{path}/block={b}" for b in range(n)]
+    rows = {r.block: r["count"] for r in items.sparkSession.read.parquet(path).groupBy("block").count().collect()} if not items.isEmpty() else {}  # a row for each block
+    return [(f"{path}/block={b}", rows.get(b, 0)) for b in range(n)]
 
 
 @lru_cache(maxsize=2)
-def load_block(path: str, threshold: float) -> Benchmark:
-    """A worker's index of a block; a folder that isn't there is an empty block."""
+def load_block(path: str, n: int, threshold: float) -> Benchmark:
+    """A worker's index of a block of ``n`` items; one that isn't there whole raises."""
     store, at = pafs.FileSystem.from_uri(path)
     files = store.get_file_info(pafs.FileSelector(at, allow_not_found=True))
     items: list[tuple[int, str | None]] = []
     for f in sorted(f.path for f in files if f.path.endswith(".parquet")):
         rows = pq.read_table(store.open_input_file(f), columns=["item_id", "text"])
         items += zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True)
+    if len(items) != n:
+        raise FileNotFoundError(f"{path} has {len(items)} of {n} benchmark items")
     return Benchmark(items, threshold)
 
 
@@ -234,10 +237,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     a window at least ``threshold`` similar to an item, and the best such window."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def finder(path: str):
+    def finder(path: str, n: int):
         @trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = load_block(path, threshold)
+            index = load_block(path, n, threshold)
             for ids, texts in text_batches(batches):
                 found = [(i, *m) for i, w in zip(ids, words_of(texts), strict=True) for m in index.matches(w)]
                 if found:
@@ -246,8 +249,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         return run
 
     out = None
-    for path in item_blocks(benchmark, item_col, item_text_col):
-        part = rows.mapInArrow(finder(path), MATCHES)
+    for path, n in item_blocks(benchmark, item_col, item_text_col):
+        part = rows.mapInArrow(finder(path, n), MATCHES)
         out = part if out is None else out.union(part)
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "first_word", "n_words")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.s")).alias("similarity"), "b.first_word", "b.n_words")
@@ -257,10 +260,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """``docs`` without the rows that hold a benchmark item, all columns as they
     are. Rows are judged where they stand; nothing is shuffled."""
 
-    def dropper(path: str):
+    def dropper(path: str, n: int):
         @trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = load_block(path, threshold)
+            index = load_block(path, n, threshold)
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
@@ -270,6 +273,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         return run
 
     out = docs
-    for path in item_blocks(benchmark):
-        out = out.mapInArrow(dropper(path), docs.schema)
+    for path, n in item_blocks(benchmark):
+        out = out.mapInArrow(dropper(path, n), docs.schema)
     return out
