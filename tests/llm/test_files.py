@@ -247,3 +247,47 @@ def test_shards_of_odd_rows(spark, odd, empty):
     assert sorted(map(repr, s.read().collect())) == sorted(map(repr, odd.collect() * 2))
     with pytest.raises(ValueError):
         s.append(odd.withColumn(sharding.RUN, odd["doc_id"]))
+
+
+def test_warc_reading_is_linear(monkeypatch):
+    """Each byte of a file is copied a bounded number of times, however many records follow."""
+    fed, original = [], warc.zstandard.ZstdDecompressor
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def decompress(self, piece):
+            fed.append(len(piece))
+            return self.inner.decompress(piece)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    class Unpacker:
+        def __init__(self, **kinds):
+            self.inner = original(**kinds)
+
+        def decompressobj(self):
+            return Counting(self.inner.decompressobj())
+
+    monkeypatch.setattr(warc.zstandard, "ZstdDecompressor", Unpacker)
+    sizes = {}
+    for n in (200, 400):
+        records = [f"record {i} ".encode() * (i % 50 + 1) for i in range(n)] + [random.Random(1).randbytes(20_000), b""]
+        raw = warc.encode_file(records)
+        fed.clear()
+        assert list(warc.decode_file(raw)) == records
+        sizes[n] = sum(fed)
+    assert sizes[400] <= 3 * sizes[200] and max(fed) <= warc.PIECE
+    with pytest.raises(ValueError, match="whole"):
+        list(warc.decode_file(raw[:-3]))
+
+
+def test_shards_of_empty_arrivals_only(spark, empty):
+    store = sharding.ShardStore(spark, new_folder(spark, "none"))
+    store.append(empty)
+    store.append(empty)
+    assert store.compact_fully() == 2
+    assert store.read().columns == empty.columns and store.read().count() == 0
+    assert sharding.SHARD in store.read(with_shard=True).columns

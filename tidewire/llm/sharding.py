@@ -190,9 +190,14 @@ class ShardStore:
 
     def _rows(self, manifest: DataFrame) -> DataFrame:
         """Rows of the shards of a manifest. Scans the folders that it names and
-        keeps what the manifest lists, by a join on the file's path."""
+        keeps what the manifest lists, by a join on the file's path. Where all arrivals
+        were empty, it has none, and the last arrival's folder gives the columns."""
         folders = [r[0] for r in manifest.select(F.regexp_extract("path", r"^(.*/(?:arrival|merged)-[^/]+)/", 1)).distinct().collect()]
         reader = self.spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true")
+        if not folders:
+            fs, p = self._fs(self.path)
+            arrivals = [f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().startswith("arrival-")]
+            return reader.parquet(f"{self.path}/{max(arrivals)}").where("false")
         return reader.parquet(*sorted(folders))
 
     def read(self, version: int | None = None, with_shard: bool = False) -> DataFrame:

@@ -51,6 +51,8 @@ DICT_BYTES = 32 << 10
 #: The dictionary of a file is built from records of so many bytes at most, evenly spread.
 DICT_SAMPLE_BYTES = 2 << 20
 LEVEL = 3
+#: Bytes of a file that the decompressor is fed at once.
+PIECE = 4096
 SKIPPABLE = 0x184D2A5D
 URN = "urn:page:"
 #: Characters that a URI can have, the percent sign included.
@@ -146,12 +148,18 @@ def decode_file(raw: bytes) -> Iterator[bytes]:
         raise ValueError("no dictionary frame at the head")
     data = raw[8 : 8 + size]
     unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data) if data else None)
-    rest = memoryview(raw)[8 + size :]
-    while rest:
-        frame = unpacker.decompressobj()
-        out = frame.decompress(rest)
-        yield out
-        rest = rest[len(rest) - len(frame.unused_data) :]
+    view, at = memoryview(raw), 8 + size
+    while at < len(raw):
+        frame, out = unpacker.decompressobj(), []
+        while not frame.eof:
+            if at >= len(raw):
+                raise ValueError("the last frame isn't whole")
+            # Fed in pieces, as what is left of one after a frame is copied.
+            piece = view[at : at + PIECE]
+            out.append(frame.decompress(piece))
+            at += len(piece)
+        at -= len(frame.unused_data)
+        yield b"".join(out)
 
 
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
