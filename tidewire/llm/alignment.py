@@ -40,9 +40,9 @@ from .common import arrow_rows, scratch, trimmed, written, written_at
 from .token_shards import Encoder
 
 #: Bytes of text in a block, and rows of an Arrow batch.
-BLOCK_BYTES, BATCH_ROWS = 8 << 20, 2000
+BLOCK_BYTES, BATCH_ROWS = 2 << 20, 500
 #: An encoder's kept stretches come from so many characters of text at most.
-CACHED_TEXT = 128 << 20
+CACHED_TEXT = 48 << 20
 SPACE = "▁"
 
 
