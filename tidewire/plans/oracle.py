@@ -131,6 +131,14 @@ def oracle_sql() -> dict[str, str]:
         "g5_snapshot_keys": f"""WITH {MANIFESTS} SELECT day, analysis_type, md5("limit" || '_' || analysis_type) AS cache_key FROM m""",
         "g7_versions": f"WITH {MANIFESTS} SELECT day, analysis_type, CAST(row_number() OVER (PARTITION BY analysis_type ORDER BY day) AS INTEGER) AS version FROM m",
         "g1_refresh": f"{s}SELECT CAST(coalesce(sum(descendants), 0) AS BIGINT) AS total_comments FROM stories",
+        "g1_totals": f"""{t}, whole AS (SELECT sc.*, coalesce(CAST(v.label AS INTEGER), -1) AS topic_id FROM scored sc LEFT JOIN embeddings v ON v.vec_id = sc.id)
+            SELECT 'stories' AS measure, 'all' AS key, CAST(count(*) AS DOUBLE) AS value FROM whole UNION ALL SELECT 'sentiment', 'all', round(sum(sentiment_score), 4) FROM whole
+            UNION ALL SELECT 'comments', 'all', CAST(sum(descendants) AS DOUBLE) FROM whole UNION ALL SELECT 'label', sentiment_label, CAST(count(*) AS DOUBLE) FROM whole GROUP BY 2
+            UNION ALL SELECT 'topic', CAST(topic_id AS VARCHAR), CAST(count(*) AS DOUBLE) FROM whole GROUP BY 2""",
+        "g10_closing_windows": """WITH e AS (SELECT *, event_id % 3 AS arrival, date_trunc('day', ts) AS window_start FROM events), mark AS (
+              SELECT a.i AS arrival, (SELECT max(ts) - INTERVAL 10 MINUTE FROM e WHERE e.arrival < a.i) AS w FROM (SELECT unnest([0, 1, 2]) AS i) a)
+            SELECT window_start, event_type, count(*) FILTER (NOT passed) AS n, count(*) FILTER (passed) AS n_late
+            FROM (SELECT e.*, coalesce(window_start + INTERVAL 1 DAY <= w, false) AS passed FROM e JOIN mark USING (arrival)) GROUP BY ALL""",
         "g10_windowed_counts": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
         "g11_stream_dedup": "SELECT DISTINCT user_id || ':' || event_type || ':' || CAST(ts AS DATE) AS key FROM events",
         "v1_virality_features": f"{t}SELECT id, CAST(length(title) AS INTEGER) AS title_length, CAST(hour(time) AS INTEGER) AS hour, sentiment_score, CASE WHEN score > 100 THEN 1 ELSE 0 END AS viral FROM scored",

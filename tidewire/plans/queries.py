@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from ..operators import cells, history, incremental, metrics, search, semantics,
 from ..schemas import OUTLIER_ID, present
 from ..sources import snapshots, stories
 from ..sources.workspace import new_folder, written
-from ..streaming import refresh
+from ..streaming import refresh, running
 
 #: Cosine at which titles are linked, and similarity kept in searches, in the registered queries.
 LINKED, KEPT = 0.4, 0.33
@@ -495,6 +496,52 @@ def g1_refresh(spark, d):
     return metrics.total_comments(view(spark, d)) if done is None else done  # nothing has landed
 
 
+def arrivals(spark, df, key: str, schema: str, take: Callable[[DataFrame, int], object]) -> None:
+    """``df`` landed in three arrivals by ``key``, each taken by a run of one stream with one checkpoint."""
+    folder, state = new_folder(spark, "landed"), new_folder(spark, "stream")
+    for i in range(3):
+        df.where(F.pmod(F.col(key), F.lit(3)) == i).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        stream.writeStream.foreachBatch(lambda b, n: take(b, n)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+@query
+def g1_totals(spark, d):
+    """Numbers of the dashboard kept up to date over three arrivals of stories: totals, moods and topics."""
+    s = labelled(spark, d).select("id", "title", "descendants", "topic_id")
+    totals = running.Totals(spark, new_folder(spark, "totals"), ["sentiment_label", "topic_id"], ["sentiment_score", "descendants"])
+
+    def take(batch: DataFrame, number: int) -> None:
+        scored_batch = sentiment.score(batch, sentiment.derived_lexicon(batch), rules=False)
+        totals.add(scored_batch, number)
+        totals.add(scored_batch, number)  # as after a failure: nothing changes
+
+    arrivals(spark, s, "id", "id long, title string, descendants long, topic_id int", take)
+    state = totals.state()
+    of = lambda measure, key, n: state.groupBy(F.lit(measure).alias("measure"), key.cast("string").alias("key")).agg(n.alias("value"))
+    total = F.lit("all")
+    parts = [
+        of("stories", total, F.sum("n").cast("double")),
+        of("sentiment", total, F.round(F.sum("sentiment_score"), 4)),
+        of("comments", total, F.sum("descendants").cast("double")),
+        of("label", F.col("sentiment_label"), F.sum("n").cast("double")),
+        of("topic", F.col("topic_id"), F.sum("n").cast("double")),
+    ]
+    return functools.reduce(DataFrame.union, parts)
+
+
+@query
+def g10_closing_windows(spark, d):
+    """Events of each day and type over three arrivals: counted while their day was open, and late ones."""
+    windows = running.ClosingWindows(spark, new_folder(spark, "windows"), "ts", ["event_type"])
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    arrivals(spark, events, "event_id", "event_id long, ts timestamp, event_type string", windows.add)
+    late = windows.late().groupBy(F.date_trunc("day", "ts").alias("window_start"), "event_type").agg(F.count("*").alias("n_late"))
+    both = windows.counts().groupBy("window_start", "event_type").agg(F.sum("n").alias("n")).join(late, ["window_start", "event_type"], "full")
+    zero = F.lit(0).cast("long")
+    return naive(both, "window_start").select("window_start", "event_type", F.coalesce("n", zero).alias("n"), F.coalesce("n_late", zero).alias("n_late"))
+
+
 @query
 def g10_windowed_counts(spark, d):
     counted = refresh.windowed_counts(event_stream(spark, d), "ts", "event_type")
