@@ -178,3 +178,23 @@ def test_training_sample_with_a_hot_group_of_copies(spark, monkeypatch):
     assert {r.doc_id for r in found} == set(planted)
     sample = next(d for name, d in drawn if name == "secret-training")
     assert sample.where("label = 1").count() == len(planted) and sample.agg(F.max("weight")).first()[0] < 12
+
+
+def test_very_long_runs_of_letters(spark, monkeypatch):
+    """Coverage of a run of 300,000 letters, and of runs around a piece's bounds, letter by letter."""
+    r = random.Random(4)
+    words = ["water", "house", "terho", "abc", "ercabcabcabcabc"]
+    make = lambda n: "".join(r.choice(["water", "house", "abc", "erc", "q"]) for _ in range(n))[:n]
+    runs = [make(300_000), *(make(secret_scan.PIECE + n) for n in (-1, 0, 1, 2, 3, 14, 15)), "ab", "abc"]
+
+    def brute(run):
+        inside = bytearray(len(run))
+        for w in words:
+            at = run.find(w)
+            while at >= 0:
+                inside[at : at + len(w)] = b"\1" * len(w)
+                at = run.find(w, at + 1)
+        return sum(inside)
+
+    found = secret_scan.covered_runs(spark.createDataFrame([(x,) for x in runs], "run string"), spark.createDataFrame([(w,) for w in words], "word string"))
+    assert {x.run: x.covered for x in found.collect()} == {x: brute(x) for x in runs if brute(x)}

@@ -66,6 +66,8 @@ TREES, DEPTH, SEED = 24, 6, 7
 AROUND = 40
 #: Texts in a batch between Spark and Python.
 BATCH = 1000
+#: Starts of words in a piece of a long run of letters.
+PIECE = 512
 CUTOFF = 0.5
 MASK = "[SECRET]"
 
@@ -214,28 +216,43 @@ def feature(name: str) -> Column:
     return F.col("features")[FEATURES.index(name)]
 
 
+def _run_key() -> Column:
+    return F.md5(F.encode("run", "utf-8"))
+
+
+def _covered_keys(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """``(run_key, covered)`` of distinct runs. A run is cut into pieces of ``PIECE``
+    starts, each with the letters that a word from its last start can reach, so
+    that no row holds a long run and the work grows with the letters."""
+    least, most = WORD_LETTERS
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("run") - least) / PIECE).cast("int")), lambda p: F.struct((p * PIECE).alias("base"), F.substring("run", p * PIECE + 1, F.lit(PIECE + most - 1)).alias("piece")))
+    pieces = runs.where(F.length("run") >= least).select(_run_key().alias("run_key"), F.inline(cut))
+    starts = pieces.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), F.length("piece") - (least - 1)))).alias("start"))
+    sizes = F.explode(F.sequence(F.lit(least), F.least(F.lit(most), F.length("piece") - F.col("start") + 1))).alias("size")
+    parts = starts.select("*", sizes).select("run_key", (F.col("base") + F.col("start")).alias("at"), "size", F.expr("substring(piece, start, size)").alias("word"))
+    known = parts.join(words.select("word"), "word").groupBy("run_key").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("at") + F.col("size")).alias("to")))).alias("parts"))
+    grow = lambda done, p: F.struct(
+        (done["n"] + F.greatest(F.lit(0), p["to"] - F.greatest(p["at"], done["reach"]))).alias("n"), F.greatest(done["reach"], p["to"]).alias("reach")
+    )
+    return known.select("run_key", F.aggregate("parts", F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")), grow)["n"].alias("covered"))
+
+
 def covered_runs(runs: DataFrame, words: DataFrame) -> DataFrame:
     """``(run, covered)``: how many letters of each run lie inside words of the dictionary.
 
     Every part of a run that could be a word is joined with the dictionary;
     the parts that are words may overlap, and their union counts.
     """
-    least, most = WORD_LETTERS
-    starts = runs.distinct().select("run", F.explode(F.sequence(F.lit(1), F.length("run") - (least - 1))).alias("at"))
-    sizes = F.explode(F.sequence(F.lit(least), F.least(F.lit(most), F.length("run") - F.col("at") + 1)))
-    parts = starts.select("run", "at", sizes.alias("size")).withColumn("word", F.expr("substring(run, at, size)"))
-    known = parts.join(words.select("word"), "word").groupBy("run").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("at") + F.col("size")).alias("to")))).alias("parts"))
-    grow = lambda done, p: F.struct(
-        (done["n"] + F.greatest(F.lit(0), p["to"] - F.greatest(p["at"], done["reach"]))).alias("n"), F.greatest(done["reach"], p["to"]).alias("reach")
-    )
-    return known.select("run", F.aggregate("parts", F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")), grow)["n"].alias("covered"))
+    own = runs.select("run").distinct()
+    return own.withColumn("run_key", _run_key()).join(_covered_keys(own, words), "run_key").select("run", "covered")
 
 
 def covered(found: DataFrame, words: DataFrame) -> DataFrame:
     """``found`` with the dictionary coverage among its features, and without its runs."""
     values = found.groupBy("value_sha256").agg(F.first("runs").alias("runs"), F.first("length").alias("length"))
     runs = values.select("value_sha256", "length", F.explode("runs").alias("run"))
-    share = runs.join(covered_runs(runs.select("run"), words), "run").groupBy("value_sha256").agg((F.sum("covered") / F.first("length")).alias("coverage"))
+    keyed = runs.select("value_sha256", "length", _run_key().alias("run_key"))
+    share = keyed.join(_covered_keys(runs.select("run").distinct(), words), "run_key").groupBy("value_sha256").agg((F.sum("covered") / F.first("length")).alias("coverage"))
     at = FEATURES.index("coverage")
     filled = F.transform("features", lambda x, i: F.when(i == at, F.coalesce("coverage", F.lit(0.0))).otherwise(x))
     return found.join(share, "value_sha256", "left").select("doc_id", "row_key", "start", "length", "value_sha256", filled.alias("features"))
