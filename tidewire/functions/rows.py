@@ -32,3 +32,10 @@ def first_of(df: DataFrame, key: str, *order: str) -> DataFrame:
     rest = [f.name for f in df.schema.fields if f.name not in (key, *order)]
     ordered = F.struct(*order, *(c for c in rest if df.schema[c].dataType.typeName() not in ("map", "variant")))
     return df.groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), ordered).alias("_row")).select(key, "_row.*")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where its files have fewer splits than there are cores, so that
+    a small table in one file isn't in one task; a table of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import sentiment_label
+from ..functions.tokens import TERM as WORD
+from ..functions.tokens import terms
 from ..schemas import require
 
 # Fixed values of the published rules.
@@ -33,7 +35,6 @@ DAMPERS = "almost barely hardly kinda kindof less little marginal marginally occ
 NEGATIONS = """aint arent cannot cant couldnt darent despite didnt doesnt dont hadnt hasnt havent isnt mightnt mustnt neednt neither never no nobody none
 nope nor not nothing nowhere oughtnt rarely seldom shant shouldnt uhuh wasnt werent without wont wouldnt""".split()
 
-WORD = r"[^\p{L}0-9]+"
 #: For the rules, words keep the apostrophes inside them: ``isn't`` is one.
 SPOKEN = r"[^\p{L}0-9']+"
 
@@ -57,11 +58,14 @@ RULE_WORDS = [*BOOSTERS, *DAMPERS, *NEGATIONS, "but"]
 
 def derived_lexicon(texts: DataFrame, text_col: str = "title", without: list[str] | None = None) -> DataFrame:
     """A stand-in lexicon for invented prose: a valence from -4 to 4 by spelling, but none for the words ``without``."""
-    token = F.explode(F.split(F.lower(F.col(text_col)), WORD)).alias("token")
+    return lexicon_of(texts.select(terms(F.col(text_col)).alias("token")).where("token <> ''"), without)
+
+
+def lexicon_of(tokens: DataFrame, without: list[str] | None = None) -> DataFrame:
+    """``derived_lexicon`` of texts whose words are the column ``token``."""
     valence = ((F.length("token") + F.ascii("token")) % 9 - 4).cast("double")
-    tokens = texts.select(token).where("token <> ''")
-    tokens = tokens.where(~F.col("token").isin(without)) if without else tokens
-    return tokens.distinct().select("token", valence.alias("valence"))
+    kept = tokens.where(~F.col("token").isin(without)) if without else tokens
+    return kept.select("token").distinct().select("token", valence.alias("valence"))
 
 
 def compound(total: Column) -> Column:
@@ -118,3 +122,17 @@ def score(texts: DataFrame, lexicon: DataFrame, rules: bool = True, id_col: str
     emphasised = F.col("_total") + F.signum("_total") * marks
     out = joined.withColumn("sentiment_score", F.coalesce(compound(emphasised), F.lit(0.0))).drop("_id", "_total")
     return out.withColumn("sentiment_label", sentiment_label(F.col("sentiment_score")))
+
+
+def token_scores(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``(id, sentiment_score)`` by the bare sum of valences of ``tokens(id, token)`` in lower
+    case; texts without a word of the lexicon have no row. Sums of a text are made where it lies."""
+    found = tokens.join(lexicon.select(F.lower("token").alias("token"), F.col("valence").cast("double").alias("valence")), "token")
+    totals = found.where("valence is not null").groupBy("id").agg(F.sum("valence").alias("total"))
+    return totals.select("id", compound(F.col("total")).alias("sentiment_score"))
+
+
+def with_scores(stories: DataFrame, scores: DataFrame) -> DataFrame:
+    """``stories`` with the scores of ``token_scores``, 0.0 where there is none, and their labels."""
+    out = stories.join(scores, "id", "left").withColumn("sentiment_score", F.coalesce("sentiment_score", F.lit(0.0)))
+    return out.withColumn("sentiment_label", sentiment_label(F.col("sentiment_score")))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rows import with_index
+from ..functions.tokens import terms
 from ..schemas import OUTLIER_ID, OUTLIER_TOPIC, TOO_FEW, require
 from .graph import components
 from .metrics import no_topic_label
@@ -22,13 +23,11 @@ from .search import near_pairs
 
 LEAST_SIZE = 2
 KEYWORDS = 3
-TERM = r"[^\p{L}0-9]+"
 
 
 def term_weights(titled: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """``(topic_id, term, weight)`` of titles ``(topic_id, title)``, outliers left out."""
-    term = F.explode(F.split(F.lower("title"), TERM)).alias("term")
-    found = titled.where(F.col("topic_id") != OUTLIER_ID).select("topic_id", term).where("term <> ''")
+    found = titled.where(F.col("topic_id") != OUTLIER_ID).select("topic_id", terms(F.col("title")).alias("term")).where("term <> ''")
     if stop_words:
         found = found.where(~F.col("term").isin(*stop_words))
     counts = found.groupBy("topic_id", "term").agg(F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.rows import with_index
+from ..functions.tokens import tokens
 from ..operators import cells, history, incremental, metrics, search, semantics, sentiment, topics, virality
 from ..schemas import OUTLIER_ID, present
 from ..sources import snapshots, stories
@@ -36,10 +37,15 @@ def view(spark: SparkSession, d: str) -> DataFrame:
     return stories.stories_view(spark, d)
 
 
+def lexicon_scores(spark: SparkSession, d: str) -> DataFrame:
+    """``(id, sentiment_score)`` of whole texts by the derived lexicon, without rules. Only the texts are read."""
+    found = tokens(stories.whole_stories(spark, d))
+    return sentiment.token_scores(found, sentiment.lexicon_of(found))
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Stories with the sentiment of the derived lexicon, without rules."""
-    s = view(spark, d)
-    return sentiment.score(s, sentiment.derived_lexicon(s), rules=False)
+    return sentiment.with_scores(view(spark, d), lexicon_scores(spark, d))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -51,11 +57,24 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d).join(vectors(spark, d).select("id", "label"), "id", "left").withColumn("topic_id", F.coalesce("label", F.lit(OUTLIER_ID))).drop("label")
 
 
+def topic_labels(spark: SparkSession, d: str) -> DataFrame:
+    """``(id, topic_id)`` of the vectors that have a label."""
+    return vectors(spark, d).where("label is not null").select("id", F.col("label").alias("topic_id"))
+
+
+def topic_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """Keywords of the labelled topics from whole texts; events and pages aren't read."""
+    return topics.keywords(stories.whole_stories(spark, d).join(topic_labels(spark, d), "id"))
+
+
+def topical(spark: SparkSession, d: str) -> DataFrame:
+    """Stories with topic and keyword. The keywords are made from the texts alone and joined last."""
+    return topics.name_topics(labelled(spark, d), topic_keywords(spark, d))
+
+
 def enriched(spark: SparkSession, d: str) -> DataFrame:
     """Stories with sentiment, topic and keyword."""
-    placed = labelled(spark, d)
-    named = topics.name_topics(placed, topics.keywords(placed))
-    return sentiment.score(named, sentiment.derived_lexicon(view(spark, d)), rules=False)
+    return sentiment.with_scores(topical(spark, d), lexicon_scores(spark, d))
 
 
 def stated_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +191,7 @@ def p7_short_titles(spark, d):
 
 @query
 def p8_topic_labels(spark, d):
-    return topics.keywords(labelled(spark, d)).select("topic_id", labels.topic_display(F.col("topic_keyword")).alias("label"))
+    return topic_keywords(spark, d).select("topic_id", labels.topic_display(F.col("topic_keyword")).alias("label"))
 
 
 @query
@@ -245,7 +264,7 @@ def a2_total_comments(spark, d):
 
 @query
 def a3_top_topic(spark, d):
-    return metrics.top_topic(enriched(spark, d))
+    return metrics.top_topic(topical(spark, d))
 
 
 @query
@@ -260,7 +279,7 @@ def a5_sentiment_distribution(spark, d):
 
 @query
 def a6_topic_distribution(spark, d):
-    return metrics.topic_distribution(enriched(spark, d))
+    return metrics.topic_distribution(topical(spark, d))
 
 
 @query
@@ -270,7 +289,7 @@ def a7_topic_count(spark, d):
 
 @query
 def a8_trending_topics(spark, d):
-    return metrics.trending(enriched(spark, d))
+    return metrics.trending(topical(spark, d))
 
 
 @query
@@ -280,12 +299,12 @@ def a9_collection_stats(spark, d):
 
 @query
 def a10_topic_keywords(spark, d):
-    return topics.keywords(labelled(spark, d))
+    return topic_keywords(spark, d)
 
 
 @query
 def a11_topic_info(spark, d):
-    return metrics.topic_info(enriched(spark, d))
+    return metrics.topic_info(topical(spark, d))
 
 
 @query
@@ -610,7 +629,7 @@ def v9_sentiment_by_topic(spark, d):
 
 @query
 def v10_topic_timeline(spark, d):
-    return metrics.topic_timeline(enriched(spark, d))
+    return metrics.topic_timeline(topical(spark, d))
 
 
 @query

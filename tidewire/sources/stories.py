@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rows import first_of, with_index
+from ..functions.rows import first_of, spread, with_index
 from ..schemas import RANKED_IDS, RAW_ITEM, require
 
 LIMIT_LEAST, LIMIT_MOST, LIMIT_STEP, LIMIT_DEFAULT = 10, 100, 5, 30
@@ -90,7 +90,7 @@ def stories_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def whole_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a story ``(id, title)`` with its whole text, whether it has an event or not."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("title")))
 
 
 def land(stories: DataFrame, folder: str) -> tuple[str, str]:
