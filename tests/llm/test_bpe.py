@@ -34,6 +34,16 @@ def test_any_text(library, text):
     assert encode([text]) == [library.encode_ordinary(text)]
 
 
+def test_kept_stretches_are_bounded_by_size(library, monkeypatch):
+    """Texts of one long stretch each don't pile up, and ids stay the same when a worker starts anew."""
+    monkeypatch.setattr(bpe, "CACHE_SIZE", 50_000)
+    own = bpe.load(FILE, public_tokenizers.PATTERN)
+    for i in range(40):
+        text = f"{i}x" * 2000
+        assert np.frombuffer(own.encode_batch([text])[0], "<u4").tolist() == library.encode_ordinary(text)
+        assert sum(len(k) + len(v) for k, v in own.cache.items()) == own.cached < 50_000 + 30_000
+
+
 def test_long_pieces(library):
     r = random.Random(3)
     texts = ["a" * 5000, "ab" * 3000, "日本" * 2000, " " * 4000 + "x", "!" * 3333, "\n" * 3000, "".join(r.choice("abcdefghij") for _ in range(6000)), "x" * 513]

@@ -40,8 +40,9 @@ from .common import trimmed
 LONG = 512
 #: Matrices hold so many cells at most.
 CELLS = 1 << 20
-#: A worker keeps the ids of so many stretches of text, then starts anew.
-CACHE = 300_000
+#: A worker keeps the ids of so many stretches of text, and so many characters of text and bytes
+#: of ids with them, then starts anew.
+CACHE, CACHE_SIZE = 300_000, 32 << 20
 NONE = np.int32(np.iinfo(np.int32).max)
 
 _BREAK = re.compile(r"\s[ \n]")
@@ -114,6 +115,7 @@ class ByteBPE:
         left, right, merged = np.array(found, np.int32).reshape(-1, 3).T
         self.pairs = PairTable(left, right, merged)
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
 
     @cached_property
     def merges(self) -> dict[int, int]:
@@ -214,13 +216,16 @@ class ByteBPE:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
         cut = [stretches(t) for t in texts]
-        if len(self.cache) > CACHE:
+        if len(self.cache) > CACHE or self.cached > CACHE_SIZE:
             self.cache.clear()
+            self.cached = 0
         cache = self.cache
         new = list(set().union(*cut).difference(cache))
         pieces = list(map(self.pattern.findall, new))
         ids = self.encode_pieces(chain.from_iterable(pieces))
-        cache.update((s, ids[p[0]] if len(p) == 1 else b"".join([ids[x] for x in p])) for s, p in zip(new, pieces, strict=True))
+        found = [ids[p[0]] if len(p) == 1 else b"".join([ids[x] for x in p]) for p in pieces]
+        cache.update(zip(new, found, strict=True))
+        self.cached += sum(map(len, new)) + sum(map(len, found))
         return [b"".join(map(cache.__getitem__, c)) for c in cut]
 
     def decode(self, ids: bytes) -> bytes:
