@@ -2,7 +2,8 @@
 
 Titles are linked where their embeddings are alike; components of the
 links are topics if they have two members or more, numbered by size, the
-rest are outliers. Keywords are the terms of the highest class-based
+rest are outliers. Other methods are density clusters (``density``) and
+k-means, which has no outliers. Keywords are the terms of the highest class-based
 TF-IDF weight: the share of a term in its topic times ``ln(1 + A / f)``,
 with A the mean number of words in a topic and f the term's count in all.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.rows import with_index
 from ..functions.tokens import terms
 from ..schemas import OUTLIER_ID, OUTLIER_TOPIC, TOO_FEW, require
+from . import density
 from .graph import components
 from .metrics import no_topic_label
 from .search import near_pairs
@@ -81,7 +83,8 @@ def discover(stories: DataFrame, vectors: DataFrame, threshold: float = 0.4, met
     if (n := valid.limit(2).count()) < 2:
         return stories.withColumn("topic_id", F.lit(OUTLIER_ID)).withColumn("topic_keyword", F.lit(TOO_FEW))
     usable = vectors.join(valid.select("id"), "id", "left_semi")
-    groups = by_similarity(usable, threshold) if method == "similarity" else by_kmeans(usable, k)
+    methods = {"similarity": lambda: by_similarity(usable, threshold), "density": lambda: density.clusters_of(usable), "kmeans": lambda: by_kmeans(usable, k)}
+    groups = methods[method]()
     placed = stories.join(groups, "id", "left").withColumn("topic_id", F.coalesce("topic_id", F.lit(OUTLIER_ID)))
     named = name_topics(placed, keywords(placed.where("title is not null"), stop_words))
     return named.withColumn("topic_keyword", no_topic_label(F.col("title"), F.col("topic_keyword"), n))

@@ -364,6 +364,13 @@ def x2_topics_kmeans(spark, d):
     return topics.discover(stories.whole_stories(spark, d), v, method="kmeans", k=10).select("id", "topic_id", "topic_keyword")
 
 
+@query
+def x2_topics_density(spark, d):
+    """Topics by density clusters of two members or more, with keywords from whole texts."""
+    v = vectors(spark, d).select("id", "embedding")
+    return topics.discover(stories.whole_stories(spark, d), v, method="density").select("id", "topic_id", "topic_keyword")
+
+
 @query
 def j5_near_pairs(spark, d):
     return search.near_pairs(vectors(spark, d), LINKED).select("a", "b", F.round("similarity", 6).alias("similarity"))
