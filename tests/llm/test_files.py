@@ -101,6 +101,16 @@ def test_wavelet_matrix(values):
         matrix.access(len(v))
 
 
+def test_kept_stretches_are_bounded_by_size(monkeypatch):
+    """Texts of one long stretch each don't pile up, and ids stay the same when a worker starts anew."""
+    monkeypatch.setattr(token_shards, "CACHE_SIZE", 50_000)
+    own, library = token_shards.Encoder(FILE), Tokenizer.from_file(FILE)
+    for i in range(40):
+        text = f"{i}x" * 2000
+        assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert sum(len(k) + len(v) for k, v in own.cache.items()) == own.cached < 50_000 + 30_000
+
+
 def test_token_shards(odd, odd_rows, empty, monkeypatch):
     monkeypatch.setattr(token_shards, "SHARD_TOKENS", 1000)
     found = token_shards.shard_roundtrip(odd, FILE).collect()

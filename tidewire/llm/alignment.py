@@ -65,7 +65,7 @@ class PlainEncoder(Encoder):
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         self.read += sum(map(len, texts))
         if self.read > CACHED_TEXT:
-            self.cache.clear()
+            self._start_anew()
             self.read = 0
         return super().encode(texts)
 

@@ -56,8 +56,9 @@ LEVEL = 1
 SHARD_TOKENS = 4_000_000
 #: Characters of text that are encoded together.
 GROUP = 4 << 20
-#: A worker keeps the ids of so many stretches of text, then starts anew.
-CACHE = 1_200_000
+#: A worker keeps the ids of so many stretches of text, and so many characters of text and bytes
+#: of ids with them, then starts anew.
+CACHE, CACHE_SIZE = 1_200_000, 64 << 20
 
 
 class WaveletMatrix:
@@ -238,6 +239,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
 
         # Stretches are put into one string with NULs between them where NUL is a token
         # that is part of no other; then nothing merges across.
@@ -260,17 +262,25 @@ class Encoder:
             ends = np.flatnonzero(ids == self.nul)
             raw, size = ids.tobytes(), self.kind.itemsize
             cuts = zip((np.r_[0, ends[:-1] + 1] * size).tolist(), (ends * size).tolist(), strict=True)
-            self.cache.update(zip(part, [raw[a:b] for a, b in cuts], strict=True))
+            self._keep(part, [raw[a:b] for a, b in cuts])
         rest = [s for s in new if s not in self.cache] if joined else new
         for i in range(0, len(rest), CALL):
             part = rest[i : i + CALL]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.cache.update(zip(part, [array(self.kind.char, e.ids).tobytes() for e in found], strict=True))
+            self._keep(part, [array(self.kind.char, e.ids).tobytes() for e in found])
+
+    def _start_anew(self) -> None:
+        self.cache.clear()
+        self.cached = 0
+
+    def _keep(self, texts: list[str], ids: list[bytes]) -> None:
+        self.cache.update(zip(texts, ids, strict=True))
+        self.cached += sum(map(len, texts)) + sum(map(len, ids))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts, special tokens not added."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        if len(self.cache) > CACHE or self.cached > CACHE_SIZE:
+            self._start_anew()
         # A text with a NUL or an added token is given to the library whole.
         whole = {i for i, t in enumerate(texts) if "\0" in t or any(a in t for a in self.added)}
         lists = pc.split_pattern(pa.array(["" if i in whole else marked(t) for i, t in enumerate(texts)], pa.large_string()), "\0")
