@@ -1,6 +1,7 @@
 """The cell index against all comparisons."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,20 @@ def test_saved_and_empty(spark, data, tmp_path):
     none = cells.build(frame(spark, np.zeros((0, 3))))
     assert cells.nearest(none, asked).collect() == [] and cells.near_pairs(none, 0.5).collect() == []
     assert cells.nearest(index, asked.where("false")).collect() == []
+
+
+def test_vectors_are_sent_by_blocks(spark, monkeypatch):
+    """A query that reads all cells is one row and is sent once for each block, however many cells there are."""
+    monkeypatch.setattr(cells, "SLICE", 40)
+    x = clustered(1600)
+    index = cells.build(frame(spark, x), cells=200)
+    known = index.known
+    assert len(known.numbers) > 60 and known.block_size == 100
+    first = known.first_blocks()
+    number = int((first + known.slices).max())
+    assert number <= 2 * cells.SHARES + 1
+    inside = {r.block: r.n for r in cells.in_blocks(index).groupBy("block").agg(F.count("*").alias("n")).collect()}
+    assert sum(inside.values()) == 1600 and max(inside.values()) <= 2 * 100
+    rows = index.table.select(F.col("id").alias("query_id"), "embedding", F.lit(0.0).alias("more"))
+    visits = cells.visits(known, rows, lambda bounds, _: bounds >= 0).collect()
+    assert len(visits) == 1600 and {len(v.places) for v in visits} == {number}

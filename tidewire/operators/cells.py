@@ -11,10 +11,14 @@ hold k vectors, and then those cells only whose bound doesn't pass the k-th
 distance found. Near pairs are searches of all vectors with a fixed reach, each
 pair of cells once.
 
-Cells are cut into slices of ``SLICE`` vectors and the queries that read a cell into
-parts of ``QUERIES``; a task compares one slice with one part by a matrix
-product, so no cell, however many equal vectors it holds, is in one task.
-Centres, sizes and radii, at most ``MOST_CELLS`` rows, are all that the driver sees.
+Near cells are packed into blocks of a sixteenth of all vectors, ``SLICE`` at least and ``MOST_SLICE`` at
+most, and a cell of more is cut into several; the queries that read a block are cut into parts likewise.
+So a query is sent once for each block and not for each cell, and the rows sent grow with the vectors as
+long as blocks do. A task holds the queries of one part while the block's
+vectors pass by, so its memory doesn't depend on either number, and no cell, however many equal vectors it
+holds, is in one task. Products are made in single precision, and those that could count
+are computed anew in double precision.
+Centres, sizes and radii, at most ``MOST_CELLS`` rows, and the sample are all that the driver sees.
 
 Defined cases: null vectors are left out. Vectors of zeros have the cosine
 distance 1 from all, and a cell of their own, number -1. Ties go to the
@@ -34,7 +38,12 @@ from pyspark.sql import functions as F
 
 from ..sources.workspace import scratch, written
 
+#: Vectors of a block and queries of a part, at least and at most; between, so many of each.
 SLICE, QUERIES = 4096, 1024
+MOST_SLICE, MOST_QUERIES = 1 << 16, 1 << 14
+SHARES = 16
+#: Entries of a matrix that a task makes at a time.
+ENTRIES = 1 << 22
 MOST_CELLS = 4096
 #: Vectors of the sample for each cell, and rounds in which its centres are moved.
 SAMPLED, MOVES = 32, 4
@@ -45,7 +54,18 @@ APART = np.sqrt(2.0)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64) if len(column) else np.zeros((0, 1))
+    if not len(column):
+        return np.zeros((0, 1))
+    lengths = pc.min_max(column.value_lengths()).as_py()
+    if column.null_count or lengths["min"] != lengths["max"]:
+        return np.array(column.to_pylist(), np.float64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _steps(n: int, width: int) -> Iterator[slice]:
+    """Stretches of ``n`` rows of so many columns, each of a bounded size."""
+    step = max(1, ENTRIES // max(1, width))
+    return (slice(at, min(n, at + step)) for at in range(0, n, step))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -74,7 +94,27 @@ class Known(NamedTuple):
 
     @property
     def slices(self) -> np.ndarray:
-        return -(-self.sizes // SLICE)
+        """Blocks that hold a part of each cell."""
+        return -(-self.sizes // self.block_size)
+
+    @property
+    def block_size(self) -> int:
+        return max(SLICE, min(MOST_SLICE, int(self.sizes.sum()) // SHARES))
+
+    def first_blocks(self) -> np.ndarray:
+        """The first block of each cell: near cells share one, and one of several slices has its own."""
+        slices, size = self.slices, self.block_size
+        heads = centres_of(self.centres, max(1, int(self.sizes.sum()) // size))
+        order = np.argsort(nearest_centres(self.centres, heads)[0], kind="stable")
+        first, block, room = np.zeros(len(self.numbers), int), -1, 0
+        for cell in order:  # at most MOST_CELLS and one
+            if slices[cell] > 1 or self.sizes[cell] > room:
+                first[cell], block = block + 1, block + slices[cell]
+                room = size if slices[cell] == 1 else 0
+            else:
+                first[cell] = block
+            room = max(0, room - self.sizes[cell])
+        return first
 
     def bounds(self, x: np.ndarray) -> np.ndarray:
         """The least distance that any vector of each cell can have from the rows of ``x``."""
@@ -105,11 +145,21 @@ class Cells:
         return cls(spark.read.parquet(f"{path}/vectors").select("cell", "slice", "id", "embedding"), known)
 
 
+def nearest_centres(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the nearest centre and the distance from it."""
+    at, away, square = np.zeros(len(x), int), np.zeros(len(x)), (centres * centres).sum(axis=1)
+    for s in _steps(len(x), len(centres)):
+        apart = (x[s] * x[s]).sum(axis=1)[:, None] - 2 * x[s] @ centres.T + square
+        at[s] = np.argmin(apart, axis=1)
+        away[s] = np.sqrt(np.maximum(apart[np.arange(len(apart)), at[s]], 0))
+    return at, away
+
+
 def centres_of(sample: np.ndarray, count: int) -> np.ndarray:
     """Centres of a sample by some rounds of k-means, from evenly spaced rows of it."""
     centres = sample[:: max(1, len(sample) // count)][:count].copy()
     for _ in range(MOVES):
-        at = np.argmin((centres * centres).sum(axis=1) - 2 * sample @ centres.T, axis=1)
+        at = nearest_centres(sample, centres)[0]
         sums = np.zeros_like(centres)
         np.add.at(sums, at, sample)
         n = np.bincount(at, minlength=len(centres))
@@ -123,17 +173,17 @@ def build(vectors: DataFrame, cells: int | None = None, id_col: str = "id", vect
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("embedding")).where("embedding is not null")
     n = rows.count()
     count = max(1, min(cells or int(np.sqrt(n)), MOST_CELLS))
-    sampled = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLED * count).select("embedding").collect()
-    sample = unit(np.array([r.embedding for r in sampled], np.float64)) if sampled else np.zeros((0, 1))
+    # The smallest hashes, looked for among twice as many, so that one task doesn't sort all.
+    low = min((1 << 63) - 1, int(2 * SAMPLED * count / max(n, 1) * 2.0**64) + 1000 - (1 << 63))
+    sampled = rows.where(F.xxhash64("id") <= low).orderBy(F.xxhash64("id"), "id").limit(SAMPLED * count).select("embedding").toArrow()
+    sample = unit(_matrix(sampled.column("embedding").combine_chunks()))
     sample = sample[sample.any(axis=1)]
     centres = centres_of(sample, count) if len(sample) else np.zeros((1, sample.shape[1] or 1))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u = unit(_matrix(batch.column("embedding")))
-            square = (u * u).sum(axis=1)[:, None] - 2 * u @ centres.T + (centres * centres).sum(axis=1)
-            at = np.argmin(square, axis=1)
-            away = np.sqrt(np.maximum(square[np.arange(len(u)), at], 0))
+            at, away = nearest_centres(u, centres)
             at = np.where(u.any(axis=1), at, ZEROS)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(away), *batch.columns], ["cell", "away", *batch.schema.names])
 
@@ -154,45 +204,157 @@ def by_cell(numbers: np.ndarray, values: np.ndarray, name: str, spark: SparkSess
     return spark.createDataFrame(list(zip(map(int, numbers), map(int, values), strict=True)), f"cell int, {name} long")
 
 
-def probes(known: Known, queries: DataFrame, choose: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """``(query_id, embedding, more, cell)``: the cells that each query reads. ``choose`` takes
-    the bounds of a batch of queries and their column ``more`` and says which as a matrix of truth."""
+def visits(known: Known, queries: DataFrame, choose: Callable[[np.ndarray, np.ndarray], np.ndarray], blocks: bool = True) -> DataFrame:
+    """``(query_id, embedding, more, places)``: the blocks, or else cells, that each query reads. ``choose`` takes
+    the bounds of some queries and their column ``more`` and says which cells as a matrix of truth."""
+    first, slices = (known.first_blocks(), known.slices) if blocks else (None, None)
+    number = int((first + slices).max()) if blocks else 0
+
+    def of(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not blocks:
+            at, cell = np.nonzero(chosen)
+            return at, known.numbers[cell]
+        holds = np.zeros((len(first), number), np.float32)
+        for cell in range(len(first)):
+            holds[cell, first[cell] : first[cell] + slices[cell]] = 1
+        return np.nonzero(chosen.astype(np.float32) @ holds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                at, cell = np.nonzero(choose(known.bounds(_matrix(batch.column("embedding"))), batch.column("more").to_numpy(zero_copy_only=False)))
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array(known.numbers[cell].astype(np.int32))], [*batch.schema.names, "cell"])
+            for s in _steps(batch.num_rows, 4 * len(known.numbers)):
+                part = batch.slice(s.start, s.stop - s.start)
+                at, place = of(choose(known.bounds(_matrix(part.column("embedding"))), part.column("more").to_numpy(zero_copy_only=False)))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=part.num_rows))])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "places"])
 
     rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("more").cast("double").alias("more"))
-    return rows.mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, embedding array<double>, more double, cell int")
+    return rows.mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, embedding array<double>, more double, places array<int>")
+
+
+def probes(known: Known, queries: DataFrame, choose: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``(query_id, embedding, more, cell)``: the cells that each query reads, as of ``visits``."""
+    return visits(known, queries, choose, blocks=False).select("query_id", "embedding", "more", F.explode("places").alias("cell"))
+
 
+def in_blocks(index: Cells) -> DataFrame:
+    """``(block, id, embedding)`` of all vectors."""
+    spark, known = index.table.sparkSession, index.known
+    first = by_cell(known.numbers, known.first_blocks(), "first", spark)
+    slices = by_cell(known.numbers, known.slices, "slices", spark)
+    rows = index.table.join(F.broadcast(first), "cell").join(F.broadcast(slices), "cell")
+    return rows.select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("slices"))).cast("int").alias("block"), "id", "embedding")
 
-def compare(index: Cells, asked: DataFrame, run, schema: str) -> DataFrame:
-    """What ``run(queries, vectors)`` makes of each part of a cell's queries and each slice of its vectors."""
+
+def compare(index: Cells, asked: DataFrame, meet, schema: str) -> DataFrame:
+    """What ``meet(queries)`` makes of the vectors of a block, for each part of the queries
+    ``asked(query_id, embedding, more, places)`` that read it. It has ``take(vectors)``, called with some
+    vectors after the others, and ``end()``; both give batches."""
     spark = asked.sparkSession
-    parts = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))  # a row for each cell
-    slices = by_cell(index.known.numbers, index.known.slices, "slices", spark)
-    left = asked.join(F.broadcast(parts), "cell").join(F.broadcast(slices), "cell")
-    left = left.withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), (F.col("slices") - 1).cast("int"))))
-    right = index.table.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    key = ["cell", "slice", "part"]
-    return left.select(*key, "query_id", "embedding", "more").groupBy(*key).cogroup(right.select(*key, "id", "embedding").groupBy(*key)).applyInArrow(lambda q, v: run(q, v), schema)
-
-
-def _best(k: int):
-    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        ids = vectors.column("id").combine_chunks()
-        if not len(ids) or not queries.num_rows:
-            return pa.table({"query_id": queries.column("query_id")[:0], "id": ids[:0], "distance": pa.array([], pa.float64())})
-        order = pc.sort_indices(ids)
-        ids, x = ids.take(order), _matrix(vectors.column("embedding"))[order.to_numpy()]
-        distance = cosine_distances(_matrix(queries.column("embedding")), x)
-        near = np.argsort(distance, axis=1, kind="stable")[:, :k]  # ids rise, so ties go to the smaller
-        at = np.repeat(np.arange(len(near)), near.shape[1])
-        return pa.table({"query_id": queries.column("query_id").combine_chunks().take(pa.array(at)), "id": ids.take(pa.array(near.ravel())), "distance": distance[at, near.ravel()]})
-
-    return run
+    n = F.count("*")
+    most = F.greatest(F.lit(QUERIES), F.least(F.lit(MOST_QUERIES), n / SHARES))
+    parts = asked.select(F.explode("places").alias("block")).groupBy("block").agg(F.ceil(n / most).cast("int").alias("parts"))  # a row for each block
+    kinds = {"query_id": asked.schema["query_id"].dataType, "id": index.table.schema["id"].dataType, "more": "double"}
+    nothing = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    key = ["block", "part"]
+    left = asked.withColumn("block", F.explode("places")).join(F.broadcast(parts), "block").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+    right = in_blocks(index).join(F.broadcast(parts), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = left.select(*key, F.lit(0).alias("side"), "query_id", nothing("id"), "more", "embedding").union(right.select(*key, F.lit(1).alias("side"), nothing("query_id"), "id", nothing("more"), "embedding"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, at_work = None, [], None
+        for batch in batches:
+            marks = np.array([batch.column(c).to_numpy() for c in (*key, "side")])
+            ends = [*(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            for start, end in zip([0, *ends[:-1]], ends, strict=True):
+                if start == end:
+                    continue
+                block, part, side = marks[:, start]
+                if (block, part) != now:
+                    if at_work:
+                        yield from at_work.end()
+                    now, held, at_work = (block, part), [], None
+                piece = batch.slice(start, end - start)
+                if side == 0:
+                    held.append(piece)
+                elif held:
+                    at_work = at_work or meet(pa.Table.from_batches(held).combine_chunks())
+                    yield from at_work.take(piece)
+        if at_work:
+            yield from at_work.end()
+
+    return both.repartition(tasks, *key).sortWithinPartitions(*key, "side").mapInArrow(run, schema)
+
+
+class _Meeting:
+    """Queries of one part, and which of some vectors could be near enough to them."""
+
+    def __init__(self, queries: pa.Table):
+        one = lambda c: queries.column(c).combine_chunks()
+        self.query_id, self.more = one("query_id"), one("more").to_numpy(zero_copy_only=False).astype(np.float64)
+        self.block = int(queries.column("block")[0].as_py())
+        self.x = _matrix(one("embedding"))
+        self.u = self.single(self.x)
+        # More than products of unit vectors in single precision are off.
+        self.off = (self.x.shape[1] + 8) * 1.2e-7
+
+    @staticmethod
+    def single(x: np.ndarray) -> np.ndarray:
+        return np.where(np.isfinite(x).all(axis=1, keepdims=True), unit(x), 0).astype(np.float32)
+
+    def exact(self, v: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Rounded cosine distances of the given queries and vectors."""
+        out = np.empty(len(at))
+        a, b = (self.x * self.x).sum(axis=1), (v * v).sum(axis=1)
+        for s in _steps(len(at), v.shape[1]):
+            size = np.sqrt(a[at[s]] * b[to[s]])
+            product = np.einsum("ij,ij->i", self.x[at[s]], v[to[s]])
+            out[s] = np.round(1 - np.where(size > 0, product / np.where(size > 0, size, 1), np.where(size == 0, 0, size)), PLACES)
+        return out
+
+
+class _Best(_Meeting):
+    """The k nearest vectors of each query, among those no farther than ``more``."""
+
+    def __init__(self, queries: pa.Table, k: int):
+        super().__init__(queries)
+        self.k, self.limit, self.found = k, np.where(np.isnan(self.more), np.inf, self.more), None
+
+    def take(self, vectors: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        v = _matrix(vectors.column("embedding"))
+        w = self.single(v)
+        for s in _steps(len(self.u), len(w)):
+            product = self.u[s] @ w.T
+            least = 1 - self.limit[s] - self.off
+            if len(first := np.flatnonzero(np.isinf(least))) and len(w) > self.k:
+                least[first] = np.partition(product[first], len(w) - self.k, axis=1)[:, len(w) - self.k] - 2 * self.off
+            at, to = np.nonzero(product >= least[:, None].astype(np.float32))
+            if len(at):
+                self.add(at + s.start, self.exact(v, at + s.start, to), vectors.column("id").take(pa.array(to)))
+        return iter(())
+
+    def add(self, row: np.ndarray, distance: np.ndarray, ids: pa.Array) -> None:
+        table = pa.table({"row": row, "distance": distance, "id": ids})
+        if self.found is not None:
+            known = np.zeros(len(self.u), bool)
+            known[row] = True
+            again = pa.array(known[self.found.column("row").to_numpy()])
+            kept, table = self.found.filter(pc.invert(again)), pa.concat_tables([self.found.filter(again), table])
+        table = table.take(pc.sort_indices(table, [("row", "ascending"), ("distance", "ascending"), ("id", "ascending")]))
+        row = table.column("row").to_numpy()
+        begins = np.flatnonzero(np.diff(row, prepend=-1))
+        place = np.arange(len(row)) - np.repeat(begins, np.diff([*begins, len(row)]))
+        last = place == self.k - 1
+        self.limit[row[last]] = np.fmin(self.limit[row[last]], table.column("distance").to_numpy()[last])
+        table = table.filter(pa.array(place < self.k))
+        self.found = table if self.found is None else pa.concat_tables([kept, table]).combine_chunks()
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.found is not None:
+            found = self.found.combine_chunks()
+            one = lambda c: found.column(c).combine_chunks()
+            yield pa.RecordBatch.from_arrays([self.query_id.take(one("row")), one("id"), one("distance")], ["query_id", "id", "distance"])
 
 
 def nearest(index: Cells, queries: DataFrame, k: int = 10, most_cells: int | None = None) -> DataFrame:
@@ -221,66 +383,86 @@ def search(index: Cells, queries: DataFrame, k: int = 10, most_cells: int | None
         return out
 
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    first = written(probes(index.known, asked.withColumn("more", F.lit(0.0)), lambda bounds, _: nearest_cells(bounds)), "probes")
-    hits = written(compare(index, first, _best(k), kinds), "hits")
-    read = first.select("query_id", "cell")
+    best = lambda queries: _Best(queries, k)
+    first, near = asked.withColumn("more", F.lit(None).cast("double")), lambda bounds, _: nearest_cells(bounds)
+    hits = compare(index, written(visits(index.known, first, near), "visits"), best, kinds).withColumn("position", F.row_number().over(order))
+    read = probes(index.known, first, near).select("query_id", "cell")
     if most_cells is None:
-        # The k-th distance so far; without k vectors the first cells were all cells.
-        last = hits.withColumn("position", F.row_number().over(order)).where(F.col("position") == k).select("query_id", F.col("distance").alias("more"))
-        rest = written(probes(index.known, asked.join(last, "query_id"), lambda bounds, limit: (bounds <= reach(limit)[:, None]) & ~nearest_cells(bounds)), "probes")
-        hits = hits.union(compare(index, rest, _best(k), kinds))
-        read = read.union(rest.select("query_id", "cell"))
-    return hits.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k), read
-
-
-def _pairs(threshold: float, forest: bool):
-    limit = round(1 - threshold, PLACES)
-
-    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        a, b = queries.column("query_id").to_numpy(), vectors.column("id").to_numpy()
-        out = {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "similarity": np.zeros(0)}
-        if len(a) and len(b):
-            own = queries.column("more").to_numpy() == vectors.column("cell")[0].as_py()
-            distance = cosine_distances(_matrix(queries.column("embedding")), _matrix(vectors.column("embedding")))
-            # Within a cell each pair is met from both sides and taken from one.
-            linked = (distance <= limit) & np.where(own[:, None], a[:, None] < b, a[:, None] != b)
-            at, to = _spanning(linked) if forest else np.nonzero(linked)
-            out = {"a": np.minimum(a[at], b[to]), "b": np.maximum(a[at], b[to]), "similarity": np.round(1 - distance[at, to], PLACES)}
-        return pa.table(out)
-
-    return run
-
-
-def _spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of a two-sided graph, given as a matrix of truth: sides
-    take turns, and every row and column that is new is tied to one that reached it."""
-    n, m = linked.shape
-    row_open, column_open = np.ones(n, bool), np.ones(m, bool)
-    edges: list[tuple[np.ndarray, np.ndarray]] = []
-    for start in range(n):
-        if not row_open[start]:
-            continue
-        row_open[start] = False
-        rows = np.array([start])
-        while len(rows):
-            columns = np.flatnonzero(column_open & linked[rows].any(axis=0))
-            edges.append((rows[linked[np.ix_(rows, columns)].argmax(axis=0)] if len(columns) else columns, columns))
-            column_open[columns] = False
-            rows = np.flatnonzero(row_open & linked[:, columns].any(axis=1))
-            edges.append((rows, columns[linked[np.ix_(rows, columns)].argmax(axis=1)] if len(rows) else rows))
-            row_open[rows] = False
-    return tuple(np.concatenate([e[i] for e in edges]) for i in (0, 1))
+        # The k-th distance so far, within which all cells are read; without k vectors that is all cells.
+        last = hits.where(F.col("position") == k).select("query_id", F.col("distance").alias("more"))
+        rest, within = asked.join(last, "query_id", "left"), lambda bounds, limit: ~(bounds > reach(limit)[:, None])
+        hits = compare(index, written(visits(index.known, rest, within), "visits"), best, kinds).withColumn("position", F.row_number().over(order))
+        read = read.union(probes(index.known, rest, within).select("query_id", "cell")).distinct()
+    return hits.where(F.col("position") <= k), read
+
+
+class _Pairs(_Meeting):
+    """Pairs of queries and vectors within a distance; with ``forest`` those only that connect what wasn't connected yet."""
+
+    def __init__(self, queries: pa.Table, limit: float, forest: bool):
+        super().__init__(queries)
+        self.limit, self.forest = limit, forest
+        self.a, self.own = self.query_id.to_numpy(), self.more == self.block
+        self.group = np.arange(len(self.a))
+
+    def take(self, vectors: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        v, b = _matrix(vectors.column("embedding")), vectors.column("id").to_numpy()
+        w, least = self.single(v), np.float32(1 - self.limit - self.off)
+        head = np.full(len(w), -1)  # the query to which each vector is tied
+        for s in _steps(len(self.u), len(w)):
+            at, to = np.nonzero(self.u[s] @ w.T >= least)
+            at += s.start
+            # Within a block each pair is met from both sides and taken from one.
+            kept = np.where(self.own[at], self.a[at] < b[to], self.a[at] != b[to])
+            at, to = at[kept], to[kept]
+            distance = self.exact(v, at, to)
+            kept = distance <= self.limit
+            at, to, distance = at[kept], to[kept], distance[kept]
+            if self.forest:
+                kept = self.joins(at, to, head)
+                at, to, distance = at[kept], to[kept], distance[kept]
+            if len(at):
+                ends = [np.minimum(self.a[at], b[to]), np.maximum(self.a[at], b[to])]
+                yield pa.RecordBatch.from_arrays([*(pa.array(e.astype(np.int64)) for e in ends), pa.array(np.round(1 - distance, PLACES))], ["a", "b", "similarity"])
+
+    def joins(self, at: np.ndarray, to: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Which links are needed: the first one of each vector, and others that join groups of queries."""
+        new, first = np.unique(to, return_index=True)
+        new, first = new[head[new] < 0], first[head[new] < 0]
+        needed = np.zeros(len(at), bool)
+        needed[first] = True
+        head[new] = at[first]
+        head, root = head[to], self.group
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for i in np.flatnonzero(root[at] != root[head]):
+            x, y = top(at[i]), top(head[i])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                needed[i] = True
+        while (root[root] != root).any():
+            root[:] = root[root]
+        return needed
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
 
 
 def near_pairs(index: Cells, threshold: float, forest: bool = False) -> DataFrame:
     """``(a, b, similarity)`` for all pairs a < b of integer ids of cosine at least
     ``threshold``. With ``forest``, only so many of them that the same vectors are connected:
-    at most one row for each vector in a task."""
+    at most one row for each query and each vector of a part and a block."""
     if not len(index.known.numbers):
         return index.table.sparkSession.createDataFrame([], "a long, b long, similarity double")
-    far = float(reach(round(1 - threshold, PLACES)))
-    numbers = index.known.numbers
-    # A vector reads the cells of its own number and above.
-    rows = index.table.select(F.col("id").cast("long").alias("query_id"), "embedding", F.col("cell").alias("more"))
-    asked = written(probes(index.known, rows, lambda bounds, own: ((bounds <= far) | (numbers == own[:, None])) & (numbers >= own[:, None])), "probes")
-    return compare(index, asked, _pairs(threshold, forest), "a long, b long, similarity double")
+    limit = round(1 - threshold, PLACES)
+    far = float(reach(limit))
+    # A vector reads its own block and those after it.
+    rows = in_blocks(index).select(F.col("id").cast("long").alias("query_id"), "embedding", F.col("block").alias("more"))
+    own = F.col("more").cast("int")
+    asked = visits(index.known, rows, lambda bounds, _: bounds <= far).withColumn("places", F.filter(F.array_union("places", F.array(own)), lambda b: b >= own))
+    return compare(index, written(asked, "visits"), lambda queries: _Pairs(queries, limit, forest), "a long, b long, similarity double")
