@@ -121,3 +121,28 @@ def test_vectors_are_sent_by_blocks(spark, monkeypatch):
     rows = index.table.select(F.col("id").alias("query_id"), "embedding", F.lit(0.0).alias("more"))
     visits = cells.visits(known, rows, lambda bounds, _: bounds >= 0).collect()
     assert len(visits) == 1600 and {len(v.places) for v in visits} == {number}
+
+
+@pytest.mark.parametrize("batch", [7, 300])
+def test_forest_over_passing_vectors(batch):
+    """Links kept over several batches are few, and connect what all links connect."""
+    x = clustered(300, groups=6)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    lists = lambda v: pa.array(v.tolist(), pa.list_(pa.float64()))
+    queries = pa.table({"block": np.zeros(300, int), "query_id": np.arange(300), "more": np.zeros(300), "embedding": lists(x)})
+    pairs = {}
+    for forest in (False, True):
+        meeting = cells._Pairs(queries, 0.1, forest)
+        found = [b for at in range(0, 300, batch) for b in meeting.take(pa.RecordBatch.from_pydict({"id": np.arange(300)[at : at + batch], "embedding": lists(x[at : at + batch])}))]
+        pairs[forest] = {p for b in found for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)}
+    assert pairs[False] == {(a, b) for a in range(300) for b in range(a + 1, 300) if round(1 - unit[a] @ unit[b], 9) <= 0.1}
+    assert pairs[True] <= pairs[False] and len(pairs[True]) < 600 < len(pairs[False])
+
+    def groups(edges):
+        at = list(range(300))
+        for _ in range(300):
+            for a, b in edges:
+                at[a] = at[b] = min(at[a], at[b])
+        return at
+
+    assert groups(pairs[True]) == groups(pairs[False])
