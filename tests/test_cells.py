@@ -146,3 +146,19 @@ def test_forest_over_passing_vectors(batch):
         return at
 
     assert groups(pairs[True]) == groups(pairs[False])
+
+
+@pytest.mark.parametrize("batch", [13, 300])
+def test_best_of_passing_vectors(batch):
+    """The nearest of all vectors, some equal and some of zeros, held as k rows a query at most."""
+    x = clustered(300, groups=6)
+    lists = lambda v: pa.array(v.tolist(), pa.list_(pa.float64()))
+    ids = np.array([f"{i:03}" for i in range(300)])
+    meeting = cells._Best(pa.table({"block": np.zeros(300, int), "query_id": np.arange(300), "more": np.full(300, np.nan), "embedding": lists(x)}), 7)
+    for at in range(0, 300, batch):
+        assert list(meeting.take(pa.RecordBatch.from_pydict({"id": ids[at : at + batch], "embedding": lists(x[at : at + batch])}))) == []
+        assert meeting.found.num_rows == 300 * min(7, at + batch)
+    distance = cells.cosine_distances(x, x)
+    want = {(q, ids[i], distance[q, i]) for q in range(300) for i in np.lexsort((np.arange(300), distance[q]))[:7]}
+    (found,) = meeting.end()
+    assert set(zip(*(c.to_pylist() for c in found.columns), strict=True)) == want
