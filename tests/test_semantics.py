@@ -84,3 +84,15 @@ def test_few_and_no_texts(spark):
         semantics.fit(two, dims=4096, features=1 << 20)
     with pytest.raises(ValueError, match="embedding"):
         search.semantic_search(two, spark.createDataFrame([(1, "abc")], "query_id long, query string"))
+
+
+def test_one_pass_a_round(spark, topics):
+    """Both products of a round come from one pass over features that were counted once."""
+    rows = semantics.counted(topics, "document", FEATURES)
+    assert all(r.f == sorted(set(r.f)) and len(r.f) == len(r.n) and min(r.n) >= 1 for r in rows.collect())
+    a, g = dense(spark, topics), np.random.default_rng(1).standard_normal((FEATURES, 9))
+    n, seen = a.any(axis=1).sum(), (a > 0).sum(axis=0)
+    idf = np.where(seen > 0, np.log((n + 1) / (seen + 1)), 0)
+    square, z = semantics._sketched(rows, idf, spark.sparkContext.broadcast(g), 9)
+    y = a @ g
+    assert np.allclose(square, y.T @ y) and np.allclose(z, a.T @ y)

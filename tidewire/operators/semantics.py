@@ -6,11 +6,12 @@ brought to length one. The embedding is the truncated singular value
 decomposition of all texts' weights A (texts by features), so features of
 words that keep the same company point the same way. It is found by a
 randomized sketch: Y = A G with a random G of a few more columns than
-dimensions; the triangular factor R of Y by QR in every task, and of
-those factors in groups, until one is left; Z = A'Y, summed by feature; then
+dimensions; in the same pass Y'Y and Z = A'Y, summed by Spark. A factor R with R'R = Y'Y
+comes from the small square matrix, without directions too weak for it (``WEAK``); then
 Z R^-1 is the transpose of A within the basis of Y, and its singular
 vectors come from its columns' inner products, a small square matrix. With
-``rounds``, Z R^-1 takes G's place first, which sharpens the basis. The
+``rounds``, Z R^-1 takes G's place first, which sharpens the basis. So a round is one pass
+over the texts' distinct features, which are counted once before. The
 driver sees square matrices of the sketch's width and the model itself,
 features by dimensions, whose size is a parameter.
 
@@ -39,8 +40,8 @@ DIMS, FEATURES = 64, 1 << 14
 MORE, ROUNDS = 16, 1
 #: Bytes of a model at most, as it is sent to all tasks.
 MOST_BYTES = 256 << 20
-#: Triangular factors that one task combines.
-FAN = 32
+#: Directions of a sketch that are weaker than its strongest by this are left out.
+WEAK = 1e-6
 WORD = r"[^\p{L}0-9]+"
 
 
@@ -50,27 +51,43 @@ def features_of(text: Column, features: int) -> Column:
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int"))
 
 
-def _sparse(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, features and weights of a column of feature lists, each row of length one."""
+def _counted(column: pa.Array, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, distinct features and their counts of a column of feature lists."""
     lists = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    keys, counts = np.unique(row * len(idf) + lists, return_counts=True)
-    row, feature = keys // len(idf), keys % len(idf)
+    keys, counts = np.unique(row * features + lists, return_counts=True)
+    return keys // features, keys % features, counts
+
+
+def _weighted(row: np.ndarray, feature: np.ndarray, counts: np.ndarray, idf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, features and weights, each of the ``n`` rows of length one."""
     weight = np.log1p(counts) * idf[feature]
-    norm = np.sqrt(np.bincount(row, weight * weight, len(column)))
+    norm = np.sqrt(np.bincount(row, weight * weight, n))
     return row, feature, weight / np.where(norm > 0, norm, 1)[row]
 
 
+def _sparse(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, features and weights of a column of feature lists, each row of length one."""
+    return _weighted(*_counted(column, len(idf)), idf, len(column))
+
+
+def _dense(row: np.ndarray, feature: np.ndarray, weight: np.ndarray, n: int, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sparse rows as a matrix of the features that occur in them, and those features: a product
+    of matrices takes a small part of the time of one entry by entry."""
+    seen = np.zeros(features, bool)
+    seen[feature] = True
+    out = np.zeros((n, np.count_nonzero(seen)))
+    out[row, (np.cumsum(seen) - 1)[feature]] = weight
+    return out, np.flatnonzero(seen)
+
+
 def _times(row: np.ndarray, feature: np.ndarray, weight: np.ndarray, matrix: np.ndarray, n: int) -> np.ndarray:
-    """The sparse rows times a matrix: rows are in order, so each is a stretch."""
-    out = np.zeros((n, matrix.shape[1]))
-    if len(row):
-        start = np.flatnonzero(np.diff(row, prepend=-1))
-        out[row[start]] = np.add.reduceat(weight[:, None] * matrix[feature], start, axis=0)
-    return out
+    """The sparse rows times a matrix."""
+    some, seen = _dense(row, feature, weight, n, len(matrix))
+    return some @ matrix[seen]
 
 
-def _parts(batch: pa.RecordBatch, most: int = 512) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, most: int = 256) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, most):
         yield batch.slice(at, most)
 
@@ -115,53 +132,45 @@ class Semantics:
         return cls(np.array([r.idf for r in rows]), np.array([r.vector for r in rows], np.float32))
 
 
-def _triangle(rows: DataFrame, idf: np.ndarray, sent, width: int) -> np.ndarray:
-    """R of the QR factors of ``A G``, in every task and then in groups of them."""
-    schema = "part long, r array<double>"
-
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def counted(texts: DataFrame, text_col: str, features: int) -> DataFrame:
+    """``(f, n)``: the distinct features of each text that has any, in order, and how often they occur."""
 
-        g, r = sent.value, np.zeros((0, width))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
-                r = np.linalg.qr(np.vstack([r, _times(*_sparse(part.column("f"), idf), g, part.num_rows)]), mode="r")
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "r": [r.ravel().tolist()]})
-
-    def combine(table: pa.Table) -> pa.Table:
-        stacked = np.concatenate([np.array(r).reshape(-1, width) for r in table.column("r").to_pylist()])
-        return pa.table({"part": [table.column("part")[0].as_py() // FAN], "r": [np.linalg.qr(stacked, mode="r").ravel().tolist()]})
+                row, feature, counts = _counted(part.column("f"), features)
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (feature, counts)], ["f", "n"])
 
-    now = written(rows.mapInArrow(grow, schema), "sketch")
-    while (now.agg(F.max("part")).first()[0] or 0) > 0:
-        now = written(now.groupBy(F.floor(F.col("part") / FAN).alias("g")).applyInArrow(lambda t: combine(t), schema), "sketch")
-    found = now.first()
-    return np.array(found.r).reshape(-1, width) if found else np.zeros((0, width))
+    rows = texts.select(features_of(F.col(text_col), features).alias("f")).where(F.size("f") > 0)
+    return rows.mapInArrow(run, "f array<int>, n array<int>")
 
 
-def _transposed(rows: DataFrame, idf: np.ndarray, sent, width: int) -> np.ndarray:
-    """``A'(A G)``: a sum for each feature that occurs in a task, a column for each of G's, added up by Spark."""
-    columns = [f"z{i}" for i in range(width)]
+def _sketched(rows: DataFrame, idf: np.ndarray, sent, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``Y'Y`` and ``A'Y`` of ``Y = A G``, in one pass: sums of each task, a row for each feature that
+    occurs in it and then one for each column of G, added up by Spark."""
+    columns, features = [f"z{i}" for i in range(width)], len(idf)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, z, seen = sent.value, np.zeros((len(idf), width)), np.zeros(len(idf), bool)
+        g, z, seen = sent.value, np.zeros((features + width, width)), np.zeros(features + width, bool)
         for batch in batches:
             for part in _parts(batch):
-                row, feature, weight = _sparse(part.column("f"), idf)
-                y = _times(row, feature, weight, g, part.num_rows)
-                order = np.argsort(feature, kind="stable")
-                feature = feature[order]
-                start = np.flatnonzero(np.diff(feature, prepend=-1))
-                z[feature[start]] += np.add.reduceat(weight[order, None] * y[row[order]], start, axis=0)
-                seen[feature] = True
+                lengths = part.column("f").value_lengths().to_numpy()
+                one = lambda c, part=part: part.column(c).flatten().to_numpy()
+                sparse = _weighted(np.repeat(np.arange(part.num_rows), lengths), one("f"), one("n"), idf, part.num_rows)
+                some, at = _dense(*sparse, part.num_rows, features)
+                y = some @ g[at]
+                z[at] += some.T @ y
+                z[features:] += y.T @ y
+                seen[at], seen[features:] = True, True
         at = np.flatnonzero(seen)
         for some in np.array_split(at, max(1, len(at) // 4096)):
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(z[some, i]) for i in range(width))], ["feature", *columns])
 
     summed = rows.mapInArrow(partial, ", ".join(["feature int", *(f"{c} double" for c in columns)])).groupBy("feature").agg(*(F.sum(c).alias(c) for c in columns))
-    found, out = summed.toArrow(), np.zeros((len(idf), width))  # a row for each feature at most
+    found, out = summed.toArrow(), np.zeros((features + width, width))  # a row for each feature and column at most
     out[found.column("feature").to_numpy()] = np.column_stack([found.column(c).to_numpy() for c in columns]) if found.num_rows else 0
-    return out
+    return out[features:], out[:features]
 
 
 def fit(texts: DataFrame, text_col: str = "document", dims: int = DIMS, features: int = FEATURES, rounds: int = ROUNDS, seed: int = 1) -> Semantics:
@@ -171,22 +180,22 @@ def fit(texts: DataFrame, text_col: str = "document", dims: int = DIMS, features
         raise ValueError(f"a model of {features} features and {dims} dimensions is beyond {MOST_BYTES} bytes")
     spark = texts.sparkSession
     with scratch(spark):
-        rows = written(texts.select(features_of(F.col(text_col), features).alias("f")).where(F.size("f") > 0), "features")
+        rows = written(counted(texts, text_col, features), "features")
         n = rows.count()
         idf = np.zeros(features)
-        for r in rows.select(F.explode(F.array_distinct("f")).alias("f")).groupBy("f").count().collect():  # a row for each feature at most
+        for r in rows.select(F.explode("f").alias("f")).groupBy("f").count().collect():  # a row for each feature at most
             idf[r.f] = np.log((n + 1) / (r["count"] + 1))
         vectors = np.zeros((features, dims))
         g = np.random.default_rng(seed).standard_normal((features, width))
         for left in range(rounds, -1, -1):
             sent = spark.sparkContext.broadcast(g)
-            r = _triangle(rows, idf, sent, width)
-            z = _transposed(rows, idf, sent, width)
+            square, z = _sketched(rows, idf, sent, width)
             sent.unpersist()
             # What is left of R where the sketch has fewer directions than columns.
-            _, size, turn = np.linalg.svd(r, full_matrices=False)
-            real = size > 1e-10 * size.max(initial=0)
-            inside = z @ (turn[real].T / size[real])
+            size, turn = np.linalg.eigh(square)
+            size = np.sqrt(np.maximum(size, 0))
+            real = size > WEAK * size.max(initial=0)
+            inside = z @ (turn[:, real] / size[real])
             if left:
                 g, _ = np.linalg.qr(np.pad(inside, ((0, 0), (0, width - inside.shape[1]))))
                 continue
