@@ -230,3 +230,18 @@ def test_rules_act_with_a_derived_lexicon(spark):
     assert not {r.token for r in lexicon.collect()} & set(sentiment.RULE_WORDS)
     got = {r.id: r.sentiment_score for r in sentiment.score(df, lexicon).collect()}
     assert len({got[i] for i in (0, 1, 2, 3, 6, 7)}) == 6 and got[4] != got[5]
+
+
+def test_rules_need_no_window(spark):
+    """Words look back within their text: the plan has no window, and factors are as stated."""
+    from tidewire.operators import sentiment
+
+    texts = spark.createDataFrame([(1, "very good but NOT a GOOD day"), (2, None), (3, "don't like it")], "id long, title string")
+    valued = spark.createDataFrame([([],)], "valued array<string>")
+    rows = {(r.id, r.token): [] for r in sentiment.factors(texts, valued).collect()}
+    for r in sentiment.factors(texts, valued).collect():
+        rows[r.id, r.token].append((round(r.times, 4), round(r.added, 4)))
+    assert sorted(rows[1, "good"]) == sorted([(0.5, sentiment.BOOST), (round(1.5 * sentiment.NEGATED, 4), sentiment.CAPITALS)])
+    assert rows[1, "but"] == [(1.0, round(sentiment.BOOST * sentiment.DAMPING[1], 4))] and rows[3, "like"] == [(sentiment.NEGATED, 0.0)] and {i for i, _ in rows} == {1, 3}
+    lexicon = spark.createDataFrame([("good", 2.0)], "token string, valence double")
+    assert "Window" not in sentiment.score(texts, lexicon)._jdf.queryExecution().optimizedPlan().toString()

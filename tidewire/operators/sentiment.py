@@ -6,13 +6,15 @@ follow the published description (Hutto and Gilbert, 2014): boosters and
 negations among the three words before, capitals for emphasis, ``but``,
 exclamation and question marks.
 
-All of it is DataFrame work: words are exploded with their place, joined
-with the lexicon, and look back through windows within their text.
+All of it is DataFrame work. The rules need the valence of no word but the one that they act on,
+besides which boosters and dampers have one; so words look back within the array of their
+text's words, and each becomes a row with its factors, which is then joined with the lexicon: no window,
+and the words of a text needn't come together again, only its sums.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import sentiment_label
@@ -39,11 +41,10 @@ nope nor not nothing nowhere oughtnt rarely seldom shant shouldnt uhuh wasnt wer
 SPOKEN = r"[^\p{L}0-9']+"
 
 
-def spoken_words(texts: DataFrame, id_col: str = "id", text_col: str = "title") -> DataFrame:
-    """``(id, place, word)`` with apostrophes inside words, straight ones for all spellings."""
-    plain = F.translate(F.col(text_col), "\u2019\u02bc", "''")
-    bare = F.transform(F.split(plain, SPOKEN), lambda w: F.regexp_replace(w, "^'+|'+$", ""))
-    return texts.select(F.col(id_col).alias("id"), F.posexplode(F.filter(bare, lambda w: w != "")).alias("place", "word"))
+def spoken(text: Column) -> Column:
+    """Words in order, with apostrophes inside them, straight ones for all spellings."""
+    plain = F.translate(text, "\u2019\u02bc", "''")
+    return F.filter(F.transform(F.split(plain, SPOKEN), lambda w: F.regexp_replace(w, "^'+|'+$", "")), lambda w: w != "")
 
 
 def words(texts: DataFrame, id_col: str = "id", text_col: str = "title") -> DataFrame:
@@ -73,30 +74,55 @@ def compound(total: Column) -> Column:
     return F.when(total.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)))
 
 
-def _among(column: Column, values: list[str]) -> Column:
-    return F.lower(column).isin(values)
-
-
-def _adjusted(found: DataFrame) -> DataFrame:
+def _made(rows: DataFrame, name: str, column: Column) -> DataFrame:
+    """``rows`` with a column that is made once a row: an expression would be made anew for each element that looks back into it."""
+    return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(column)).alias(name))
+
+
+def factors(texts: DataFrame, valued: DataFrame, id_col: str = "id", text_col: str = "title") -> DataFrame:
+    """``(id, token, times, added)``: for each word of a text what is added to its valence with the valence's
+    sign, and by what both are multiplied. ``valued(valued)``: a row with the boosters and dampers that have a valence."""
+    rows = _made(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("words")), "words", spoken(F.col("words")))
+    rows = rows.join(F.broadcast(valued), F.lit(True))  # one row
+
+    def mark(w: Column) -> Column:
+        token = F.lower(w)
+        step = F.when(token.isin(BOOSTERS), BOOST).when(token.isin(DAMPERS), -BOOST).otherwise(0.0)
+        return F.struct(
+            token.alias("token"),
+            ((w == F.upper(w)) & (w != token)).alias("upper"),
+            F.when((step != 0) & ~F.array_contains("valued", token), step).otherwise(0.0).alias("step"),
+            F.replace(token, F.lit("'"), F.lit("")).isin(NEGATIONS).alias("negates"),
+        )
+
+    rows = _made(rows, "words", F.transform("words", mark)).drop("valued")
+    mixed = F.exists("words", lambda m: m["upper"]) & F.exists("words", lambda m: ~m["upper"])
+    but_at = F.array_position(F.transform("words", lambda m: m["token"]), "but") - 1  # -1 where there is none
+    rows = rows.withColumn("mixed", mixed).withColumn("but_at", but_at)
+    rows = _made(rows, "context", F.struct("mixed", "but_at")).drop("mixed", "but_at")
+
+    def factor(m: Column, place: Column) -> Column:
+        loud = F.col("context.mixed")
+        added, times = F.when(m["upper"] & loud, CAPITALS).otherwise(0.0), F.lit(1.0)
+        for k, damping in zip((1, 2, 3), DAMPING, strict=True):
+            before = F.when(place >= k, F.get("words", place - k))
+            step = before["step"] + F.when(before["upper"] & loud, F.signum(before["step"]) * CAPITALS).otherwise(0.0)
+            added = added + F.coalesce(step * damping, F.lit(0.0))
+            times = times * F.when(before["negates"], NEGATED).otherwise(1.0)
+        at = F.col("context.but_at")
+        side = F.when(at < 0, 1.0).when(place < at, BEFORE_BUT).when(place > at, AFTER_BUT).otherwise(1.0)
+        return F.struct(m["token"].alias("token"), (times * side).alias("times"), added.alias("added"))
+
+    return rows.select("id", F.explode(F.transform("words", factor)).alias("f")).select("id", "f.*")
+
+
+def _adjusted(texts: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, total)``: sums of valences after the rules on words."""
-    by_place = Window.partitionBy("id").orderBy("place")
-    whole = Window.partitionBy("id")
-    upper = (F.col("word") == F.upper("word")) & (F.col("word") != F.lower("word"))
-    found = found.withColumn("upper", upper)
-    for k in (1, 2, 3):
-        found = found.withColumn(f"w{k}", F.lag("word", k).over(by_place)).withColumn(f"v{k}", F.lag("valence", k).over(by_place)).withColumn(f"u{k}", F.lag("upper", k).over(by_place))
-    found = found.withColumn("mixed", F.min("upper").over(whole) != F.max("upper").over(whole)).withColumn("but_at", F.min(F.when(F.lower("word") == "but", F.col("place"))).over(whole))
-    sign = F.signum("valence")
-    value = F.col("valence") + F.when(F.col("upper") & F.col("mixed"), sign * CAPITALS).otherwise(0.0)
-    for k, damping in zip((1, 2, 3), DAMPING, strict=True):
-        plain = F.col(f"v{k}").isNull() & F.col(f"w{k}").isNotNull()
-        loud = F.when(F.col(f"u{k}") & F.col("mixed"), CAPITALS).otherwise(0.0)
-        step = F.when(_among(F.col(f"w{k}"), BOOSTERS), BOOST + loud).when(_among(F.col(f"w{k}"), DAMPERS), -BOOST - loud).otherwise(0.0)
-        value = value + F.when(plain, sign * step * damping).otherwise(0.0)
-    for k in (1, 2, 3):
-        value = value * F.when(_among(F.replace(F.col(f"w{k}"), F.lit("'"), F.lit("")), NEGATIONS), NEGATED).otherwise(1.0)
-    side = F.when(F.col("place") < F.col("but_at"), BEFORE_BUT).when(F.col("place") > F.col("but_at"), AFTER_BUT).otherwise(1.0)
-    return found.where("valence is not null").groupBy("id").agg(F.sum(value * side).alias("total"))
+    acting = lexicon.where(F.col("token").isin([*BOOSTERS, *DAMPERS]) & F.col("valence").isNotNull())
+    found = factors(texts, acting.agg(F.collect_set("token").alias("valued")), id_col, text_col)
+    # Spark broadcasts the lexicon if it turns out small, and shuffles it otherwise.
+    found = found.join(lexicon, "token")
+    return found.where("valence is not null").groupBy("id").agg(F.sum((F.col("valence") + F.signum("valence") * F.col("added")) * F.col("times")).alias("total"))
 
 
 def score(texts: DataFrame, lexicon: DataFrame, rules: bool = True, id_col: str = "id", text_col: str = "title") -> DataFrame:
@@ -108,15 +134,14 @@ def score(texts: DataFrame, lexicon: DataFrame, rules: bool = True, id_col: str
     """
     require(texts, id_col, text_col)
     lexicon = lexicon.select(F.lower("token").alias("token"), F.col("valence").cast("double").alias("valence"))
-    spoken = spoken_words(texts, id_col, text_col) if rules else words(texts, id_col, text_col)
-    # Spark broadcasts the lexicon if it turns out small, and shuffles it otherwise.
-    found = spoken.withColumn("token", F.lower("word")).join(lexicon, "token", "left" if rules else "inner")
     if rules:
-        totals = _adjusted(found)
+        totals = _adjusted(texts, lexicon, id_col, text_col)
         marks = F.least(F.length(F.regexp_replace(text_col, "[^!]", "")), F.lit(EXCLAMATIONS)) * EXCLAMATION
         asked = F.length(F.regexp_replace(text_col, "[^?]", ""))
         marks = marks + F.when(asked > 3, QUESTIONS_MOST).when(asked > 1, asked * QUESTION).otherwise(0.0)
     else:
+        # Spark broadcasts the lexicon if it turns out small, and shuffles it otherwise.
+        found = words(texts, id_col, text_col).withColumn("token", F.lower("word")).join(lexicon, "token")
         totals, marks = found.where("valence is not null").groupBy("id").agg(F.sum("valence").alias("total")), F.lit(0.0)
     joined = texts.join(totals.select(F.col("id").alias("_id"), F.col("total").alias("_total")), F.col(id_col) == F.col("_id"), "left")
     emphasised = F.col("_total") + F.signum("_total") * marks
