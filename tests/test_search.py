@@ -89,3 +89,19 @@ def test_index_ids_and_metadata(spark):
     assert rows[0].id == "story_0_0cc175b9c0"
     assert {r.metadata.text for r in search.build_index(df).collect()} == {"a", "b"}
     assert search.duplicate_ids(spark.createDataFrame([("x",), ("x",), ("y",)], "id string")).collect() == [("x", 2)]
+
+
+def test_a_block_is_compared_in_small_parts(monkeypatch):
+    """However many documents a batch has, a task's matrix has no more than a fixed number of entries."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewire.operators import search
+
+    seen, whole = [], search._distances
+    monkeypatch.setattr(search, "_distances", lambda docs, queries, metric: seen.append(len(docs) * len(queries)) or whole(docs, queries, metric))
+    x = np.random.default_rng(1).normal(size=(5000, 4))
+    batch = pa.RecordBatch.from_pydict({"id": np.arange(5000), "embedding": pa.array(x.tolist(), pa.list_(pa.float64()))})
+    (found,) = search._finder([7], x[:1], 3, "cosine", None)(iter([batch]))
+    assert max(seen) <= 1024 * search.QUERY_BLOCK and len(seen) == 5
+    assert found.column("id").to_pylist() == np.argsort(np.round(search._distances(x, x[:1], "cosine")[:, 0], 9), kind="stable")[:3].tolist()

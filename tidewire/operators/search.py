@@ -29,6 +29,8 @@ QUERY_LEAST, QUERY_MOST = 3, 100
 RESULTS, THRESHOLD = 10, 0.7
 #: Queries sent along with one pass over the documents.
 QUERY_BLOCK = 1024
+#: Documents compared with a block at a time.
+ROWS = 1024
 #: Distances are rounded to so many places before they are ordered.
 PLACES = 9
 
@@ -161,10 +163,10 @@ def _finder(query_ids: list[int], vectors: np.ndarray, k: int, metric: str, docs
         id_type = None
         for batch in batches:
             id_type = batch.column("id").type
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 ids = part.column("id").to_pylist()
-                distance = np.round(_distances(np.array(part.column("embedding").to_pylist(), np.float64), vectors, metric), PLACES)
+                distance = np.round(_distances(cells._matrix(part.column("embedding")), vectors, metric), PLACES)
                 for q in range(len(query_ids)):
                     column = distance[:, q]
                     limit = np.partition(column, min(k, len(column)) - 1)[min(k, len(column)) - 1]
