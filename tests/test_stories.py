@@ -11,6 +11,7 @@ from tidewire.functions import labels
 from tidewire.functions.rows import with_index
 from tidewire.operators import history, metrics, sentiment, topics
 from tidewire.operators.graph import components
+from tidewire.plans import queries
 from tidewire.schemas import HISTORY, STORY, present, require
 from tidewire.sources import snapshots, stories
 
@@ -182,6 +183,25 @@ def test_history(spark, tmp_path):
     assert sorted((r.id, r.title) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "c")]
 
 
+def test_stored_ids_are_read_alone(spark):
+    """What is joined to the stored rows isn't made for their ids, and stored rows of one id ignore a new one once."""
+    new = spark.createDataFrame([(1, "a", 5, 0.1, "k", T), (2, "b", 6, 0.2, "k", T)], HISTORY)
+    scores = spark.createDataFrame([(1, 0.5)], "id long, other double")
+    stored = new.where("id = 1").union(new.where("id = 1")).drop("sentiment_score").join(scores, "id", "left").withColumnRenamed("other", "sentiment_score")
+    plan = history.not_stored(new, stored)
+    assert [r.id for r in plan.collect()] == [2]
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_texts_are_not_dealt_by_topic(spark, small):
+    def joins(node):
+        below = [j for i in range(node.children().size()) for j in joins(node.children().apply(i))]
+        return [node, *below] if node.nodeName() == "Join" else below
+
+    by_topic = [j for j in joins(queries.enriched(spark, small)._jdf.queryExecution().optimizedPlan()) if "topic_id" in j.condition().toString()]
+    assert by_topic and not any(c in j.output().toString() for j in by_topic for c in ("title", "text"))
+
+
 def test_exports_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "quoted", title', 5, 0, T, "")], STORY)
     stories.export_csv(df, f"{tmp_path}/c")

@@ -17,8 +17,9 @@ def as_history(stories: DataFrame) -> DataFrame:
 
 def not_stored(new: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows of ``new`` with an id that isn't stored; of equal new ids, the first by time."""
-    first = new.groupBy("id").agg(F.min_by(F.struct(*[c for c in new.columns if c != "id"]), F.struct("timestamp", "title", "score")).alias("r")).select("id", "r.*")
-    return first.join(stored.select("id"), "id", "left_anti")
+    # Ids first, so that what is stored already isn't grouped, and rows that lie by id stay where they are.
+    fresh = new.join(stored.select("id").distinct(), "id", "left_anti")
+    return fresh.groupBy("id").agg(F.min_by(F.struct(*[c for c in new.columns if c != "id"]), F.struct("timestamp", "title", "score")).alias("r")).select("id", "r.*")
 
 
 def insert_or_ignore(new: DataFrame, stored: DataFrame) -> DataFrame:
