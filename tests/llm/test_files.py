@@ -111,6 +111,42 @@ def test_kept_stretches_are_bounded_by_size(monkeypatch):
         assert sum(len(k) + len(v) for k, v in own.cache.items()) == own.cached < 50_000 + 30_000
 
 
+class Counting:
+    """A tokenizer that counts the signs given to its batch calls."""
+
+    def __init__(self, own):
+        self.__dict__.update(own=own, signs=0)
+
+    def __getattr__(self, name):
+        found = getattr(self.own, name)
+        if not name.startswith("encode_batch"):
+            return found
+
+        def counted(texts, **kw):
+            self.__dict__["signs"] += sum(map(len, texts))
+            return found(texts, **kw)
+
+        return counted
+
+    def __setattr__(self, name, value):
+        setattr(self.own, name, value)
+
+
+def test_words_with_marks_share_their_ids():
+    own, library = token_shards.Encoder(FILE), Tokenizer.from_file(FILE)
+    own.tokenizer = Counting(own.tokenizer)
+    words = [f"w{''.join(chr(97 + i // 26**k % 26) for k in range(8))}é" for i in range(0, 2000, 7)]
+    text = "".join(f"{lead}{w}{marks}" for marks in ("", ".", ",", "!!", "%%%", "),") for lead in " \n" for w in words)
+    assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert own.tokenizer.signs < len(text) / 3
+
+
+def test_odd_words_with_marks():
+    own, library = token_shards.Encoder(FILE), Tokenizer.from_file(FILE)
+    texts = [" don't. l'eau, 'tis' it's", " ×÷, a×b. ÿĀ!ɏ? ŉ, ǅ; ɐ. ª, º.", "\nWord!! \nword, \n, \n", " a_b_, _a a1. 1a, a\u0301, \u0301a.", " ,a .a a.b. a,b,c", " é é é. É, é\n\né.", " 漢字, Ж. жж! ß, ẞ.", " a\x1cb, a\x85. \xa0a,", " a\x01, a\x7f. \x00a, a", "~a~ `a` [a], {a} <a>"]
+    assert [i.tolist() for i in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_shards(odd, odd_rows, empty, monkeypatch):
     monkeypatch.setattr(token_shards, "SHARD_TOKENS", 1000)
     found = token_shards.shard_roundtrip(odd, FILE).collect()

@@ -27,8 +27,10 @@ are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -43,6 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from .common import get, new_folder, put, written
 
@@ -101,10 +104,15 @@ class WaveletMatrix:
         planes = len(self.bits)
         now = np.zeros(self.n, np.uint16 if planes <= 16 else np.uint32)
         for p in range(planes - 1, -1, -1):
-            one = np.unpackbits(self.bits[p], count=self.n)
-            before = np.empty_like(now)
-            before[np.flatnonzero(one == 0)] = now[: self.zeros[p]]
-            before[np.flatnonzero(one)] = now[self.zeros[p] :] | now.dtype.type(1 << (planes - 1 - p))
+            now[self.zeros[p] :] |= now.dtype.type(1 << (planes - 1 - p))
+            before, low, high = np.empty_like(now), 0, self.zeros[p]
+            for at in range(0, self.n, PART):  # parts that stay in the processor's cache
+                part = before[at : at + PART]
+                own = np.unpackbits(self.bits[p][at >> 3 : (at + PART) >> 3], count=len(part)).view(bool)
+                set_at, clear_at = np.flatnonzero(own), np.flatnonzero(~own)
+                part[set_at] = now[high : high + len(set_at)]
+                part[clear_at] = now[low : low + len(clear_at)]
+                low, high = low + len(clear_at), high + len(set_at)
             now = before
         return self.ids[now] if self.n else np.zeros(0, np.uint32)
 
@@ -230,16 +238,42 @@ def marked(text: str) -> str:
     return text.replace("\n", "\0\n").replace(" ", "\0 ")
 
 
+#: Words of Latin letters, and marks that may follow one: two pieces of the byte-level pattern. An apostrophe may begin a piece of its own.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+MARKS = string.punctuation.replace("'", "")
+
+
+def _signs() -> np.ndarray:
+    """The sign of a byte-level vocabulary that stands for each byte, but the line feed for itself."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    signs = np.arange(256, dtype="<u2")
+    rest = [b for b in range(256) if b not in own]
+    signs[rest] = 256 + np.arange(len(rest))
+    signs[10] = 10
+    return signs
+
+
+SIGNS = _signs()
+
+
 class Encoder:
     """A tokenizer of the library that encodes each distinct stretch of text once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         self.tokenizer = Tokenizer.from_file(path)
+        if resize := getattr(self.tokenizer.model, "_resize_cache", None):
+            resize(0)  # what the library keeps itself is for words that come again
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
-        self.cached = 0
+        self._start_anew()
+        said = json.loads(self.tokenizer.to_str())
+        cut = said["pre_tokenizer"] or {}
+        #: Whether pieces are cut as ``_put_together`` does.
+        self.pieces = said["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"]
+        # Signs must have ids, and none of them be part of an added token.
+        self.pieces = self.pieces and all(a.isascii() for a in self.added) and all(self.tokenizer.token_to_id(chr(c)) is not None for c in np.delete(SIGNS, 10))
 
         # Stretches are put into one string with NULs between them where NUL is a token
         # that is part of no other; then nothing merges across.
@@ -251,7 +285,46 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of single pieces. They are brought to the vocabulary's signs here, so that the library has nothing to cut."""
+        whole, size, out = self.tokenizer.pre_tokenizer, self.kind.itemsize, []
+        self.tokenizer.pre_tokenizer = CharDelimiterSplit("\n")
+        try:
+            for i in range(0, len(pieces), CALL):
+                part = pieces[i : i + CALL]
+                joined = "\n\n".join("\n".join(part[j : j + STRING]) for j in range(0, len(part), STRING))
+                strings = SIGNS[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-16-le").split("\n\n")
+                found = self.tokenizer.encode_batch(strings, add_special_tokens=False)
+                raw = b"".join(np.array(e.ids, self.kind).tobytes() for e in found)
+                ends = (np.cumsum(np.concatenate([np.bincount(e.word_ids) for e in found])) * size).tolist()
+                out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        finally:
+            self.tokenizer.pre_tokenizer = whole
+        return out
+
+    def _put_together(self, new: list[str]) -> list[str]:
+        """Learn stretches that are a word and marks from the ids of both, which many of them share; those that are not."""
+        own, words, marks, rest = [], [], [], []
+        for s in new:
+            word = s.rstrip(MARKS)
+            letters = word[1:]
+            if (letters.isalpha() if letters.isascii() else _LATIN(letters)) and word[0] in " \n":
+                own.append(s)
+                words.append(word if word[0] == " " else letters)
+                marks.append(s[len(word) :])
+            else:
+                rest.append(s)
+        known = {p: self.cache.get(p) for p in dict.fromkeys(words) | dict.fromkeys(marks)}
+        missing = [p for p, ids in known.items() if ids is None]
+        known.update(zip(missing, self._of_pieces(missing), strict=True))
+        feed = self.cache["\n"]
+        ids = [known[w] + known[m] if s[0] == " " else feed + known[w] + known[m] for s, w, m in zip(own, words, marks, strict=True)]
+        self._keep(own, ids)
+        return rest
+
     def _learn(self, new: list[str]) -> None:
+        if self.pieces:
+            new = self._put_together(new)
         # A stretch that begins otherwise or ends in white space is cut otherwise next to a NUL.
         joined = [s for s in new if s[0] in " \n" and not s[-1].isspace()] if self.nul is not None else []
         for i in range(0, len(joined), CALL):
@@ -272,6 +345,7 @@ class Encoder:
     def _start_anew(self) -> None:
         self.cache.clear()
         self.cached = 0
+        self._keep(["", "\n"], [b"", array(self.kind.char, self._ids("\n")).tobytes()])
 
     def _keep(self, texts: list[str], ids: list[bytes]) -> None:
         self.cache.update(zip(texts, ids, strict=True))
@@ -286,8 +360,12 @@ class Encoder:
         lists = pc.split_pattern(pa.array(["" if i in whole else marked(t) for i, t in enumerate(texts)], pa.large_string()), "\0")
         stretches = lists.flatten().dictionary_encode()
         distinct = stretches.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self._learn([s for s in distinct if s and s not in self.cache])
-        known = [self.cache[s] if s else b"" for s in distinct]
+        known = list(map(self.cache.get, distinct))
+        if None in known:
+            new = [i for i, ids in enumerate(known) if ids is None]
+            self._learn([distinct[i] for i in new])
+            for i in new:
+                known[i] = self.cache[distinct[i]]
         flat = np.frombuffer(b"".join(known), self.kind)
         size = np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
         start, which = np.cumsum(size) - size, stretches.indices.to_numpy()
