@@ -96,3 +96,11 @@ def test_one_pass_a_round(spark, topics):
     square, z = semantics._sketched(rows, idf, spark.sparkContext.broadcast(g), 9)
     y = a @ g
     assert np.allclose(square, y.T @ y) and np.allclose(z, a.T @ y)
+
+
+def test_features_are_made_once(spark):
+    """Texts without features are left out, and that takes no second look at all words."""
+    texts = spark.createDataFrame([(1, None), (2, "a b a"), (3, " .,"), (4, ""), (5, "c")], "id long, document string")
+    found = semantics.counted(texts, "document", FEATURES)
+    assert sorted(sum(r.n) for r in found.collect()) == [1, 3]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

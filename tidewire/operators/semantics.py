@@ -139,10 +139,12 @@ def counted(texts: DataFrame, text_col: str, features: int) -> DataFrame:
         for batch in batches:
             for part in _parts(batch):
                 row, feature, counts = _counted(part.column("f"), features)
-                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32))
+                own = np.bincount(row, minlength=part.num_rows)
+                ends = pa.array(np.concatenate([[0], np.cumsum(own[own > 0])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (feature, counts)], ["f", "n"])
 
-    rows = texts.select(features_of(F.col(text_col), features).alias("f")).where(F.size("f") > 0)
+    # Texts without features are left out above: a condition on ``f`` would make them twice.
+    rows = texts.select(features_of(F.col(text_col), features).alias("f"))
     return rows.mapInArrow(run, "f array<int>, n array<int>")
 
 
