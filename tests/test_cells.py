@@ -1,5 +1,7 @@
 """The cell index against all comparisons."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -162,3 +164,31 @@ def test_best_of_passing_vectors(batch):
     want = {(q, ids[i], distance[q, i]) for q in range(300) for i in np.lexsort((np.arange(300), distance[q]))[:7]}
     (found,) = meeting.end()
     assert set(zip(*(c.to_pylist() for c in found.columns), strict=True)) == want
+
+
+def most_held(meeting, vectors: int, dims: int = 16) -> tuple[int, int]:
+    """The most bytes that a part of the queries holds while so many vectors pass by, and the rows it gives."""
+    rows, draw = 0, np.random.default_rng(5)
+    tracemalloc.start()
+    try:
+        at_work = meeting()
+        for at in range(0, vectors, 500):
+            flat = pa.array(draw.normal(size=500 * dims))
+            piece = pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + 500)), pa.FixedSizeListArray.from_arrays(flat, dims).cast(pa.list_(pa.float64()))], ["id", "embedding"])
+            rows += sum(b.num_rows for b in at_work.take(piece))
+        return tracemalloc.get_traced_memory()[1], rows + sum(b.num_rows for b in at_work.end())
+    finally:
+        tracemalloc.stop()
+
+
+def part_of_queries(n: int = 400, dims: int = 16) -> pa.Table:
+    x = np.random.default_rng(6).normal(size=(n, dims))
+    return pa.table({"block": np.zeros(n, int), "query_id": np.arange(n), "more": np.full(n, np.nan), "embedding": pa.array(x.tolist(), pa.list_(pa.float64()))})
+
+
+def test_best_holds_no_more_for_more_vectors():
+    """Neighbours of density clusters: what a task holds doesn't grow with the vectors."""
+    queries = part_of_queries()
+    few, many = (most_held(lambda: cells._Best(queries, 11), n) for n in (1500, 24_000))
+    assert many[0] < 1.2 * few[0]
+    assert few[1] == many[1] == 400 * 11
