@@ -192,3 +192,12 @@ def test_best_holds_no_more_for_more_vectors():
     few, many = (most_held(lambda: cells._Best(queries, 11), n) for n in (1500, 24_000))
     assert many[0] < 1.2 * few[0]
     assert few[1] == many[1] == 400 * 11
+
+
+def test_forest_holds_no_more_for_more_vectors():
+    """Topics: what a task holds doesn't grow with the vectors, and it gives at most a link for each query and each vector."""
+    queries = part_of_queries()
+    queries = queries.set_column(2, "more", pa.array(np.ones(400)))
+    few, many = (most_held(lambda: cells._Pairs(queries, 0.6, True), n) for n in (1500, 24_000))
+    assert many[0] < 1.2 * few[0]
+    assert 1500 < few[1] <= 1900 and 24_000 < many[1] <= 24_400
