@@ -109,11 +109,21 @@ def build_index(stories: DataFrame, metadata: tuple[str, ...] | None = None) ->
     the first hundred characters of the text.
     """
     require(stories, "id", "title", "score", "embedding")
-    placed = with_index(stories, F.desc("score"), F.col("id"), name="_index")
+    return index_rows(by_place(stories), metadata)
+
+
+def by_place(stories: DataFrame) -> DataFrame:
+    """``stories`` with their place by score as ``_index``. They are dealt by it and written, so where texts or
+    vectors can be joined by id afterwards, rows are placed without them."""
+    return with_index(stories, F.desc("score"), F.col("id"), name="_index")
+
+
+def index_rows(placed: DataFrame, metadata: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of ``build_index`` of stories that have their place already."""
     if metadata is None:
         extra = F.struct(F.substring("title", 1, 100).alias("text"))
     else:
-        extra = F.struct(*[F.col(c) for c in metadata if c in stories.columns], F.col("_index").cast("int").alias("index"))
+        extra = F.struct(*[F.col(c) for c in metadata if c in placed.columns], F.col("_index").cast("int").alias("index"))
     return placed.select(document_id(F.col("_index"), F.col("title")).alias("id"), F.col("title").alias("document"), "embedding", extra.alias("metadata"), F.col("id").alias("story_id"))
 
 

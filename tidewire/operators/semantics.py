@@ -38,6 +38,8 @@ from ..sources.workspace import scratch, written
 DIMS, FEATURES = 64, 1 << 14
 #: Columns of the sketch beyond the dimensions, and rounds that sharpen it.
 MORE, ROUNDS = 16, 1
+#: Texts that a task of a round sums at least, where there are more tasks than cores.
+TEXTS = 1 << 16
 #: Bytes of a model at most, as it is sent to all tasks.
 MOST_BYTES = 256 << 20
 #: Directions of a sketch that are weaker than its strongest by this are left out.
@@ -184,6 +186,8 @@ def fit(texts: DataFrame, text_col: str = "document", dims: int = DIMS, features
     with scratch(spark):
         rows = written(counted(texts, text_col, features), "features")
         n = rows.count()
+        # A task's sums are as large as the model, however few texts it has: tasks go by texts, not by files.
+        rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, n // TEXTS))
         idf = np.zeros(features)
         for r in rows.select(F.explode("f").alias("f")).groupBy("f").count().collect():  # a row for each feature at most
             idf[r.f] = np.log((n + 1) / (r["count"] + 1))

@@ -59,14 +59,14 @@ RULE_WORDS = [*BOOSTERS, *DAMPERS, *NEGATIONS, "but"]
 
 def derived_lexicon(texts: DataFrame, text_col: str = "title", without: list[str] | None = None) -> DataFrame:
     """A stand-in lexicon for invented prose: a valence from -4 to 4 by spelling, but none for the words ``without``."""
-    return lexicon_of(texts.select(terms(F.col(text_col)).alias("token")).where("token <> ''"), without)
+    tokens = texts.select(terms(F.col(text_col)).alias("token")).where("token <> ''")
+    kept = tokens.where(~F.col("token").isin(without)) if without else tokens
+    return kept.distinct().select("token", spelled_valence(F.col("token")).alias("valence"))
 
 
-def lexicon_of(tokens: DataFrame, without: list[str] | None = None) -> DataFrame:
-    """``derived_lexicon`` of texts whose words are the column ``token``."""
-    valence = ((F.length("token") + F.ascii("token")) % 9 - 4).cast("double")
-    kept = tokens.where(~F.col("token").isin(without)) if without else tokens
-    return kept.select("token").distinct().select("token", valence.alias("valence"))
+def spelled_valence(token: Column) -> Column:
+    """The valence that ``derived_lexicon`` gives a word."""
+    return ((F.length(token) + F.ascii(token)) % 9 - 4).cast("double")
 
 
 def compound(total: Column) -> Column:
@@ -149,15 +149,15 @@ def score(texts: DataFrame, lexicon: DataFrame, rules: bool = True, id_col: str
     return out.withColumn("sentiment_label", sentiment_label(F.col("sentiment_score")))
 
 
-def token_scores(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``(id, sentiment_score)`` by the bare sum of valences of ``tokens(id, token)`` in lower
-    case; texts without a word of the lexicon have no row. Sums of a text are made where it lies."""
-    found = tokens.join(lexicon.select(F.lower("token").alias("token"), F.col("valence").cast("double").alias("valence")), "token")
-    totals = found.where("valence is not null").groupBy("id").agg(F.sum("valence").alias("total"))
+def spelled_scores(tokens: DataFrame) -> DataFrame:
+    """``(id, sentiment_score)`` by the bare sum of the valences that ``derived_lexicon`` has for ``tokens(id, token)``
+    in lower case; texts without a word have no row. That lexicon has every word, and a valence by its spelling, so
+    words needn't be joined with it: sums of a text are made where it lies, and no word is shuffled."""
+    totals = tokens.groupBy("id").agg(F.sum(spelled_valence(F.col("token"))).alias("total"))
     return totals.select("id", compound(F.col("total")).alias("sentiment_score"))
 
 
 def with_scores(stories: DataFrame, scores: DataFrame) -> DataFrame:
-    """``stories`` with the scores of ``token_scores``, 0.0 where there is none, and their labels."""
+    """``stories`` with the scores of ``spelled_scores``, 0.0 where there is none, and their labels."""
     out = stories.join(scores, "id", "left").withColumn("sentiment_score", F.coalesce("sentiment_score", F.lit(0.0)))
     return out.withColumn("sentiment_label", sentiment_label(F.col("sentiment_score")))

@@ -45,20 +45,20 @@ def passing(path: str, keep: bool = False) -> str:
     return path
 
 
-def written_at(df: DataFrame, name: str, keep: bool = False, by: str | None = None) -> str:
+def written_at(df: DataFrame, name: str, keep: bool = False, by: str | None = None, compression: str | None = None) -> str:
     """Where ``df`` has been written as Parquet, in folders by the column ``by`` if that is given."""
     path = new_folder(df.sparkSession, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path, compression=compression)
     return passing(path, keep)
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False, compression: str | None = None) -> DataFrame:
     """``df`` written as Parquet and read again, so that its lineage ends here.
 
     Inside ``scratch`` the table is removed when that ends; with ``keep``,
-    when the block around it ends.
+    when the block around it ends. ``compression``: other than the session's, as for whole texts.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(written_at(df, name, keep))
+    return df.sparkSession.read.schema(df.schema).parquet(written_at(df, name, keep, compression=compression))
 
 
 @contextmanager
